@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from postmine.functions.links import domain_of
 from postmine.functions.text import MIN_CLEAN_TOKENS, clean_text, corpus_line, ngram_words, ngrams, words
 from postmine.operators.corpus import with_clean_tokens
+from postmine.operators.summary import subreddit_counts
 
 # Fixed values.
 MENTION = "r/"
@@ -24,14 +25,21 @@ MIN_POSTS = 3
 KINDS = ("post", "token", "mention", "ngram", "domain")
 
 
-def _entries(kind: str, items: Column) -> Column:
-    one = F.lit(1).cast("long")
-    return F.transform(items, lambda item: F.struct(F.lit(kind).alias("kind"), item.alias("item"), one.alias("n")))
+def _entry(kind: str, item: Column, n: Column) -> Column:
+    number = F.lit(KINDS.index(kind)).cast("tinyint")
+    return F.struct(number.alias("kind"), item.alias("item"), n.cast("long").alias("n"))
 
 
-def _entry(kind: str, n: Column) -> Column:
-    nothing = F.lit(None).cast("string")
-    return F.array(F.struct(F.lit(kind).alias("kind"), nothing.alias("item"), n.cast("long").alias("n")))
+def _each(kind: str, items: Column) -> Column:
+    return F.transform(items, lambda item: _entry(kind, item, F.lit(1)))
+
+
+def _total(kind: str, n: Column) -> Column:
+    return F.array(_entry(kind, F.lit(None).cast("string"), n))
+
+
+def stored_links() -> Column:
+    return F.coalesce(F.col("external_links"), F.array().cast("array<string>"))
 
 
 def starts_mention(token: Column) -> Column:
@@ -58,17 +66,21 @@ def feature_counts(
     if "ngram" in kinds:
         found = found.withColumn("_words", ngram_words(clean_text(F.col("tokens"))))
     parts = {
-        "post": lambda: _entry("post", F.lit(1)),
-        "token": lambda: _entry("token", F.size("tokens")),
-        "mention": lambda: _entries("mention", F.filter("tokens", starts_mention)),
-        "ngram": lambda: _entries("ngram", ngrams(F.col("_words"), *sizes)),
-        "domain": lambda: _entries("domain", F.transform("external_links", lambda x: domain_of(x, link_mode))),
+        "post": lambda: _total("post", F.lit(1)),
+        "token": lambda: _total("token", F.size("tokens")),
+        "mention": lambda: _each("mention", F.filter("tokens", starts_mention)),
+        "ngram": lambda: _each("ngram", ngrams(F.col("_words"), *sizes)),
+        "domain": lambda: _each("domain", F.transform(stored_links(), lambda x: domain_of(x, link_mode))),
     }
     entries = F.concat(*(parts[kind]() for kind in kinds))
     rows = found.select("subreddit", F.explode(entries).alias("_entry"))
-    return rows.groupBy("subreddit", F.col("_entry.kind").alias("kind"), F.col("_entry.item").alias("item")).agg(
-        F.sum("_entry.n").alias("cnt")
+    counts = rows.groupBy("subreddit", F.col("_entry.kind").alias("_kind"), F.col("_entry.item").alias("item")).agg(
+        F.sum("_entry.n").alias("cnt"),
+        # Taken as an aggregate, so that a filter on the kind is not moved below the shuffle:
+        # all readers of the counts then share one scan.
+        F.max("_entry.kind").alias("_which"),
     )
+    return counts.select("subreddit", F.get(F.lit(list(KINDS)), F.col("_which").cast("int")).alias("kind"), "item", "cnt")
 
 
 def _of_kind(counts: DataFrame, kind: str, name: str) -> DataFrame:
@@ -88,13 +100,14 @@ def mentions_of(counts: DataFrame) -> DataFrame:
     return _of_kind(counts, "mention", "mention").join(admitted, "subreddit", "left_semi")
 
 
-def ngrams_of(counts: DataFrame, lim: int = MIN_COUNT, min_posts: int = MIN_POSTS) -> DataFrame:
-    """Frequent n-grams out of :func:`feature_counts` with kinds ``ngram`` and ``post``.
+def ngrams_of(counts: DataFrame, n_posts: DataFrame, lim: int = MIN_COUNT, min_posts: int = MIN_POSTS) -> DataFrame:
+    """Frequent n-grams out of :func:`feature_counts` with kind ``ngram``.
 
-    The size of the community is tested on the few frequent rows, not on the posts.
+    The size of a community, from ``n_posts``, is tested on the few frequent rows, not on the posts.
     """
     frequent = _of_kind(counts, "ngram", "ngram").filter(F.col("cnt") >= lim)
-    return frequent.join(_admitted(counts, "post", min_posts), "subreddit", "left_semi")
+    large = n_posts.filter(F.col("n_posts") >= min_posts).select("subreddit")
+    return frequent.join(large, "subreddit", "left_semi")
 
 
 def domains_of(counts: DataFrame) -> DataFrame:
@@ -129,8 +142,9 @@ def frequent_ngrams(
     min_posts: int = MIN_POSTS,
 ) -> DataFrame:
     """N-grams that occur ``lim`` times or more in communities of ``min_posts`` posts or more."""
-    counts = feature_counts(posts, ("post", "ngram"), stopwords, lemmas, sizes)
-    return ngrams_of(counts, lim, min_posts)
+    counts = feature_counts(posts, ("ngram",), stopwords, lemmas, sizes)
+    # Counting posts reads one narrow column once more.
+    return ngrams_of(counts, subreddit_counts(posts), lim, min_posts)
 
 
 def ngram_report(ngrams: DataFrame) -> DataFrame:

@@ -27,12 +27,13 @@ class Collection(NamedTuple):
     domains: DataFrame
 
 
-def _saved(posts: DataFrame, out: str | None) -> DataFrame:
+def _saved(posts: DataFrame, asked: DataFrame, out: str | None) -> DataFrame:
     """Everything that follows reads the saved table instead of collecting again."""
     if out is None:
         return posts
     save_by_scope(posts, out)
-    return posts.sparkSession.read.schema(posts.schema).parquet(out)
+    saved = posts.sparkSession.read.schema(posts.schema).parquet(out).select(*posts.columns)
+    return saved.join(asked, "scope", "left_semi").select(*posts.columns)
 
 
 def _description(found: DataFrame, scopes: DataFrame, link_mode: str) -> Collection:
@@ -76,7 +77,7 @@ def collect_posts(
     else:
         raise ValueError(f"mode must be one of {MODES}")
     asked = scopes.select("scope").distinct() if isinstance(scopes, DataFrame) else scopes_table(spark, scopes)
-    return _description(_saved(found, out), asked, link_mode)
+    return _description(_saved(found, asked, out), asked, link_mode)
 
 
 def collect_author_posts(

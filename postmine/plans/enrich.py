@@ -42,6 +42,7 @@ def enrich(
     With ``out`` the counts are written there once, and the four results read that table.
     """
     counts = feature_counts(posts, stopwords=stopwords, lemmas=lemmas, sizes=sizes, link_mode=link_mode)
+    counts = counts.filter((F.col("kind") != "ngram") | (F.col("cnt") >= lim))
     if out is not None:
         counts.write.mode("errorifexists").partitionBy("kind").parquet(out)
         counts = posts.sparkSession.read.schema(counts.schema).parquet(out)
@@ -58,7 +59,7 @@ def enrich(
         return features.join(named, "subreddit", "left_semi")
 
     return Enriched(
-        description, known(mentions_of(counts)), known(ngrams_of(counts, lim, min_posts)), known(domains_of(counts))
+        description, known(mentions_of(counts)), known(ngrams_of(counts, n_posts, lim, min_posts)), known(domains_of(counts))
     )
 
 

@@ -6,39 +6,27 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from postmine.functions.text import strip
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Stripped lines that are not blank, with ``at``, which grows with the place in the file.
-
-    A file is read whole by one task, so that ``at`` follows its lines; lists are small.
-    """
-    rows = spark.read.text(path, wholetext=True).select(
-        F.input_file_name().alias("_file"), F.posexplode(F.split("value", "\r\n|\r|\n")).alias("_line", "value")
-    )
-    rows = rows.withColumn("value", strip(F.regexp_replace("value", "^﻿", "")))
-    return rows.filter(F.col("value") != "").select(F.struct("_file", "_line").alias("at"), "value")
-
-
-def _numbered(rows: DataFrame) -> DataFrame:
-    """``(pos, term)`` with positions from 0."""
-    listed = [(i, row.value) for i, row in enumerate(rows.orderBy("at").select("value").toLocalIterator())]
-    schema = T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("term", T.StringType())])
-    return rows.sparkSession.createDataFrame(listed, schema)
+    """Stripped lines that are not blank, in no order."""
+    rows = spark.read.text(path).select(strip(F.regexp_replace("value", "^\ufeff", "")).alias("value"))
+    return rows.filter(F.col("value") != "")
 
 
 def read_terms(spark: SparkSession, path: str, by: str = "line") -> DataFrame:
-    """A keyword file as ``(pos, term)``: one term per line, or with ``by="word"`` per word."""
-    rows = _lines(spark, path)
-    if by == "word":
-        rows = rows.select("at", F.posexplode(F.split("value", r"\s+")).alias("_word", "value"))
-        rows = rows.select(F.struct("at", "_word").alias("at"), "value")
-    elif by != "line":
+    """A keyword file as ``(pos, term)``, counted from 0: one term per line, or with ``by="word"`` per word.
+
+    The file is read whole by one task, since its order counts.
+    """
+    if by not in ("line", "word"):
         raise ValueError('by must be "line" or "word"')
-    return _numbered(rows)
+    text = F.regexp_replace("value", "^\ufeff", "")
+    pieces = F.transform(F.split(text, "\r\n|\r|\n" if by == "line" else r"\s+"), strip)
+    rows = spark.read.text(path, wholetext=True)
+    return rows.select(F.posexplode(F.filter(pieces, lambda piece: piece != "")).alias("pos", "term"))
 
 
 def read_scopes(spark: SparkSession, path: str) -> DataFrame:

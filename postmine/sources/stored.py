@@ -15,7 +15,10 @@ SEPARATOR = ";"
 STAMP_FORMAT = "%Y-%m-%d_%H_%M_%S"
 NAMES = {"posts": "posts", "description": "subreddits", "comments": "comments"}
 
-CSV_OPTIONS = {"sep": SEPARATOR, "header": "true", "quote": '"', "escape": '"'}
+CSV_OPTIONS = {
+    "sep": SEPARATOR, "header": "true", "quote": '"', "escape": '"',
+    "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+}
 
 
 def run_stamp(now: datetime) -> str:
