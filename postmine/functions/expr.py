@@ -25,14 +25,22 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def lookup(key: Column, table: Mapping[str, str]) -> Column:
     """``table[key]``, or ``key`` itself where it is missing.
 
-    A map literal is searched entry by entry, so the table is cut into many
-    one- or two-entry maps and the right one is picked by checksum.
+    A map literal is searched entry by entry, so the table is cut into many short lists of
+    forms and of targets, and the right ones are picked by checksum.
     """
     if not table:
         return key
-    buckets: list[dict[str, str]] = [{} for _ in range(LOOKUP_BUCKETS_PER_ENTRY * len(table))]
+    size = LOOKUP_BUCKETS_PER_ENTRY * len(table)
+    forms: list[list[str]] = [[] for _ in range(size)]
+    targets: list[list[str]] = [[] for _ in range(size)]
     for form, target in table.items():
-        buckets[zlib.crc32(form.encode()) % len(buckets)][form] = target
-    literal = constant(buckets, "array<map<string,string>>")
-    slot = F.pmod(F.crc32(F.encode(key, "UTF-8")), F.lit(len(buckets))).cast("int")
-    return F.coalesce(F.get(literal, slot)[key], key)
+        slot = zlib.crc32(form.encode()) % size
+        forms[slot].append(form)
+        targets[slot].append(target)
+
+    def bucket(lists: list[list[str]]) -> Column:
+        number = F.pmod(F.crc32(F.encode(key, "UTF-8")), F.lit(size)).cast("int")
+        return F.get(constant(lists, "array<array<string>>"), number)
+
+    place = F.array_position(bucket(forms), key).cast("int") - 1
+    return F.coalesce(F.get(bucket(targets), place), key)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from functools import reduce
 from typing import NamedTuple
@@ -14,6 +15,7 @@ from postmine.operators.features import (
 )
 from postmine.operators.groups import MAX_ENTRIES, fold_counts
 from postmine.operators.relations import comments_per_subreddit
+from postmine.session import scratch_dir
 
 
 class Enriched(NamedTuple):
@@ -39,13 +41,15 @@ def enrich(
 ) -> Enriched:
     """Everything known about the communities of ``desc``, from one scan of the posts.
 
-    With ``out`` the counts are written there once, and the four results read that table.
+    The counts are written to ``out`` first, by default below the shared folder of the cluster,
+    and the four results read that table. N-grams below ``lim`` are not kept.
     """
+    spark = posts.sparkSession
+    out = out or f"{scratch_dir(spark)}/features-{uuid.uuid4().hex}"
     counts = feature_counts(posts, stopwords=stopwords, lemmas=lemmas, sizes=sizes, link_mode=link_mode)
     counts = counts.filter((F.col("kind") != "ngram") | (F.col("cnt") >= lim))
-    if out is not None:
-        counts.write.mode("errorifexists").partitionBy("kind").parquet(out)
-        counts = posts.sparkSession.read.schema(counts.schema).parquet(out)
+    counts.write.mode("errorifexists").partitionBy("kind").parquet(out)
+    counts = spark.read.schema(counts.schema).parquet(out)
     named = desc.select("subreddit").distinct()
     n_posts = counts.filter(F.col("kind") == "post").select("subreddit", F.col("cnt").alias("n_posts"))
     description = named.join(n_posts, "subreddit", "left")

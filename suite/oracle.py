@@ -92,11 +92,17 @@ FROM (SELECT subreddit, unnest(toks) AS mention FROM tokens)
 WHERE starts_with(mention, 'r/')
   AND subreddit IN (SELECT subreddit FROM tokens GROUP BY subreddit HAVING sum(len(toks)) > 2)
 GROUP BY subreddit, mention""",
-    "words": r"SELECT subreddit, regexp_extract_all(lower(clean), '[\p{L}\p{N}_]{2,}') AS w FROM clean",
+    "words": r"SELECT subreddit, post_id, regexp_extract_all(lower(clean), '[\p{L}\p{N}_]{2,}') AS w FROM clean",
+    "word_rows": """
+SELECT subreddit, word AS w1, lead(word, 1) OVER ahead AS w2, lead(word, 2) OVER ahead AS w3, lead(word, 3) OVER ahead AS w4,
+  lead(word, 4) OVER ahead AS w5
+FROM (SELECT subreddit, post_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM words)
+WINDOW ahead AS (PARTITION BY post_id ORDER BY pos)""",
     "ngram_counts": """
 SELECT subreddit, ngram, CAST(count(*) AS BIGINT) AS cnt
-FROM (SELECT subreddit, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS ngram
-  FROM words, (VALUES (3), (4), (5)) AS s(n))
+FROM (SELECT subreddit, concat(w1, ' ', w2, ' ', w3) AS ngram FROM word_rows WHERE w3 IS NOT NULL
+  UNION ALL SELECT subreddit, concat(w1, ' ', w2, ' ', w3, ' ', w4) FROM word_rows WHERE w4 IS NOT NULL
+  UNION ALL SELECT subreddit, concat(w1, ' ', w2, ' ', w3, ' ', w4, ' ', w5) FROM word_rows WHERE w5 IS NOT NULL)
 WHERE subreddit IN (SELECT subreddit FROM counts WHERE n_posts > 2)
 GROUP BY subreddit, ngram HAVING count(*) >= 7""",
     "domain_totals": """
