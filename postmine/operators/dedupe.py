@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postmine.functions.text import clean_text, clean_tokens, corpus_line
+from postmine.functions.expr import let
+from postmine.functions.text import MIN_CLEAN_TOKENS, clean_tokens, corpus_line
 from postmine.operators.ranking import first_per_key
 
 MIN_REPEATS = 2
@@ -42,10 +43,16 @@ def repeat_posts(posts: DataFrame, min_repeats: int = MIN_REPEATS) -> DataFrame:
 
     This is our own meaning of an automated poster; blank texts do not count.
     """
-    tokens = clean_tokens(corpus_line(F.col("title"), F.col("body")))
-    keyed = posts.filter(F.col("author").isNotNull()).withColumn("_clean", clean_text(tokens))
-    keyed = keyed.filter(F.col("_clean") != "").withColumn("_content", F.sha2("_clean", 256)).drop("_clean")
-    repeated = keyed.groupBy("author", "_content").agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_repeats)
+    text = corpus_line(F.col("title"), F.col("body"))
+    content = let(
+        clean_tokens(text),
+        lambda tokens: F.struct(F.sha2(F.array_join(tokens, " "), 256).alias("key"), F.size(tokens).alias("n_tokens")),
+    )
+    keyed = posts.filter(F.col("author").isNotNull()).withColumn("_text", content)
+    keyed = keyed.withColumn("_content", F.coalesce("_text.key", F.lit(""))).withColumn("_size", F.col("_text.n_tokens"))
+    # The size is tested after counting: tested before, the text would be cleaned twice.
+    repeated = keyed.groupBy("author", "_content").agg(F.count("*").alias("_n"), F.max("_size").alias("_most"))
+    repeated = repeated.filter((F.col("_n") >= min_repeats) & (F.col("_most") >= MIN_CLEAN_TOKENS))
     return keyed.join(repeated, ["author", "_content"], "left_semi").select(*posts.columns)
 
 

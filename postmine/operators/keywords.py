@@ -140,7 +140,8 @@ def _match_table(posts: DataFrame, queries: DataFrame, inline_limit: int) -> Dat
         return _match_list(posts, [KeywordQuery(text, tuple(terms)) for text, terms in grouped.items()])
     queries = queries.select("query", F.lower("term").alias("term")).distinct()
     terms = queries.select("term").distinct().withColumn("pos", F.lit(0))
-    keyed = posts.drop("query").withColumn("_text_key", F.sha2(search_text(), 256))
+    # The search text is never null, which the checksum does not show by itself.
+    keyed = posts.drop("query").withColumn("_text_key", F.coalesce(F.sha2(search_text(), 256), F.lit("")))
     hits = joined_hits(keyed.select("_text_key", search_text().alias("_text")), terms)
     # Several terms of one query may be found in a text; the query counts once.
     found = hits.join(queries, "term").select("_text_key", "query").distinct()

@@ -13,9 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmine.functions.expr import let
+from postmine.operators.sizes import fits
 
 INLINE_TERMS = 1000
 ANCHOR = 6
+BLOCK = 64
 
 
 def short_list(terms: DataFrame | Sequence[str], limit: int = INLINE_TERMS) -> list[str] | None:
@@ -63,15 +65,29 @@ def joined_hits(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """
     terms = terms.withColumn("_anchor", F.substring("term", 1, ANCHOR))
     # At most ANCHOR + 1 rows, whatever the number of terms.
-    shapes = terms.groupBy(F.length("_anchor").alias("n")).agg(F.max(F.length("term")).alias("longest")).collect()
+    shapes = terms.groupBy(F.length("_anchor").alias("n")).agg(
+        F.max(F.length("term")).alias("longest"),
+        F.count("*").alias("rows"),
+        F.sum(F.octet_length("term")).alias("size"),
+    ).collect()
+    if fits(sum(row["rows"] for row in shapes), sum(row["size"] for row in shapes)):
+        terms = F.broadcast(terms)
     sizes = sorted(row.n for row in shapes) or [0]
     longest = max((row.longest for row in shapes), default=0)
+    # Positions are counted in short overlapping blocks, since finding the nth character of
+    # a text takes n steps. An empty text has one position too, where an empty term is found.
     chars = texts.filter(F.col("_text").isNotNull()).select("_text_key", F.split("_text", "").alias("_chars"))
-    # An empty text has one position too, where an empty term is found.
-    at = chars.select("_text_key", "_chars", F.explode(F.sequence(F.lit(1), F.size("_chars"))).alias("_at"))
-    stretch = F.array_join(F.slice("_chars", F.col("_at"), F.lit(max(longest, 1))), "")
-    at = at.select("_text_key", stretch.alias("_stretch"))
-    anchors = F.array_distinct(F.array(*(F.substring("_stretch", 1, n) for n in sizes)))
-    offered = at.select("_text_key", "_stretch", F.explode(anchors).alias("_anchor"))
+    starts = F.explode(F.sequence(F.lit(1), F.size("_chars"), F.lit(BLOCK)))
+    cut = chars.select("_text_key", "_chars", starts.alias("_from")).select(
+        "_text_key",
+        # Never null, and said so: otherwise the join would test every stretch for null first.
+        F.coalesce(F.array_join(F.slice("_chars", F.col("_from"), F.lit(BLOCK + longest)), ""), F.lit("")).alias("_block"),
+        F.least(F.lit(BLOCK), F.size("_chars") - F.col("_from") + 1).alias("_n"),
+    )
+    at = cut.select("_text_key", "_block", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_at"))
+    stretch = F.substring("_block", F.col("_at"), F.lit(longest))
+    anchors = [F.substring(stretch, 1, n) for n in sizes]
+    anchor = anchors[0] if len(anchors) == 1 else F.explode(F.array_distinct(F.array(*anchors)))
+    offered = at.select("_text_key", stretch.alias("_stretch"), anchor.alias("_anchor"))
     match = (offered["_anchor"] == terms["_anchor"]) & F.startswith(offered["_stretch"], terms["term"])
     return offered.join(terms, match).select("_text_key", "pos", "term").distinct()

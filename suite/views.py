@@ -75,11 +75,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def view(spark: SparkSession, folder: str, text: str) -> DataFrame:
-    """A view of the given tables. Documents arrive in one split and are dealt out to all cores."""
+    """A view of the given tables. Texts arrive in one split and are dealt out to all cores."""
     names = [n for n in ("documents", "pages", "labels", "conversations", "part", "benchmark") if "{" + n + "}" in text]
     tables = {n: table(spark, folder, n) for n in names}
-    if "documents" in tables and "text" in text:
-        tables["documents"] = spread(tables["documents"])
+    for name, column in (("documents", ".text"), ("pages", ".html")):
+        if name in tables and column in text:
+            tables[name] = spread(tables[name])
     return spark.sql(text, **tables)
 
 
