@@ -41,7 +41,7 @@ def scratch_dir(spark: SparkSession) -> str:
 
     A temporary folder of this machine is used only on a local master, as in tests.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if shared:
         return shared.rstrip("/")
     if spark.sparkContext.master.startswith("local"):

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import time
 
 import duckdb
 from pyspark.sql import DataFrame
@@ -52,6 +51,5 @@ def difference(df: DataFrame, db, sql: str) -> str | None:
     return None
 
 
-def timed(call):
-    start = time.time()
-    return call(), time.time() - start
+def plan(df: DataFrame) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
