@@ -81,14 +81,17 @@ def ngram_words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD_PATTERN), F.lit(0))
 
 
-def ngrams(tokens: Column, low: int = 3, high: int = 5) -> Column:
-    """All n-grams of ``low`` to ``high`` tokens, as space-joined text."""
+def ngrams(tokens: Column, low: int = 3, high: int = 5, prefix: str = "") -> Column:
+    """All n-grams of ``low`` to ``high`` tokens, as space-joined text after ``prefix``."""
+
+    def start(word: Column) -> Column:
+        return F.concat(F.lit(prefix), word) if prefix else word
 
     def of_size(words: Column, n: int) -> Column:
         starts = F.slice(words, F.lit(1), F.greatest(F.size(words) - F.lit(n - 1), F.lit(0)))
         return F.transform(
             starts,
-            lambda first, i: F.concat_ws(" ", first, *(F.get(words, i + k) for k in range(1, n))),
+            lambda first, i: F.concat_ws(" ", start(first), *(F.get(words, i + k) for k in range(1, n))),
         )
 
     return let(tokens, lambda words: F.concat(*(of_size(words, n) for n in range(low, high + 1))))

@@ -1,7 +1,7 @@
 """Countable features of posts, per community.
 
 All features come out of one scan and one shuffle: a post becomes entries
-``(kind, item, n)`` and these are added up per community.
+of some kind and these are counted per community.
 """
 
 from __future__ import annotations
@@ -22,20 +22,12 @@ MIN_COUNT = 7
 NGRAM_SIZES = (3, 5)
 MIN_POSTS = 3
 
-KINDS = ("post", "token", "mention", "ngram", "domain")
-
-
-def _entry(kind: str, item: Column, n: Column) -> Column:
-    number = F.lit(KINDS.index(kind)).cast("tinyint")
-    return F.struct(number.alias("kind"), item.alias("item"), n.cast("long").alias("n"))
+# An entry is a letter for its kind, followed by the item.
+KINDS = {"post": "p", "token": "t", "mention": "m", "ngram": "g", "domain": "d"}
 
 
 def _each(kind: str, items: Column) -> Column:
-    return F.transform(items, lambda item: _entry(kind, item, F.lit(1)))
-
-
-def _total(kind: str, n: Column) -> Column:
-    return F.array(_entry(kind, F.lit(None).cast("string"), n))
+    return F.transform(items, lambda item: F.concat(F.lit(KINDS[kind]), item))
 
 
 def stored_links() -> Column:
@@ -48,7 +40,7 @@ def starts_mention(token: Column) -> Column:
 
 def feature_counts(
     posts: DataFrame,
-    kinds: Sequence[str] = KINDS,
+    kinds: Sequence[str] = tuple(KINDS),
     stopwords: DataFrame | Sequence[str] = (),
     lemmas: DataFrame | Mapping[str, str] | None = None,
     sizes: tuple[int, int] = NGRAM_SIZES,
@@ -57,30 +49,35 @@ def feature_counts(
 ) -> DataFrame:
     """Rows ``(subreddit, kind, item, cnt)``; posts without a community are left out.
 
-    ``post`` and ``token`` (number of posts, of cleaned tokens) have no item. Domains are
-    those of the stored ``external_links``.
+    ``post`` and ``token`` have a blank item. A post counts at most ``MIN_CLEAN_TOKENS`` tokens, which
+    is enough to tell whether its community has that many. Domains are those of the stored
+    ``external_links``.
     """
     found = posts.filter(F.col("subreddit").isNotNull())
     if {"token", "mention", "ngram"} & set(kinds):
         found = with_clean_tokens(found, stopwords, lemmas, compat=compat)
     if "ngram" in kinds:
         found = found.withColumn("_words", ngram_words(clean_text(F.col("tokens"))))
+    some = F.least(F.size("tokens"), F.lit(MIN_CLEAN_TOKENS)) if "tokens" in found.columns else None
     parts = {
-        "post": lambda: _total("post", F.lit(1)),
-        "token": lambda: _total("token", F.size("tokens")),
+        "post": lambda: F.array(F.lit(KINDS["post"])),
+        "token": lambda: F.array_repeat(F.lit(KINDS["token"]), some),
         "mention": lambda: _each("mention", F.filter("tokens", starts_mention)),
-        "ngram": lambda: _each("ngram", ngrams(F.col("_words"), *sizes)),
+        "ngram": lambda: ngrams(F.col("_words"), *sizes, prefix=KINDS["ngram"]),
         "domain": lambda: _each("domain", F.transform(stored_links(), lambda x: domain_of(x, link_mode))),
     }
     entries = F.concat(*(parts[kind]() for kind in kinds))
     rows = found.select("subreddit", F.explode(entries).alias("_entry"))
-    counts = rows.groupBy("subreddit", F.col("_entry.kind").alias("_kind"), F.col("_entry.item").alias("item")).agg(
-        F.sum("_entry.n").alias("cnt"),
-        # Taken as an aggregate, so that a filter on the kind is not moved below the shuffle:
-        # all readers of the counts then share one scan.
-        F.max("_entry.kind").alias("_which"),
+    counts = [F.count("*").alias("cnt")]
+    if len(kinds) > 1:
+        # The kind as an aggregate: a filter on it is then not moved below the shuffle, and all
+        # readers of the counts share one scan.
+        counts.append(F.max(F.ascii("_entry")).alias("_letter"))
+    letter = F.char("_letter") if len(kinds) > 1 else F.substring("_entry", 1, 1)
+    names = F.create_map(*(F.lit(x) for kind in KINDS for x in (KINDS[kind], kind)))
+    return rows.groupBy("subreddit", "_entry").agg(*counts).select(
+        "subreddit", names[letter].alias("kind"), F.substr("_entry", F.lit(2)).alias("item"), "cnt"
     )
-    return counts.select("subreddit", F.get(F.lit(list(KINDS)), F.col("_which").cast("int")).alias("kind"), "item", "cnt")
 
 
 def _of_kind(counts: DataFrame, kind: str, name: str) -> DataFrame:

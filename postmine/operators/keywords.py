@@ -42,7 +42,7 @@ def bundle_terms(terms: DataFrame, size: int = BUNDLE, mode: str = "bundled") ->
     quoted = terms.select(
         F.floor(F.col("pos") / per_query).cast("long").alias("query_no"), "pos", phrase(F.col("term")).alias("term")
     )
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "term")))
+    ordered = F.sort_array(F.collect_list(F.struct("pos", "term")))
     return quoted.groupBy("query_no").agg(
         F.array_join(ordered["term"], BUNDLE_GLUE).alias("query"), F.count("*").alias("n_terms")
     )

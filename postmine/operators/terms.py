@@ -50,7 +50,7 @@ def terms_in_text(
     keyed = df.withColumn("_text_key", F.sha2(text, 256))
     hits = joined_hits(keyed.select("_text_key", text.alias("_text")), as_table(df, terms))
     # One group per text, no larger than the terms found in it.
-    hits = hits.groupBy("_text_key").agg(F.array_sort(F.collect_list(F.struct("pos", "term"))).alias("_hits"))
+    hits = hits.groupBy("_text_key").agg(F.sort_array(F.collect_list(F.struct("pos", "term"))).alias("_hits"))
     found = F.coalesce(F.col("_hits.term"), F.array().cast("array<string>"))
     tagged = keyed.join(hits, "_text_key", "left")
     return tagged.withColumn("terms", F.when(F.col("_text_key").isNotNull(), found)).drop("_hits", "_text_key")

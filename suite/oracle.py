@@ -287,4 +287,10 @@ FROM (SELECT post_id, unnest(link_domains) AS domain FROM page_posts) GROUP BY p
     "csv_round_trip": query("""
 SELECT nullif(query, '') AS query, subreddit, post_id, link, date, author, nullif(title, '') AS title, nullif(body, '') AS body,
   n_comments, up_ratio, distinguished, is_nsfw, array_to_string(external_links, ' ') AS external_links FROM posts"""),
+    "comments_round_trip": query("SELECT post_id, comment_id, author, nullif(body, '') AS body FROM comments"),
+    "description_round_trip": query("""
+SELECT subreddit, CASE feature WHEN 'domain' THEN 'external_links' WHEN 'mention' THEN 'sub_mentions' WHEN 'ngram' THEN 'ngrams'
+  ELSE feature END AS feature, item, cnt FROM features WHERE feature <> 'n_comments'"""),
+    "saved_by_scope": query("SELECT scope, query, post_id FROM matched"),
+    "stopword_file": query("SELECT word FROM bench_words", BENCH_WORDS),
 }

@@ -15,8 +15,8 @@ from postmine.operators.groups import fold_counts
 from postmine.operators.normalize import normalize_posts
 from postmine.plans import collect, enrich
 from postmine.session import scratch_dir
-from postmine.sources.lists import scopes_table
-from postmine.sources.stored import read_posts, write_csv
+from postmine.sources.lists import read_stopwords, scopes_table
+from postmine.sources.stored import read_comments, read_description, read_posts, save_by_scope, write_csv
 from postmine.schemas import POST_COLUMNS
 from suite import views as v
 
@@ -291,12 +291,46 @@ def folded_domains(spark, folder):
 
 
 def csv_round_trip(spark, folder):
-    path = f"{scratch_dir(spark)}/posts-{uuid.uuid4().hex}"
+    path = _scratch(spark, "posts")
     write_csv(normalize_posts(v.view(spark, folder, v.RAW_POSTS)).select(*POST_COLUMNS), path)
     back = read_posts(spark, path, index_column=False)
     return back.withColumn("external_links", joined("external_links")).drop("created_at")
 
 
+def _scratch(spark, name):
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def comments_round_trip(spark, folder):
+    path = _scratch(spark, "comments")
+    write_csv(v.comments(spark, folder), path)
+    return read_comments(spark, path, index_column=False)
+
+
+def description_round_trip(spark, folder):
+    path = _scratch(spark, "description")
+    write_csv(enrich.description_with_maps(_enriched(spark, folder)).drop("part"), path)
+    back = read_description(spark, path, index_column=False)
+    opened = [
+        back.select("subreddit", F.lit(name).alias("feature"), F.explode(name).alias("item", "cnt"))
+        for name in ("external_links", "sub_mentions", "ngrams")
+    ]
+    posts = back.select("subreddit", F.lit("n_posts").alias("feature"), F.lit("").alias("item"), F.col("n_posts").alias("cnt"))
+    return dedupe.append_rows(posts, *opened)
+
+
+def saved_by_scope(spark, folder):
+    path = _scratch(spark, "scopes")
+    save_by_scope(matched(spark, folder), path)
+    return spark.read.parquet(path).select("scope", "query", "post_id")
+
+
+def stopword_file(spark, folder):
+    path = _scratch(spark, "words")
+    benchmark_words(spark, folder).withColumnRenamed("word", "value").write.text(path)
+    return read_stopwords(spark, path)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -309,7 +343,8 @@ QUERIES: dict[str, Query] = {
         posts_of_flagged_authors, rows_per_author, domains_per_author, append_rows, remove_duplicates, remove_copies,
         repeat_posts, repeat_authors, column_widths, preview, dataset_size, collect_search,
         collect_search_description, collect_search_domains, collect_top, collect_new, enriched_description,
-        description_map_entries, folded_domains, csv_round_trip,
+        description_map_entries, folded_domains, csv_round_trip, comments_round_trip, description_round_trip,
+        saved_by_scope, stopword_file,
     )
 }
 QUERIES["normalize_posts"] = QUERIES.pop("stored_posts")
