@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 GROUP_LIMIT = 1000
 ORDERS = {"new": "created_at", "top": "score", "comments": "n_comments"}
 
-SPREAD = 64
+SPREAD = 256
 
 
 def _ranked(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:

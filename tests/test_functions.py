@@ -25,7 +25,7 @@ LINKS = [
     ("twitter.com", ["twitter.com"], ["twitter"], ["twitter.com"], ["itter"]),
     ("https://www.example.com/a.html", ["https://www.example.com/a.html"], ["example"],
      ["https://www.example.com/a"], ["example"]),
-    ("old.reddit.com", ["old.reddit.com"], ["reddit"], ["old.reddit"], ["old"]),
+    ("old.reader.com", ["old.reader.com"], ["reader"], ["old.reader"], ["old"]),
     ("en.wikipedia.org", ["en.wikipedia.org"], ["wikipedia"], [".wikipedia.org"], ["ikipedia"]),
     ("end.my friend", [], [], ["end.my"], ["end"]),
     ("foo.bar", [], [], [], []),
