@@ -5,6 +5,8 @@ import re
 import pytest
 
 import __spark_entry__ as driver
+from suite.oracle import ORACLE
+from suite.queries import QUERIES
 from tests.compare import connect, difference, plan
 
 FOLDER = "/root/testdata/sf0.001"
@@ -15,15 +17,16 @@ def db():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, db, name):
-    df = driver.queries()[name](spark, FOLDER)
+    df = QUERIES[name](spark, FOLDER)
     assert not re.search(r"CartesianProduct|BroadcastNestedLoopJoin|Python|ArrowEval|InPandas", plan(df))
-    assert difference(df, db, driver.oracle_sql()[name]) is None
+    assert difference(df, db, ORACLE[name]) is None
 
 
 def test_every_query_has_sql():
-    assert set(driver.queries()) == set(driver.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(driver.queries()) and set(ORACLE) <= set(driver.oracle_sql())
 
 
 def test_entry(spark):
