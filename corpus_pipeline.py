@@ -4,18 +4,30 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from postmine.llm import packing, quality
+from pyspark.sql import functions as F
+
+from postmine.llm import packing, pseudonyms, quality
+from postmine.llm.queries import KEY
 from postmine.llm.rows import settle, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def with_length(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
     chain = quality.fit_line_chain(docs, table(spark, sf_dir, "labels"))
     return quality.quality_rules(docs, chain, keep=COLUMNS).filter("kept").select(*COLUMNS)
 
 
+def feistel_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal values replaced."""
+    return with_length(pseudonyms.pseudonymize(docs, KEY))
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where every piece of every document goes."""
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -23,6 +35,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 STAGES = [
     ("quality rules", quality_rules),
+    ("PII pseudonyms", feistel_pseudonyms),
     ("best-fit packing", best_fit_packing),
 ]
 

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from postmine.llm.rows import map_batches
 
-#: Labelled documents that train the chain, per class, and the lines read of each of them then. Scoring has no bound.
+#: Bounds of the training sample: labelled documents per class, and lines and characters of each. Scoring has no bound.
 TRAINING_DOCUMENTS = 600
 TRAINING_LINES = 60
+TRAINING_CHARS = 20_000
 #: A document is kept if at least this share of its words stands in content lines.
 CONTENT_SHARE = 0.5
 
@@ -159,8 +160,8 @@ def fit_line_chain(docs: DataFrame, labels: DataFrame, sample: int = TRAINING_DO
     # A broadcast of at most 2 * sample ids.
     wanted = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in known], "doc_id long"))
     rows = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").filter("text IS NOT NULL")
-    # The start of a text is enough to train on, and bounds what the driver holds.
-    found = sorted((r.doc_id, r.text) for r in rows.select("doc_id", F.substring("text", 1, 20_000).alias("text")).dropDuplicates(["doc_id"]).collect())
+    begun = rows.groupBy("doc_id").agg(F.min(F.substring("text", 1, TRAINING_CHARS)).alias("text"))
+    found = sorted((r.doc_id, r.text) for r in begun.collect())
     lines = [(_lines(text.encode())[:TRAINING_LINES], known[i]) for i, text in found]
     lines = [(x, y) for x, y in lines if x]
     return train([line_features(x) for x, _ in lines], [y for _, y in lines]) if lines else LineChain.blank()

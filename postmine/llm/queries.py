@@ -5,9 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from postmine.llm import packing, quality
+from postmine.llm import packing, pseudonyms, quality
 from postmine.llm.rows import table
 
+#: The key of the pseudonyms in these queries; a deployment takes its own secret.
+KEY = "example key"
+
 
 def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
@@ -18,5 +21,10 @@ def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing)}
+def op3_feistel_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return pseudonyms.pseudonymize(docs, KEY, count="n_values")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_feistel_pseudonyms)}
 ORACLE: dict[str, str] = {}
