@@ -7,23 +7,51 @@ and are remembered, because the same words come again and again.
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
-import numpy as np
 from tokenizers import Tokenizer
 
-#: A remembered piece is at most so long, and so many are remembered per worker; others are encoded each time.
-PIECE_CHARS = 48
-PIECES = 1_500_000
+#: A remembered piece is at most so long, and so many are remembered per worker; longer ones are encoded each time.
+PIECE_CHARS = 32
+PIECES = 800_000
 
 #: Before a single space between two other characters a byte-level pre-tokenizer always cuts: the space goes with
 #: what follows. ``\s`` here takes in all that the tokenizer counts as white space.
 BYTE_LEVEL_CUT = re.compile(r"(?<=\S) (?=\S)")
 
+#: A text without these, and without white space at its ends, can be cut at each space.
+UNUSUAL = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def byte_level_cut(text: str) -> list[str]:
+    plain = not (
+        "  " in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n" or UNUSUAL.search(text)
+    )
+    return text.split(" ") if plain else BYTE_LEVEL_CUT.split(text)
+
+
 #: Where the word tokenizer drops white space; inside a piece there is none left.
 WHITE = re.compile(r"[\t-\r \x85\xa0  -     　]+")
 
 
+#: Letters that every normal form leaves alone, then signs that are neither letters, digits nor apostrophes.
+SIMPLE = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:;=?-@\\[-`{-~]{0,8})")
+
+
+def _byte_level() -> dict[int, str]:
+    """What the byte-level alphabet writes for a space and for Latin letters beyond ASCII."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    sign = {b: chr(b) for b in shown}
+    for b in range(256):
+        if b not in sign:
+            sign[b] = chr(256 + len(sign) - len(shown))
+    return {32: sign[32], **{c: "".join(sign[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}}
+
+
+BYTE_LEVEL = _byte_level()
+
+
 class Pieces:
     """Ids as little-endian unsigned 32-bit integers, by piece."""
 
@@ -33,35 +61,51 @@ class Pieces:
         self.tokenizer.no_truncation()
         self.prefix = prefix
         self.memo: dict[str, bytes] = {}
+        self.passing: list[str] = []
+        self.tails: dict[str, bytes] = {}
+        self.space = BYTE_LEVEL[32] if prefix else ""
+        self.lower = "Lowercase" in str(self.tokenizer.normalizer)
+        self.tokenize = self.tokenizer.model.tokenize
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([self.prefix + p for p in pieces], add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+        """Most pieces are a word and punctuation: two words for the model, without the library's splitting."""
+        out: list[bytes] = []
+        rest = []
+        for piece in pieces:
+            if found := SIMPLE.fullmatch(piece):
+                word, tail = found.groups()
+                out.append(self._word(self.space + (word.lower() if self.lower else word).translate(BYTE_LEVEL)) + (self._tail(tail) if tail else b""))
+            else:
+                rest.append((len(out), piece))
+                out.append(b"")
+        found = self.tokenizer.encode_batch_fast([self.prefix + p for _, p in rest], add_special_tokens=False)
+        for (i, _), x in zip(rest, found):
+            out[i] = array("I", x.ids).tobytes()
+        return out
+
+    def _word(self, word: str) -> bytes:
+        return array("I", [t.id for t in self.tokenize(word)]).tobytes()
+
+    def _tail(self, tail: str) -> bytes:
+        if tail not in self.tails:
+            self.tails[tail] = self._word(tail)
+        return self.tails[tail]
 
     def learn(self, texts: list[list[str]]) -> dict[str, bytes]:
-        """The ids of all pieces of ``texts``, as a look-up table."""
+        """The ids of all pieces of ``texts``, as a look-up table that holds until the next call."""
+        for piece in self.passing:
+            self.memo.pop(piece, None)
         new = set()
         for pieces in texts:
             new.update(set(pieces).difference(self.memo))
         if len(self.memo) + len(new) > PIECES:
             self.memo.clear()
             new = set().union(*texts)
-        short = [p for p in new if len(p) <= PIECE_CHARS]
-        for i in range(0, len(short), 20_000):
-            self.memo.update(zip(short[i : i + 20_000], self._encode(short[i : i + 20_000])))
-        long = [p for p in new if len(p) > PIECE_CHARS]
-        return self.memo if not long else _Both(self.memo, dict(zip(long, self._encode(long))))
-
-
-class _Both(dict):
-    """Remembered pieces, then those of this batch only."""
-
-    def __init__(self, memo: dict, more: dict):
-        super().__init__(more)
-        self.memo = memo
-
-    def __missing__(self, piece: str) -> bytes:
-        return self.memo[piece]
+        self.passing = [p for p in new if len(p) > PIECE_CHARS]
+        new = list(new)
+        for i in range(0, len(new), 20_000):
+            self.memo.update(zip(new[i : i + 20_000], self._encode(new[i : i + 20_000])))
+        return self.memo
 
 
 @lru_cache(maxsize=4)
@@ -72,7 +116,7 @@ def pieces(path: str, prefix: str = "") -> Pieces:
 
 def byte_level_ids(path: str, texts: list[str | None]) -> list[bytes]:
     """Ids of whole texts for a byte-level tokenizer without added space; null counts as empty."""
-    cut = [BYTE_LEVEL_CUT.split(t) if t else [] for t in texts]
+    cut = [byte_level_cut(t) if t else [] for t in texts]
     first = pieces(path).learn([c[:1] for c in cut])
     rest = pieces(path, " ").learn([c[1:] for c in cut])
     return [first[c[0]] + b"".join(map(rest.__getitem__, c[1:])) if c else b"" for c in cut]
