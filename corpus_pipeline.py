@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmine.llm import packing, pseudonyms, quality
+from postmine.llm import jaccard, packing, pseudonyms, quality, repeats
 from postmine.llm.queries import KEY
 from postmine.llm.rows import settle, table
 
@@ -23,6 +23,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.quality_rules(docs, chain, keep=COLUMNS).filter("kept").select(*COLUMNS)
 
 
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the least id; rows without an id stay."""
+    found = jaccard.similarity_components(docs)
+    first = found.filter("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(first, "doc_id", "left_semi").union(docs.filter("doc_id IS NULL")).select(*COLUMNS)
+
+
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the strings that an earlier one holds."""
+    return with_length(repeats.remove_repeats(docs, keep=["lang", "source"], text=True))
+
+
 def feistel_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal values replaced."""
     return with_length(pseudonyms.pseudonymize(docs, KEY))
@@ -35,6 +47,8 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 STAGES = [
     ("quality rules", quality_rules),
+    ("n-gram Jaccard join", ngram_jaccard_join),
+    ("suffix-array dedup", suffix_array_dedup),
     ("PII pseudonyms", feistel_pseudonyms),
     ("best-fit packing", best_fit_packing),
 ]

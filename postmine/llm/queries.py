@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from postmine.llm import packing, pseudonyms, quality
+from postmine.llm import jaccard, packing, pseudonyms, quality, repeats
 from postmine.llm.rows import table
 
 #: The key of the pseudonyms in these queries; a deployment takes its own secret.
@@ -26,5 +26,16 @@ def op3_feistel_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
     return pseudonyms.pseudonymize(docs, KEY, count="n_values")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_feistel_pseudonyms)}
+def op4_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.similarity_components(table(spark, folder, "documents"))
+
+
+def op9_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, folder, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_quality_rules, op2_best_fit_packing, op3_feistel_pseudonyms, op4_ngram_jaccard_join, op9_suffix_array_dedup)
+}
 ORACLE: dict[str, str] = {}
