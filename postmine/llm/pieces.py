@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 from tokenizers import Tokenizer
 
 #: A remembered piece is at most so long, and so many are remembered per worker; longer ones are encoded each time.
 PIECE_CHARS = 32
-PIECES = 800_000
+PIECES = 1_000_000
 
 #: Before a single space between two other characters a byte-level pre-tokenizer always cuts: the space goes with
 #: what follows. ``\s`` here takes in all that the tokenizer counts as white space.
@@ -32,7 +33,9 @@ def byte_level_cut(text: str) -> list[str]:
 
 
 #: Where the word tokenizer drops white space; inside a piece there is none left.
-WHITE = re.compile(r"[\t-\r \x85\xa0  -     　]+")
+WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: White space for str.split() alone.
+NO_SPACE = re.compile("[\x1c-\x1f]")
 
 
 #: Letters that every normal form leaves alone, then signs that are neither letters, digits nor apostrophes.
@@ -52,36 +55,34 @@ def _byte_level() -> dict[int, str]:
 BYTE_LEVEL = _byte_level()
 
 
-class Pieces:
-    """Ids as little-endian unsigned 32-bit integers, by piece."""
+class Pieces(dict):
+    """Ids as little-endian unsigned 32-bit integers, by piece; missing ones are encoded."""
 
     def __init__(self, path: str, prefix: str = ""):
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.prefix = prefix
-        self.memo: dict[str, bytes] = {}
-        self.passing: list[str] = []
         self.tails: dict[str, bytes] = {}
         self.space = BYTE_LEVEL[32] if prefix else ""
         self.lower = "Lowercase" in str(self.tokenizer.normalizer)
         self.tokenize = self.tokenizer.model.tokenize
 
-    def _encode(self, pieces: list[str]) -> list[bytes]:
+    def __missing__(self, piece: str) -> bytes:
         """Most pieces are a word and punctuation: two words for the model, without the library's splitting."""
-        out: list[bytes] = []
-        rest = []
-        for piece in pieces:
-            if found := SIMPLE.fullmatch(piece):
-                word, tail = found.groups()
-                out.append(self._word(self.space + (word.lower() if self.lower else word).translate(BYTE_LEVEL)) + (self._tail(tail) if tail else b""))
-            else:
-                rest.append((len(out), piece))
-                out.append(b"")
-        found = self.tokenizer.encode_batch_fast([self.prefix + p for _, p in rest], add_special_tokens=False)
-        for (i, _), x in zip(rest, found):
-            out[i] = array("I", x.ids).tobytes()
-        return out
+        if found := SIMPLE.fullmatch(piece):
+            word, tail = found.groups()
+            ids = self._word(self.space + (word.lower() if self.lower else word).translate(BYTE_LEVEL))
+            if tail:
+                ids += self._tail(tail)
+        else:
+            ids = array("I", self.tokenizer.encode(self.prefix + piece, add_special_tokens=False).ids).tobytes()
+        if len(piece) <= PIECE_CHARS:
+            if len(self) >= PIECES:
+                self.clear()
+            self[piece] = ids
+        return ids
 
     def _word(self, word: str) -> bytes:
         return array("I", [t.id for t in self.tokenize(word)]).tobytes()
@@ -91,22 +92,6 @@ class Pieces:
             self.tails[tail] = self._word(tail)
         return self.tails[tail]
 
-    def learn(self, texts: list[list[str]]) -> dict[str, bytes]:
-        """The ids of all pieces of ``texts``, as a look-up table that holds until the next call."""
-        for piece in self.passing:
-            self.memo.pop(piece, None)
-        new = set()
-        for pieces in texts:
-            new.update(set(pieces).difference(self.memo))
-        if len(self.memo) + len(new) > PIECES:
-            self.memo.clear()
-            new = set().union(*texts)
-        self.passing = [p for p in new if len(p) > PIECE_CHARS]
-        new = list(new)
-        for i in range(0, len(new), 20_000):
-            self.memo.update(zip(new[i : i + 20_000], self._encode(new[i : i + 20_000])))
-        return self.memo
-
 
 @lru_cache(maxsize=4)
 def pieces(path: str, prefix: str = "") -> Pieces:
@@ -114,16 +99,20 @@ def pieces(path: str, prefix: str = "") -> Pieces:
     return Pieces(path, prefix)
 
 
-def byte_level_ids(path: str, texts: list[str | None]) -> list[bytes]:
+def byte_level_ids(path: str, texts: Iterable[str | None]) -> Iterator[bytes]:
     """Ids of whole texts for a byte-level tokenizer without added space; null counts as empty."""
-    cut = [byte_level_cut(t) if t else [] for t in texts]
-    first = pieces(path).learn([c[:1] for c in cut])
-    rest = pieces(path, " ").learn([c[1:] for c in cut])
-    return [first[c[0]] + b"".join(map(rest.__getitem__, c[1:])) if c else b"" for c in cut]
+    first, rest = pieces(path), pieces(path, " ")
+    for text in texts:
+        if text:
+            cut = byte_level_cut(text)
+            yield first[cut[0]] + b"".join(map(rest.__getitem__, cut[1:]))
+        else:
+            yield b""
 
 
-def word_ids(path: str, texts: list[str | None]) -> list[bytes]:
+def word_ids(path: str, texts: Iterable[str | None]) -> Iterator[bytes]:
     """Ids of whole texts for a tokenizer that drops white space; null counts as empty."""
-    cut = [[p for p in WHITE.split(t) if p] if t else [] for t in texts]
-    known = pieces(path).learn(cut)
-    return [b"".join(map(known.__getitem__, c)) for c in cut]
+    known = pieces(path)
+    for text in texts:
+        text = text or ""
+        yield b"".join(map(known.__getitem__, [p for p in WHITE.split(text) if p] if NO_SPACE.search(text) else text.split()))
