@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from postmine.llm import jaccard, packing, pseudonyms, quality, repeats
+from postmine.llm import forced_bpe, jaccard, packing, pseudonyms, quality, repeats
 from postmine.llm.rows import table
 
 #: The key of the pseudonyms in these queries; a deployment takes its own secret.
@@ -34,8 +34,15 @@ def op9_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, folder, "documents"))
 
 
+def op10_forced_boundary_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return forced_bpe.encode_and_decode(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_best_fit_packing, op3_feistel_pseudonyms, op4_ngram_jaccard_join, op9_suffix_array_dedup)
+    for f in (
+        op1_quality_rules, op2_best_fit_packing, op3_feistel_pseudonyms, op4_ngram_jaccard_join, op9_suffix_array_dedup,
+        op10_forced_boundary_bpe,
+    )
 }
 ORACLE: dict[str, str] = {}
