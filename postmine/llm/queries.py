@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from postmine.llm import forced_bpe, jaccard, packing, pseudonyms, quality, repair, repeats
+from postmine.llm import forced_bpe, jaccard, language, order_minhash, packing, pages, pseudonyms, quality, repair, repeats
 from postmine.llm.rows import table
 
 #: The key of the pseudonyms in these queries; a deployment takes its own secret.
@@ -30,11 +30,26 @@ def op4_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.similarity_components(table(spark, folder, "documents"))
 
 
+def op5_language_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    rows = language.document_evidence(docs).union(language.page_evidence(table(spark, folder, "pages")))
+    return language.identify(rows, language.fit_language_text(docs))
+
+
+def op6_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return order_minhash.order_fingerprints(table(spark, folder, "documents"))
+
+
 def op7_repair_token_files(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return repair.read_shards(repair.encode_to_shards(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1))
 
 
+def op8_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    found = table(spark, folder, "pages")
+    return pages.extract_pages(found, pages.fit_pages(found))
+
+
 def op9_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, folder, "documents"))
 
@@ -46,8 +61,8 @@ def op10_forced_boundary_bpe(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_quality_rules, op2_best_fit_packing, op3_feistel_pseudonyms, op4_ngram_jaccard_join, op7_repair_token_files,
-        op9_suffix_array_dedup, op10_forced_boundary_bpe,
+        op1_quality_rules, op2_best_fit_packing, op3_feistel_pseudonyms, op4_ngram_jaccard_join, op5_language_evidence,
+        op6_order_minhash, op7_repair_token_files, op8_main_text, op9_suffix_array_dedup, op10_forced_boundary_bpe,
     )
 }
 ORACLE: dict[str, str] = {}
