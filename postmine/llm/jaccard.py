@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -30,6 +31,8 @@ GROUP = 64
 BANDS, BAND_ROWS = 8, 4
 #: So many frequent tokens are told apart by their frequency in the order of tokens; this shapes cost, not results.
 FREQUENT = 300_000
+#: 64-bit words of the bitmap that keeps most texts from being moved in vain; a full one only costs time.
+WORDS_OF_BITS = 1 << 18
 #: Sizes travel as their logarithm, in steps of a tenth of a percent.
 STEP = np.log(1.001)
 SLACK = int(np.log(WHOLE / PART) / STEP) + 2
@@ -223,28 +226,48 @@ def _shared_tokens(found: pa.Table) -> pa.Table:
 
 
 def _stars(sets: DataFrame) -> DataFrame:
-    """Pairs a, b of sids to verify: each set with the least and the greatest one it shares a band with."""
+    """a, low and high: each set with the least and the greatest one that it shares a band with."""
     bands = sets.select("sid", F.explode("bands").alias("band"))
     ends = bands.groupBy("band").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).filter("low <> high")
-    pivots = bands.join(ends, "band").groupBy("sid").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    pairs = pivots.select(F.col("sid").alias("a"), F.explode(F.array("low", "high")).alias("b"))
-    return pairs.filter("a <> b").distinct()
+    return bands.join(ends, "band").groupBy(F.col("sid").alias("a")).agg(F.min("low").alias("low"), F.max("high").alias("high"))
 
 
-def _tokens_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """sid and packed tokens of the wanted sets (doc_id, sid)."""
+def _likely(ids: DataFrame):
+    """A test for doc_ids that passes all of ``ids`` (one column) and few others, of at most WORDS_OF_BITS * 8 bytes."""
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(WORDS_OF_BITS * 64))
+    words = ids.select(at.alias("at")).selectExpr("at DIV 64 AS w", "shiftleft(1L, CAST(at % 64 AS INT)) AS bit")
+    found = words.groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(WORDS_OF_BITS, np.uint64)
+    bits[found.column("w").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+
+    @F.pandas_udf("boolean")
+    def test(place):
+        at = place.fillna(0).to_numpy().astype(np.int64)
+        return pd.Series((bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1) & place.notna()
+
+    return test(F.when(F.col("doc_id").isNotNull(), at))
 
-    def each(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {"sid": [], "tokens": []}
-        for text, sid in zip(batch.column("text").to_pylist(), batch.column("sid").to_pylist()):
-            tokens = shingles(text)
-            if set_id(tokens) == sid:  # else another text under the same id
-                out["sid"].append(sid)
-                out["tokens"].append(tokens.tobytes())
-        return out
 
-    found = map_batches(docs.join(wanted, "doc_id").select("text", "sid"), each, "sid long, tokens binary")
-    return found.dropDuplicates(["sid"])
+def _tokens_of(docs: DataFrame, sets: DataFrame, needed: DataFrame) -> DataFrame:
+    """sid and packed tokens of the needed sets, from the texts of their documents; other texts are not moved."""
+    wanted = settle(sets.select("doc_id", "sid").join(needed, "sid").select("doc_id", "sid"), "wanted")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # All rows of a doc_id come to one task.
+        for batch in batches:
+            sids, tokens = [], []
+            for text, sid in zip(batch.column("text").to_pylist(), batch.column("sid").to_pylist()):
+                if sid in seen:
+                    continue
+                found = shingles(text)
+                if set_id(found) == sid:  # else another text under the same id
+                    seen.add(sid)
+                    sids.append(sid)
+                    tokens.append(found.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(tokens, pa.binary())], ["sid", "tokens"])
+
+    found = docs.filter(_likely(wanted.select("doc_id"))).join(wanted, "doc_id").select("text", "sid")
+    return settle(found.mapInArrow(run, "sid long, tokens binary"), "tokens")
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -317,10 +340,11 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     blocks = docs.mapInArrow(_prefix_blocks(ranges, frequent, rank), "range int, payload binary")
     shared = settle(blocks.groupBy("range").applyInArrow(_shared_tokens, "token long, sid long"), "shared")
     stars = settle(_stars(sets), "stars")
-    needed = shared.select("sid").union(stars.select("a")).union(stars.select("b")).distinct()
-    tokens = settle(_tokens_of(docs, sets.select("doc_id", "sid").join(needed, "sid")), "tokens")
-
-    star_links = settle(_verified(stars, tokens), "star-links")
+    drawn = stars.select(F.col("a").alias("sid")).union(stars.select("low")).union(stars.select("high")).distinct()
+    tokens = _tokens_of(docs, sets, drawn)
+    low = settle(_verified(stars.filter("a <> low").select("a", F.col("low").alias("b")), tokens), "star-links")
+    rest = stars.filter("a <> low AND a <> high").join(low, "a", "left_anti").select("a", F.col("high").alias("b"))
+    star_links = low.union(settle(_verified(rest, tokens), "star-links"))
     clusters = settle(components(star_links), "clusters")
     # Every set that shares a token, with its cluster and group; a set without links is a cluster of its own.
     size = F.coalesce("size", F.lit(1))
@@ -346,7 +370,9 @@ def similarity_components(docs: DataFrame) -> DataFrame:
         cells.select("token", F.col("sid").alias("a"), "n", "cluster", "size").join(matrix, "token").filter(asks & fits).select("a", "group").distinct()
     )
     candidates = settle(candidates, "candidates")
-    asked = member.join(candidates.select("group").distinct(), "group").select("sid", "group")
+    asked = settle(member.join(candidates.select("group").distinct(), "group").select("sid", "group"), "asked")
+    drawn = asked.select("sid").union(candidates.select("a")).distinct()
+    tokens = _tokens_of(docs, sets, drawn)
     unions = tokens.join(asked, "sid").select("group", "tokens").groupBy("group").applyInArrow(_union, "group long, least long, union binary")
     opened = _qualifying(candidates, tokens, unions)
     pairs = opened.join(asked, "group").select("a", F.col("sid").alias("b"))
