@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -12,6 +13,8 @@ from postmine.functions.text import MIN_CLEAN_TOKENS, clean_tokens, corpus_line
 from postmine.operators.ranking import first_per_key
 
 MIN_REPEATS = 2
+#: The checksum of no tokens.
+BLANK = hashlib.sha256(b"").hexdigest()
 
 
 def append_rows(*tables: DataFrame) -> DataFrame:
@@ -29,13 +32,18 @@ def content_key(stopwords: Sequence[str] = ()) -> Column:
 
 
 def remove_duplicates(posts: DataFrame, by: str = "id") -> DataFrame:
-    """The earliest row of every post id, or with ``by="content"`` of every cleaned text."""
+    """The earliest row of every post id, or with ``by="content"`` of every cleaned text.
+
+    Posts whose text has no token left are no copies of each other: all of them stay.
+    """
     if by not in ("id", "content"):
         raise ValueError('by must be "id" or "content"')
     if by == "id":
         return first_per_key(posts, ["post_id"], [F.asc(c) for c in ("created_at", "query", "subreddit", "title", "body")])
     order = [F.asc(c) for c in ("created_at", "post_id", "query", "subreddit", "title", "body")]
-    return first_per_key(posts.withColumn("_content", content_key()), ["_content"], order).drop("_content")
+    keyed = posts.withColumn("_content", content_key()).withColumn("_blank", F.coalesce(F.col("_content") == BLANK, F.lit(True)))
+    told = first_per_key(keyed.filter("NOT _blank"), ["_content"], order)
+    return told.union(keyed.filter("_blank")).drop("_content", "_blank")
 
 
 def repeat_posts(posts: DataFrame, min_repeats: int = MIN_REPEATS) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postmine.functions.links import domain_of
@@ -23,7 +23,7 @@ NGRAM_SIZES = (3, 5)
 MIN_POSTS = 3
 
 # An entry is a letter for its kind, followed by the item.
-KINDS = {"post": "p", "token": "t", "mention": "m", "ngram": "g", "domain": "d"}
+KINDS = {"post": "p", "gate": "t", "mention": "m", "ngram": "g", "domain": "d"}
 
 
 def _each(kind: str, items: Column) -> Column:
@@ -49,19 +49,19 @@ def feature_counts(
 ) -> DataFrame:
     """Rows ``(subreddit, kind, item, cnt)``; posts without a community are left out.
 
-    ``post`` and ``token`` have a blank item. A post counts at most ``MIN_CLEAN_TOKENS`` tokens, which
-    is enough to tell whether its community has that many. Domains are those of the stored
+    ``post`` and ``gate`` have a blank item. ``gate`` is no count of tokens: a post adds at most
+    ``MIN_CLEAN_TOKENS`` to it, enough to tell whether its community has that many. Domains are those of the stored
     ``external_links``.
     """
     found = posts.filter(F.col("subreddit").isNotNull())
-    if {"token", "mention", "ngram"} & set(kinds):
+    if {"gate", "mention", "ngram"} & set(kinds):
         found = with_clean_tokens(found, stopwords, lemmas, compat=compat)
     if "ngram" in kinds:
         found = found.withColumn("_words", ngram_words(clean_text(F.col("tokens"))))
     some = F.least(F.size("tokens"), F.lit(MIN_CLEAN_TOKENS)) if "tokens" in found.columns else None
     parts = {
         "post": lambda: F.array(F.lit(KINDS["post"])),
-        "token": lambda: F.array_repeat(F.lit(KINDS["token"]), some),
+        "gate": lambda: F.array_repeat(F.lit(KINDS["gate"]), some),
         "mention": lambda: _each("mention", F.filter("tokens", starts_mention)),
         "ngram": lambda: ngrams(F.col("_words"), *sizes, prefix=KINDS["ngram"]),
         "domain": lambda: _each("domain", F.transform(stored_links(), lambda x: domain_of(x, link_mode))),
@@ -89,11 +89,11 @@ def _admitted(counts: DataFrame, kind: str, least: int) -> DataFrame:
 
 
 def mentions_of(counts: DataFrame) -> DataFrame:
-    """Mention counts out of :func:`feature_counts` with kinds ``mention`` and ``token``.
+    """Mention counts out of :func:`feature_counts` with kinds ``mention`` and ``gate``.
 
     A community whose whole text keeps two tokens or fewer has none.
     """
-    admitted = _admitted(counts, "token", MIN_CLEAN_TOKENS)
+    admitted = _admitted(counts, "gate", MIN_CLEAN_TOKENS)
     return _of_kind(counts, "mention", "mention").join(admitted, "subreddit", "left_semi")
 
 
@@ -118,7 +118,7 @@ def mentions(
     lemmas: DataFrame | Mapping[str, str] | None = None,
 ) -> DataFrame:
     """How often each community mentions another in its cleaned text."""
-    return mentions_of(feature_counts(posts, ("token", "mention"), stopwords, lemmas))
+    return mentions_of(feature_counts(posts, ("gate", "mention"), stopwords, lemmas))
 
 
 def raw_mentions(posts: DataFrame) -> DataFrame:
@@ -145,8 +145,10 @@ def frequent_ngrams(
 
 
 def ngram_report(ngrams: DataFrame) -> DataFrame:
-    """N-grams by count, then by text, both falling, within each community."""
-    return ngrams.orderBy("subreddit", F.desc("cnt"), F.desc("ngram"))
+    """N-grams by count, then by text, both falling, within each community, with their ``rank`` from 1."""
+    order = [F.desc("cnt"), F.desc("ngram")]
+    ranked = ngrams.withColumn("rank", F.row_number().over(Window.partitionBy("subreddit").orderBy(*order)).cast("long"))
+    return ranked.orderBy("subreddit", "rank")
 
 
 def domain_counts(posts: DataFrame, by: str = "subreddit", link_mode: str = "strict") -> DataFrame:

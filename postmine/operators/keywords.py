@@ -64,6 +64,14 @@ def build_queries(keywords: str | Sequence[str] | None, mode: str = "bundled", s
     return [KeywordQuery(BUNDLE_GLUE.join(f'"{term}"' for term in group), group) for group in groups]
 
 
+def queries_table(terms: DataFrame, mode: str = "bundled", size: int = BUNDLE) -> DataFrame:
+    """Rows ``(query, term)`` from rows ``(pos, term)``, as a keyword file gives them: bundled queries and their terms."""
+    known = terms.select("pos", "term").filter("term IS NOT NULL")
+    step = size if mode == "bundled" else 1
+    queries = bundle_terms(known, size, mode).select("query_no", "query")
+    return known.withColumn("query_no", F.floor(F.col("pos") / step).cast("long")).join(queries, "query_no").select("query", "term")
+
+
 def build_scopes(subs: str | Sequence[str] | None) -> list[str]:
     """Scopes of a community argument; nothing means everywhere."""
     if not subs:
@@ -105,7 +113,7 @@ def match_keywords(
 ) -> DataFrame:
     """One row per (scope, query, post) where the post holds any term of the query.
 
-    Terms are found anywhere in title or body, in any case. ``queries`` is a list, or a table
+    Terms are found anywhere in title or body, in any case; null terms are left out. ``queries`` is a list, or a table
     ``(query, term)`` for long lists. ``unique_ids`` drops repeated posts within a query.
     """
     scoped = in_scopes(posts, scopes)
@@ -122,30 +130,34 @@ def match_keywords(
 
 
 def _match_list(posts: DataFrame, queries: Sequence[KeywordQuery]) -> DataFrame:
-    table = [{"text": q.text, "terms": [t.lower() for t in q.terms] or [""]} for q in queries]
+    # A query that is listed more than once has the terms of all its places.
+    grouped: dict[str, list[str]] = {}
+    for q in queries:
+        grouped.setdefault(q.text, []).extend(t.lower() for t in q.terms or ("",) if t is not None)
+    table = [{"text": text, "terms": list(dict.fromkeys(terms))} for text, terms in grouped.items() if terms]
     values = constant(table, "array<struct<text:string,terms:array<string>>>")
     hits = let(
         search_text(),
         lambda text: F.filter(values, lambda q: F.exists(q["terms"], lambda term: F.contains(text, term))),
     )
-    return posts.withColumn("query", F.explode(hits["text"]))
+    return posts.drop("query").select("*", F.explode(hits["text"]).alias("query"))
 
 
 def _match_table(posts: DataFrame, queries: DataFrame, inline_limit: int) -> DataFrame:
-    rows = queries.select("query", "term").limit(inline_limit + 1).collect()
+    queries = queries.select("query", F.lower("term").alias("term")).filter("term IS NOT NULL").distinct()
+    rows = queries.limit(inline_limit + 1).collect()
     if len(rows) <= inline_limit:
         grouped: dict[str, list[str]] = {}
         for row in rows:
             grouped.setdefault(row["query"], []).append(row["term"])
         return _match_list(posts, [KeywordQuery(text, tuple(terms)) for text, terms in grouped.items()])
-    queries = queries.select("query", F.lower("term").alias("term")).distinct()
     terms = queries.select("term").distinct().withColumn("pos", F.lit(0))
     # The search text is never null, which the checksum does not show by itself.
     keyed = posts.drop("query").withColumn("_text_key", F.coalesce(F.sha2(search_text(), 256), F.lit("")))
     hits = joined_hits(keyed.select("_text_key", search_text().alias("_text")), terms)
     # Several terms of one query may be found in a text; the query counts once.
     found = hits.join(queries, "term").select("_text_key", "query").distinct()
-    return keyed.join(found, "_text_key").drop("_text_key")
+    return keyed.join(found, "_text_key").select(*(c for c in keyed.columns if c != "_text_key"), "query")
 
 
 def rows_per_scope(found: DataFrame, scopes: DataFrame) -> DataFrame:

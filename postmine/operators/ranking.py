@@ -48,8 +48,15 @@ def post_order(order: str = "new") -> list[Column]:
     return [F.desc(ORDERS[order]), F.asc("post_id")]
 
 
-def newest_per_group(posts: DataFrame, keys: list[str], lim: int = GROUP_LIMIT, order: str = "new") -> DataFrame:
-    """The ``lim`` newest (or top) posts of every group of ``keys``."""
+def unique_posts(posts: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per post id in every group of ``keys``, so that repeated rows do not use up a limit."""
+    return first_per_key(posts, [*keys, "post_id"], [F.desc("created_at"), F.asc("title"), F.asc("body")])
+
+
+def newest_per_group(posts: DataFrame, keys: list[str], lim: int | None = GROUP_LIMIT, order: str = "new") -> DataFrame:
+    """The ``lim`` newest (or top) posts of every group of ``keys``; all of them without a limit."""
+    if lim is None:
+        return posts
     return top_per_group(posts, keys, post_order(order), lim, spread_by="post_id")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmine.operators.ranking import GROUP_LIMIT, first_per_key, newest_per_group
+from postmine.operators.ranking import GROUP_LIMIT, first_per_key, newest_per_group, unique_posts
 
 INLINE_AUTHORS = 20_000
 
@@ -25,22 +25,26 @@ def comments_of(posts: DataFrame, comments: DataFrame) -> DataFrame:
 def comments_per_subreddit(posts: DataFrame, comments: DataFrame) -> DataFrame:
     """Rows ``(subreddit, n_comments)``.
 
-    Comments are counted per post first, so a post with very many of them joins as one row.
+    A repeated comment counts once. Comments are counted per post first, so a post with very many of
+    them joins as one row.
     """
-    per_post = comments.groupBy("post_id").agg(F.count("*").alias("n"))
+    per_post = unique_comments(comments).groupBy("post_id").agg(F.count("*").alias("n"))
     places = posts.filter(F.col("subreddit").isNotNull()).select("post_id", "subreddit").distinct()
     return per_post.join(places, "post_id").groupBy("subreddit").agg(F.sum("n").alias("n_comments"))
 
 
-def posts_of(posts: DataFrame, authors: DataFrame | Sequence[str], lim: int = GROUP_LIMIT) -> DataFrame:
-    """The ``lim`` newest posts of each given author (a list, or a table with ``author``)."""
+def posts_of(posts: DataFrame, authors: DataFrame | Sequence[str], lim: int | None = GROUP_LIMIT) -> DataFrame:
+    """The ``lim`` newest posts of each given author (a list, or a table with ``author``), or all of them.
+
+    A post that is there more than once counts once.
+    """
     if not isinstance(authors, DataFrame) and len(authors) <= INLINE_AUTHORS:
         found = posts.filter(F.col("author").isin(list(authors)))
     else:
         if not isinstance(authors, DataFrame):
             authors = posts.sparkSession.createDataFrame([(a,) for a in authors], "author string")
         found = posts.join(authors.select("author"), "author", "left_semi").select(*posts.columns)
-    return newest_per_group(found, ["author"], lim)
+    return newest_per_group(unique_posts(found, ["author"]), ["author"], lim)
 
 
 def rows_per_author(found: DataFrame, authors: DataFrame) -> DataFrame:

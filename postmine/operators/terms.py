@@ -23,16 +23,22 @@ BLOCK = 64
 def short_list(terms: DataFrame | Sequence[str], limit: int = INLINE_TERMS) -> list[str] | None:
     """The terms in order of ``pos`` if there are at most ``limit``, else None."""
     if not isinstance(terms, DataFrame):
-        return list(terms) if len(terms) <= limit else None
-    rows = terms.select("pos", "term").limit(limit + 1).collect()
-    return [row.term for row in sorted(rows, key=lambda r: r.pos)] if len(rows) <= limit else None
+        listed = [term for term in terms if term is not None]
+        return listed if len(listed) <= limit else None
+    rows = as_rows(terms).limit(limit + 1).collect()
+    return [row.term for row in sorted(rows)] if len(rows) <= limit else None
+
+
+def as_rows(terms: DataFrame) -> DataFrame:
+    """Distinct rows ``(pos, term)`` without null terms, which both ways start from."""
+    return terms.select("pos", "term").filter("term IS NOT NULL").distinct()
 
 
 def as_table(df: DataFrame, terms: DataFrame | Sequence[str]) -> DataFrame:
     """``terms`` as rows ``(pos, term)``."""
     if isinstance(terms, DataFrame):
-        return terms.select("pos", "term")
-    return df.sparkSession.createDataFrame(list(enumerate(terms)), "pos int, term string")
+        return as_rows(terms)
+    return df.sparkSession.createDataFrame([(i, term) for i, term in enumerate(terms) if term is not None], "pos int, term string")
 
 
 def terms_in_text(
@@ -40,7 +46,7 @@ def terms_in_text(
 ) -> DataFrame:
     """``df`` with ``terms``: those that occur in ``text``, in list order.
 
-    Repeated terms are reported as often as they are listed. Null text gives null.
+    Terms listed at several places are reported for each; a null term is none. Null text gives null.
     """
     listed = short_list(terms, inline_limit)
     if listed is not None:

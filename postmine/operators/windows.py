@@ -19,7 +19,7 @@ def _with_hits(posts: DataFrame, terms: DataFrame | Sequence[str], compat: bool,
         if isinstance(terms, DataFrame):
             terms = terms.withColumn("term", F.lower("term"))
         else:
-            terms = [term.lower() for term in terms]
+            terms = [term.lower() for term in terms if term is not None]
     return terms_in_text(posts, F.lower("body"), terms, inline_limit)
 
 

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postmine.operators.features import domain_counts
-from postmine.operators.keywords import build_queries, build_scopes, in_scopes, match_keywords, rows_per_scope
-from postmine.operators.ranking import GROUP_LIMIT, newest_per_group, past_year
+from postmine.operators.keywords import build_queries, build_scopes, in_scopes, match_keywords, queries_table, rows_per_scope
+from postmine.operators.ranking import GROUP_LIMIT, newest_per_group, past_year, unique_posts
 from postmine.operators.relations import posts_of, rows_per_author
 from postmine.sources.lists import scopes_table, terms_table
 from postmine.sources.stored import save_by_scope
@@ -31,7 +31,7 @@ def _saved(posts: DataFrame, asked: DataFrame, out: str | None) -> DataFrame:
     """Everything that follows reads the saved table instead of collecting again."""
     if out is None:
         return posts
-    save_by_scope(posts, out)
+    save_by_scope(posts, out, asked=asked)
     saved = posts.sparkSession.read.schema(posts.schema).parquet(out).select(*posts.columns)
     return saved.join(asked, "scope", "left_semi").select(*posts.columns)
 
@@ -49,7 +49,7 @@ def collect_posts(
     subs: str | Sequence[str] | DataFrame | None = None,
     keywords: str | Sequence[str] | DataFrame | None = None,
     mode: str = "search",
-    lim: int = GROUP_LIMIT,
+    lim: int | None = GROUP_LIMIT,
     query_mode: str = "bundled",
     post_order: str = "new",
     as_of: datetime | str | None = None,
@@ -60,16 +60,20 @@ def collect_posts(
 
     ``posts`` are normalised posts. ``search`` gives up to ``lim`` posts per scope and query,
     ``new`` up to ``lim`` per scope, ``top`` all posts of the year up to ``as_of``. The last two
-    ignore the keywords. With ``out`` the posts are saved there by scope.
+    ignore the keywords. Keywords are a string, a list, a table ``(query, term)``, or a table
+    ``(pos, term)`` as a keyword file gives it. With ``out`` the posts are saved there by scope.
     """
     spark = posts.sparkSession
     scopes = subs if isinstance(subs, DataFrame) else build_scopes(subs)
     if mode == "search":
-        queries = keywords if isinstance(keywords, DataFrame) else build_queries(keywords, query_mode)
+        if not isinstance(keywords, DataFrame):
+            queries = build_queries(keywords, query_mode)
+        else:
+            queries = keywords if "query" in keywords.columns else queries_table(keywords, query_mode)
         found = match_keywords(posts, queries, scopes)
         found = newest_per_group(found, ["scope", "query"], lim, post_order)
     elif mode == "new":
-        found = newest_per_group(in_scopes(posts, scopes), ["scope"], lim, "new")
+        found = newest_per_group(unique_posts(in_scopes(posts, scopes), ["scope"]), ["scope"], lim, "new")
     elif mode == "top":
         if as_of is None:
             raise ValueError("mode top needs as_of, the end of the year")

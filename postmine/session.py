@@ -13,10 +13,12 @@ SETTINGS = {
     # Hot join keys are split at run time, also where that costs one more shuffle.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # Joins are broadcast by measured size only; the library gives no broadcast hints.
+    # Joins are broadcast by size; the library hints at it only for tables that it has measured.
     "spark.sql.autoBroadcastJoinThreshold": "64MB",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "64MB",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Groups are cut before the shuffle for limits above the default of 1000 as well.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "1000000",
 }
 
 

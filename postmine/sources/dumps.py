@@ -7,15 +7,6 @@ from pyspark.sql import DataFrame, SparkSession
 from postmine.schemas import RAW_COMMENT, RAW_POST
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A table in fewer splits than there are cores, dealt out to all cores.
-
-    Large tables come in many splits and pass through unchanged, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def read_raw_posts(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     """Raw posts, one object per line, or any columnar format with the same columns."""
     return spark.read.schema(RAW_POST).format(fmt).load(path)

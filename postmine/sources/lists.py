@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postmine.functions.text import strip
+from postmine.operators.corpus import one_lemma
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -19,14 +20,18 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 def read_terms(spark: SparkSession, path: str, by: str = "line") -> DataFrame:
     """A keyword file as ``(pos, term)``, counted from 0: one term per line, or with ``by="word"`` per word.
 
-    The file is read whole by one task, since its order counts.
+    The file is read whole by one task, since its order counts. Of several files in a folder, positions
+    run on from one to the next, in order of their paths.
     """
     if by not in ("line", "word"):
         raise ValueError('by must be "line" or "word"')
     text = F.regexp_replace("value", "^\ufeff", "")
     pieces = F.transform(F.split(text, "\r\n|\r|\n" if by == "line" else r"\s+"), strip)
-    rows = spark.read.text(path, wholetext=True)
-    return rows.select(F.posexplode(F.filter(pieces, lambda piece: piece != "")).alias("pos", "term"))
+    rows = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
+    found = rows.select("path", F.posexplode(F.filter(pieces, lambda piece: piece != "")).alias("at", "term"))
+    # Keyword lists are short; a position over all files needs them in one order.
+    place = F.row_number().over(Window.orderBy("path", "at")) - 1
+    return found.select(place.alias("pos"), "term")
 
 
 def read_scopes(spark: SparkSession, path: str) -> DataFrame:
@@ -40,9 +45,8 @@ def read_stopwords(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_lemmas(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
-    """A file of ``form<sep>lemma`` lines."""
-    schema = "form string, lemma string"
-    return spark.read.schema(schema).option("sep", sep).csv(path).dropDuplicates(["form"])
+    """A file of ``form<sep>lemma`` lines; of several lemmas of a form the first in order counts."""
+    return one_lemma(spark.read.schema("form string, lemma string").option("sep", sep).csv(path))
 
 
 def read_authors(spark: SparkSession, path: str) -> DataFrame:

@@ -214,7 +214,8 @@ UNION ALL SELECT CAST(p_partkey AS BIGINT), concat('"', p_name, '"'), CAST(1 AS
 SELECT 'all' AS scope, (SELECT string_agg(concat('"', term, '"'), ' OR ' ORDER BY pos) FROM keywords) AS query, post_id
 FROM posts p WHERE EXISTS (SELECT 1 FROM keywords k WHERE contains(lower(concat_ws(' ', p.title, p.body)), lower(k.term)))"""),
     "match_everything": query(
-        "SELECT subreddit AS scope, '' AS query, post_id FROM posts WHERE subreddit IN ('src1', 'src2')"
+        "SELECT subreddit AS scope, '' AS query, post_id FROM posts WHERE subreddit IS NOT NULL"
+        " UNION ALL SELECT 'all' AS scope, '' AS query, post_id FROM posts"
     ),
     "match_phrase_table": query("""
 SELECT DISTINCT k.query, p.post_id FROM posts p
@@ -228,12 +229,12 @@ FROM (SELECT *, row_number() OVER (PARTITION BY scope, query ORDER BY score DESC
     "top_of_year": query("""
 SELECT post_id, date, score FROM posts WHERE date BETWEEN '2024-01-20 00:00:00' AND '2025-01-20 00:00:00'"""),
     "comments_of_posts": query("""
-SELECT DISTINCT c.* FROM comments c WHERE post_id IN (SELECT post_id FROM posts WHERE is_nsfw)"""),
+SELECT DISTINCT c.* FROM comments c WHERE post_id IN (SELECT post_id FROM posts)"""),
     "comments_per_subreddit": query("SELECT * FROM comment_counts"),
     "posts_of_authors": query("""
 SELECT author, post_id, date FROM by_author WHERE rn <= 10 AND author IN (SELECT author FROM authors)"""),
     "posts_of_flagged_authors": query("""
-SELECT author, post_id, date FROM by_author WHERE rn <= 1000 AND author IN (SELECT author FROM posts WHERE is_nsfw)"""),
+SELECT author, post_id, date FROM by_author WHERE author IN (SELECT author FROM posts WHERE is_nsfw)"""),
     "rows_per_author": query("""
 SELECT a.author AS subreddit, CAST(count(b.post_id) AS BIGINT) AS n_posts, CAST(0 AS BIGINT) AS n_comments
 FROM authors a LEFT JOIN by_author b ON b.author = a.author AND b.rn <= 10 GROUP BY a.author"""),
@@ -255,7 +256,10 @@ WHERE rn = 1""", COPY_TEXTS),
     ),
     "column_widths": query(" UNION ALL ".join(
         f"SELECT '{c}' AS \"column\", CAST(coalesce(max(length(CAST({c} AS VARCHAR))), 0) AS BIGINT) AS width FROM posts"
-        for c in ("subreddit", "post_id", "title", "body", "date", "score", "author")
+        for c in (
+            "query", "subreddit", "post_id", "link", "date", "author", "title", "body", "n_comments", "up_ratio", "distinguished",
+            "is_nsfw", "score",
+        )
     )),
     "preview": query("""
 SELECT subreddit, title, body AS content, score AS upvotes, up_ratio AS upvote_ratio, n_comments
@@ -269,8 +273,9 @@ FROM scopes s LEFT JOIN newest m ON m.scope = s.scope AND m.rn <= 50 GROUP BY s.
 SELECT scope AS subreddit, domain, CAST(count(*) AS BIGINT) AS cnt
 FROM (SELECT scope, unnest(link_domains) AS domain FROM newest WHERE rn <= 50) GROUP BY scope, domain"""),
     "collect_top": query("""
-SELECT subreddit AS scope, post_id, score FROM posts
-WHERE subreddit IN ('src1', 'src2') AND date BETWEEN '2024-01-20 00:00:00' AND '2025-01-20 00:00:00'"""),
+SELECT s.scope, post_id, score FROM posts p JOIN (SELECT source AS scope FROM documents UNION SELECT 'all') s
+  ON s.scope = 'all' OR s.scope = p.subreddit
+WHERE date BETWEEN '2024-01-20 00:00:00' AND '2025-01-20 00:00:00'"""),
     "collect_new": query("""
 SELECT scope, post_id FROM (SELECT s.scope, p.post_id,
     row_number() OVER (PARTITION BY s.scope ORDER BY p.created_utc DESC, p.post_id) AS rn
@@ -292,5 +297,22 @@ SELECT nullif(query, '') AS query, subreddit, post_id, link, date, author, nulli
 SELECT subreddit, CASE feature WHEN 'domain' THEN 'external_links' WHEN 'mention' THEN 'sub_mentions' WHEN 'ngram' THEN 'ngrams'
   ELSE feature END AS feature, item, cnt FROM features WHERE feature <> 'n_comments'"""),
     "saved_by_scope": query("SELECT scope, query, post_id FROM matched"),
+    "saved_twice": query("SELECT scope, query, post_id FROM matched WHERE scope <> 'src1'"),
+    "terms_by_line": query("SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS pos, p_name AS term FROM part"),
+    "terms_by_word": query("""
+SELECT row_number() OVER (ORDER BY p_partkey, i) - 1 AS pos, term
+FROM (SELECT p_partkey, unnest(w) AS term, generate_subscripts(w, 1) AS i
+  FROM (SELECT p_partkey, regexp_split_to_array(p_name, '\\s+') AS w FROM part)) WHERE term <> ''"""),
+    "scope_file": query("SELECT DISTINCT source AS scope FROM documents WHERE source IS NOT NULL"),
+    "author_file": query("SELECT DISTINCT author FROM posts WHERE author IS NOT NULL"),
+    "search_from_file": query("""
+SELECT DISTINCT 'all' AS scope, b.query, p.post_id
+FROM numbered n JOIN (SELECT pos // 25 AS no, string_agg(concat('"', term, '"'), ' OR ' ORDER BY pos) AS query FROM numbered GROUP BY no) b
+  ON b.no = n.pos // 25 JOIN posts p ON contains(lower(concat_ws(' ', p.title, p.body)), lower(n.term))""", ("numbered", """
+SELECT row_number() OVER (ORDER BY CAST(query AS BIGINT)) - 1 AS pos, replace(term, chr(10), ' ') AS term FROM phrases""")),
+    "comments_from_dump": query("SELECT * FROM comments"),
+    "ngram_report": query("""
+SELECT *, row_number() OVER (PARTITION BY subreddit ORDER BY cnt DESC, ngram DESC) AS rank FROM ngram_counts"""),
     "stopword_file": query("SELECT word FROM bench_words", BENCH_WORDS),
 }
+ORACLE["posts_from_dump"] = ORACLE["normalize_posts"]

@@ -12,10 +12,11 @@ from postmine.functions.links import domains, links
 from postmine.functions.text import raw_tokens
 from postmine.operators import corpus, dedupe, features, keywords, ranking, relations, summary, windows
 from postmine.operators.groups import fold_counts
-from postmine.operators.normalize import normalize_posts
+from postmine.operators.normalize import normalize_comments, normalize_posts
 from postmine.plans import collect, enrich
 from postmine.session import scratch_dir
-from postmine.sources.lists import read_stopwords, scopes_table
+from postmine.sources.dumps import read_raw_comments, read_raw_posts
+from postmine.sources.lists import read_authors, read_scopes, read_stopwords, read_terms, scopes_table
 from postmine.sources.stored import read_comments, read_description, read_posts, save_by_scope, write_csv
 from postmine.schemas import POST_COLUMNS
 from suite import views as v
@@ -147,8 +148,14 @@ def match_bundle(spark, folder):
     return found.select("scope", "query", "post_id")
 
 
+def all_scopes(spark, folder):
+    """Every community, and everywhere."""
+    named = v.table(spark, folder, "documents").select(F.col("source").alias("scope"))
+    return named.union(scopes_table(spark, "all")).distinct()
+
+
 def match_everything(spark, folder):
-    found = keywords.match_keywords(v.posts(spark, folder), keywords.build_queries(""), ["src1", "src2"])
+    found = keywords.match_keywords(v.posts(spark, folder), keywords.build_queries(""), all_scopes(spark, folder))
     return found.select("scope", "query", "post_id")
 
 
@@ -177,7 +184,7 @@ def top_of_year(spark, folder):
 
 def comments_of_posts(spark, folder):
     posts = v.posts(spark, folder)
-    return relations.comments_of(posts.filter("is_nsfw"), v.comments(spark, folder))
+    return relations.comments_of(posts, v.comments(spark, folder))
 
 
 def comments_per_subreddit(spark, folder):
@@ -191,7 +198,7 @@ def posts_of_authors(spark, folder):
 def posts_of_flagged_authors(spark, folder):
     posts = v.posts(spark, folder)
     flagged = posts.filter(F.col("is_nsfw") & F.col("author").isNotNull()).select("author").distinct()
-    return relations.posts_of(posts, flagged).select("author", "post_id", "date")
+    return relations.posts_of(posts, flagged, lim=None).select("author", "post_id", "date")
 
 
 def rows_per_author(spark, folder):
@@ -227,7 +234,8 @@ def repeat_authors(spark, folder):
 
 
 def column_widths(spark, folder):
-    return summary.column_widths(v.posts(spark, folder).select("subreddit", "post_id", "title", "body", "date", "score", "author"))
+    # Lists and times are printed in the style of each engine, all else alike.
+    return summary.column_widths(v.posts(spark, folder).drop("external_links", "created_at"))
 
 
 def preview(spark, folder):
@@ -256,7 +264,7 @@ def collect_search_domains(spark, folder):
 
 
 def collect_top(spark, folder):
-    found = collect.collect_posts(v.posts(spark, folder), ["src1", "src2"], mode="top", as_of=v.AS_OF)
+    found = collect.collect_posts(v.posts(spark, folder), all_scopes(spark, folder), mode="top", as_of=v.AS_OF)
     return found.posts.select("scope", "post_id", "score")
 
 
@@ -322,7 +330,69 @@ def description_round_trip(spark, folder):
 def saved_by_scope(spark, folder):
     path = _scratch(spark, "scopes")
     save_by_scope(matched(spark, folder), path)
-    return spark.read.parquet(path).select("scope", "query", "post_id")
+    return spark.read.schema("scope string, query string, post_id string").parquet(path).select("scope", "query", "post_id")
+
+
+def saved_twice(spark, folder):
+    """A second run over the same scopes, in which one of them has no posts any more."""
+    path, asked = _scratch(spark, "scopes"), scopes_table(spark, v.SCOPES)
+    save_by_scope(matched(spark, folder), path, asked=asked)
+    save_by_scope(matched(spark, folder).filter("scope <> 'src1'"), path, asked=asked)
+    return spark.read.schema("scope string, query string, post_id string").parquet(path).select("scope", "query", "post_id")
+
+
+def _text_file(spark, name, lines):
+    path = _scratch(spark, name)
+    lines.write.text(path)
+    return path
+
+
+def part_names(spark, folder):
+    """Part names in order, in one file."""
+    return _text_file(spark, "names", v.table(spark, folder, "part").coalesce(1).sortWithinPartitions("p_partkey").select("p_name"))
+
+
+def terms_by_line(spark, folder):
+    return read_terms(spark, part_names(spark, folder)).select(F.col("pos").cast("long").alias("pos"), "term")
+
+
+def terms_by_word(spark, folder):
+    return read_terms(spark, part_names(spark, folder), by="word").select(F.col("pos").cast("long").alias("pos"), "term")
+
+
+def scope_file(spark, folder):
+    return read_scopes(spark, _text_file(spark, "scopes", v.table(spark, folder, "documents").select("source")))
+
+
+def author_file(spark, folder):
+    path = _scratch(spark, "authors")
+    v.posts(spark, folder).select(F.col("author").alias("authors")).write.option("header", True).csv(path)
+    return read_authors(spark, path)
+
+
+def search_from_file(spark, folder):
+    """A keyword file, bundled and searched everywhere, without a limit."""
+    phrases = v.view(spark, folder, v.PHRASES).select(F.col("query").cast("long").alias("item"), F.translate("term", "\n", " ").alias("term"))
+    path = _text_file(spark, "phrases", phrases.coalesce(1).sortWithinPartitions("item").select("term"))
+    found = collect.collect_posts(v.posts(spark, folder), "all", read_terms(spark, path), lim=None)
+    return found.posts.select("scope", "query", "post_id")
+
+
+def posts_from_dump(spark, folder):
+    path = _scratch(spark, "dump")
+    v.view(spark, folder, v.RAW_POSTS).write.json(path)
+    stored = normalize_posts(read_raw_posts(spark, path)).select(*POST_COLUMNS)
+    return stored.withColumn("external_links", joined("external_links"))
+
+
+def comments_from_dump(spark, folder):
+    path = _scratch(spark, "dump")
+    v.view(spark, folder, v.RAW_COMMENTS).write.json(path)
+    return normalize_comments(read_raw_comments(spark, path))
+
+
+def ngram_report(spark, folder):
+    return features.ngram_report(frequent_ngrams(spark, folder))
 
 
 def stopword_file(spark, folder):
@@ -344,7 +414,8 @@ QUERIES: dict[str, Query] = {
         repeat_posts, repeat_authors, column_widths, preview, dataset_size, collect_search,
         collect_search_description, collect_search_domains, collect_top, collect_new, enriched_description,
         description_map_entries, folded_domains, csv_round_trip, comments_round_trip, description_round_trip,
-        saved_by_scope, stopword_file,
+        saved_by_scope, saved_twice, stopword_file, terms_by_line, terms_by_word, scope_file, author_file,
+        search_from_file, posts_from_dump, comments_from_dump, ngram_report,
     )
 }
 QUERIES["normalize_posts"] = QUERIES.pop("stored_posts")
