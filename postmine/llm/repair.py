@@ -16,7 +16,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -27,9 +26,14 @@ from postmine.llm.rows import map_batches, partitions, settle, shuffles
 #: Ids after which a shard is closed; a document is never cut.
 SHARD_IDS = 1_000_000
 #: In one turn, all pairs that are at least this share as frequent as the most frequent one are replaced.
-TIER = 0.02
+TIER = 0.005
 LEAST_COUNT = 16
-TURNS = 5
+TURNS = 3
+CELLS = 1 << 18
+
+
+def _cell(pair: np.ndarray) -> np.ndarray:
+    return ((pair * 40503 ^ pair >> 32) * 2654435761 >> 20) & (CELLS - 1)
 
 
 def grammar(ids: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
@@ -51,7 +55,10 @@ def grammar(ids: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
         if most < LEAST_COUNT:
             break
         chosen = ordered[begin[count >= max(LEAST_COUNT, most * TIER)]]
-        at = np.minimum(np.searchsorted(chosen, pair), len(chosen) - 1)
+        # Pairs are looked up by hash; of those that fall together all but one wait for a later turn.
+        cells = np.zeros(CELLS, np.int32)
+        cells[_cell(chosen)] = np.arange(len(chosen))
+        at = cells[_cell(pair)]
         hit = np.flatnonzero(chosen[at] == pair)
         # In a run of overlapping occurrences every second one is taken.
         run = np.flatnonzero(np.append(True, hit[1:] > hit[:-1] + 1))
@@ -133,28 +140,37 @@ class Shard:
 
 
 def token_rows(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """doc_id and packed ids of whole texts, ``end_id`` last; a null text is empty."""
+    """doc_id, packed ids of whole texts, ``end_id`` last, and a part that ascends with doc_id; a null text is empty.
+
+    The edges of the parts come from the ids alone, so no text is read or encoded for them.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    n = max(partitions(docs), shuffles(docs.sparkSession))
+    edges = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 100 * n)).first()[0]
+    edges = np.array(sorted(set(edges or [])), np.int64)
     kind = "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 65536 else "<u4"
 
     def each(batch: pa.RecordBatch) -> dict:
         end = np.array([end_id], kind).tobytes()
         ids = [np.frombuffer(x, "<u4").astype(kind).tobytes() + end for x in word_ids(path, batch.column("text").to_pylist())]
-        return {"doc_id": batch.column("doc_id"), "ids": ids, "width": [int(kind[2])] * len(ids)}
+        part = 1 + np.searchsorted(edges, np.asarray(batch.column("doc_id").fill_null(0)).astype(np.int64), side="left")
+        part[np.asarray(batch.column("doc_id").is_null())] = 0
+        return {"part": part.tolist(), "doc_id": batch.column("doc_id"), "ids": ids, "width": [int(kind[2])] * len(ids)}
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), each, "doc_id long, ids binary, width int")
+    return map_batches(docs, each, "part int, doc_id long, ids binary, width int")
 
 
 def write_shards(rows: DataFrame, first: int, shard_ids: int = SHARD_IDS) -> DataFrame:
     """The written table of shards: part, shard, before (ids of earlier shards of the part), n_ids and data.
 
-    ``rows`` has doc_id, ids and width. Null doc_ids come first; rows of one doc_id stand in order of their ids.
+    ``rows`` has part, doc_id, ids and width. Null doc_ids come first; rows of one doc_id stand in order of their ids.
     """
-    parts = max(partitions(rows), shuffles(rows.sparkSession))
-    ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids")
+    tasks = max(partitions(rows), shuffles(rows.sparkSession))
+    ordered = rows.repartition(tasks, "part").sortWithinPartitions("part", "doc_id", "ids")
     schema = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()), ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, shard, before = TaskContext.get().partitionId(), 0, 0
+        part, shard, before = -1, 0, 0
         doc_ids: list[int | None] = []
         held: list[np.ndarray] = []
         size = 0
@@ -164,7 +180,11 @@ def write_shards(rows: DataFrame, first: int, shard_ids: int = SHARD_IDS) -> Dat
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((part, shard, before, size, data), schema)], schema=schema)
 
         for batch in batches:
-            for doc, ids, width in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "ids", "width"))):
+            for of, doc, ids, width in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "ids", "width"))):
+                if of != part:
+                    if held:
+                        yield close()
+                    part, shard, before, size, doc_ids, held = of, 0, 0, 0, [], []
                 doc_ids.append(doc)
                 held.append(np.frombuffer(ids, f"<u{width}"))
                 size += len(held[-1])
