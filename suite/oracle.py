@@ -182,9 +182,8 @@ FROM (SELECT subreddit, unnest(link_domains) AS domain FROM compat_posts) GROUP
     ),
     "corpus_by_subreddit": query("""
 SELECT subreddit, part, string_agg(line, ' ' ORDER BY post_id) AS text
-FROM (SELECT l.*, CAST(CAST(concat('0x', substr(md5(post_id), 1, 8)) AS BIGINT) % greatest(parts, 1) AS BIGINT) AS part
-  FROM lines l JOIN (SELECT subreddit, CAST(ceil(sum(length(line)) / 40000) AS BIGINT) AS parts FROM lines WHERE line <> ''
-    GROUP BY subreddit) USING (subreddit) WHERE line <> '')
+FROM (SELECT *, CAST((sum(length(line)) OVER (PARTITION BY subreddit ORDER BY post_id ROWS UNBOUNDED PRECEDING) - length(line))
+    // 40000 AS BIGINT) AS part FROM lines WHERE line <> '')
 GROUP BY subreddit, part"""),
     "clean_text": query("SELECT post_id, clean FROM clean"),
     "clean_tokens_with_tables": query(
