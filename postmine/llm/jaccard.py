@@ -175,7 +175,8 @@ def _prefix_blocks(ranges: int, frequent: np.ndarray, rank: np.ndarray):
             key[known] = _U(1 << 63) + rank[at[known]]
         n = len(tokens)
         k = n - least_common(n) + 1
-        return tokens[np.argpartition(key, k - 1)[:k]] if k < n else tokens
+        at = np.argpartition(key, k - 1)[:k] if k < n else np.arange(n)
+        return tokens[at[np.argsort(key[at])]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,6 +192,8 @@ def _prefix_blocks(ranges: int, frequent: np.ndarray, rank: np.ndarray):
             chosen = [x for _, x in sets.values()]
             token = np.concatenate(chosen)
             owner = np.repeat(np.arange(len(sid)), [len(x) for x in chosen])
+            # How far into its set a token stands in the order, in parts of 255, rounded down.
+            place = np.concatenate([np.arange(len(x)) * 255 // n for n, x in sets.values()]).astype("u1")
             where = ((token >> _U(32)) % _U(ranges)).astype(np.int64)
             order = np.lexsort((owner, where))
             out = []
@@ -200,6 +203,7 @@ def _prefix_blocks(ranges: int, frequent: np.ndarray, rank: np.ndarray):
                 out.append((int(where[part[0]]), b"".join((
                     np.int64(len(begin)).tobytes(), sid[mine].tobytes(), code[mine].tobytes(),
                     np.diff(np.append(begin, len(part))).astype("<u4").tobytes(), token[part].astype("<u4").tobytes(),
+                    place[part].tobytes(),
                 ))))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.binary()))], ["range", "payload"])
 
@@ -207,22 +211,24 @@ def _prefix_blocks(ranges: int, frequent: np.ndarray, rank: np.ndarray):
 
 
 def _shared_tokens(found: pa.Table) -> pa.Table:
-    """token and sid, where another set of fitting size has the token too."""
+    """token, sid and place, where another set of fitting size has the token too."""
     blocks = []
     for payload in found.column("payload").to_pylist():
         n = int(np.frombuffer(payload, np.int64, 1)[0])
         sid, code = np.frombuffer(payload, np.int64, n, 8), np.frombuffer(payload, "<u2", n, 8 + 8 * n)
         count = np.frombuffer(payload, "<u4", n, 8 + 10 * n)
-        blocks.append((np.repeat(sid, count), np.repeat(code, count).astype(np.int64), np.frombuffer(payload, "<u4", -1, 8 + 14 * n)))
-    sid, code, token = (np.concatenate(x) for x in zip(*blocks))
-    order = np.lexsort((sid, code, token))
-    sid, code, token = sid[order], code[order], token[order]
+        m = int(count.sum())
+        token, place = np.frombuffer(payload, "<u4", m, 8 + 14 * n), np.frombuffer(payload, "u1", m, 8 + 14 * n + 4 * m)
+        blocks.append((np.repeat(sid, count), np.repeat(code, count).astype(np.int64), token, place))
+    sid, code, token, place = (np.concatenate(x) for x in zip(*blocks))
+    order = np.lexsort((place, sid, code, token))
+    sid, code, token, place = sid[order], code[order], token[order], place[order]
     new = np.append(True, (token[1:] != token[:-1]) | (sid[1:] != sid[:-1]) | (code[1:] != code[:-1]))
-    sid, code, token = sid[new], code[new], token[new]
+    sid, code, token, place = sid[new], code[new], token[new], place[new]
     near = (token[1:] == token[:-1]) & (code[1:] - code[:-1] <= SLACK)
     has = np.append(near, False) | np.append(False, near)
     range_ = found.column("range")[0].as_py() if len(found) else 0
-    return pa.table({"token": token[has].astype(np.int64) | (range_ << 32), "sid": sid[has]})
+    return pa.table({"token": token[has].astype(np.int64) | (range_ << 32), "sid": sid[has], "place": place[has].astype(np.int32)})
 
 
 def _stars(sets: DataFrame) -> DataFrame:
@@ -248,14 +254,17 @@ def _likely(ids: DataFrame):
     return test(F.when(F.col("doc_id").isNotNull(), at))
 
 
-def _tokens_of(docs: DataFrame, sets: DataFrame, needed: DataFrame) -> DataFrame:
-    """sid and packed tokens of the needed sets, from the texts of their documents; other texts are not moved."""
+def _tokens_of(docs: DataFrame, sets: DataFrame, needed: DataFrame, short: bool = False) -> DataFrame:
+    """sid, n and packed tokens of the needed sets, from the texts of their documents; other texts are not moved.
+
+    ``short`` cuts tokens to 32 bits, which can only raise what two sets seem to have in common.
+    """
     wanted = settle(sets.select("doc_id", "sid").join(needed, "sid").select("doc_id", "sid"), "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # All rows of a doc_id come to one task.
         for batch in batches:
-            sids, tokens = [], []
+            sids, sizes, tokens = [], [], []
             for text, sid in zip(batch.column("text").to_pylist(), batch.column("sid").to_pylist()):
                 if sid in seen:
                     continue
@@ -263,11 +272,13 @@ def _tokens_of(docs: DataFrame, sets: DataFrame, needed: DataFrame) -> DataFrame
                 if set_id(found) == sid:  # else another text under the same id
                     seen.add(sid)
                     sids.append(sid)
-                    tokens.append(found.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(tokens, pa.binary())], ["sid", "tokens"])
+                    sizes.append(len(found))
+                    tokens.append((np.unique(found.astype("<u4")) if short else found).tobytes())
+            columns = [pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(tokens, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["sid", "n", "tokens"])
 
     found = docs.filter(_likely(wanted.select("doc_id"))).join(wanted, "doc_id").select("text", "sid")
-    return settle(found.mapInArrow(run, "sid long, tokens binary"), "tokens")
+    return settle(found.mapInArrow(run, "sid long, n long, tokens binary"), "tokens")
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -298,10 +309,9 @@ def _verified(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
 
 
 def _union(found: pa.Table) -> pa.Table:
-    """One row of the matrix for a group: its tokens, cut to 32 bits, which can only raise a bound; and its smallest set."""
-    sets = [np.frombuffer(x, _U) for x in found.column("tokens").to_pylist()]
-    union = np.unique(np.concatenate(sets).astype("<u4"))
-    return pa.table({"group": found.column("group")[:1], "least": [min(map(len, sets))], "union": [union.tobytes()]})
+    """One row of the matrix for a group: its tokens, cut to 32 bits, and the size of its smallest set."""
+    union = np.unique(np.concatenate([np.frombuffer(x, "<u4") for x in found.column("tokens").to_pylist()]))
+    return pa.table({"group": found.column("group")[:1], "least": [min(found.column("n").to_pylist())], "union": [union.tobytes()]})
 
 
 def _qualifying(candidates: DataFrame, tokens: DataFrame, unions: DataFrame) -> DataFrame:
@@ -309,16 +319,15 @@ def _qualifying(candidates: DataFrame, tokens: DataFrame, unions: DataFrame) ->
 
     def each(batch: pa.RecordBatch) -> dict:
         good = []
-        for x, y, least in zip(*(batch.column(c).to_pylist() for c in ("tokens", "union", "least"))):
-            own = np.unique(np.frombuffer(x, _U).astype("<u4"))
-            n = len(x) // 8
+        for x, n, y, least in zip(*(batch.column(c).to_pylist() for c in ("tokens", "n", "union", "least"))):
+            own = np.frombuffer(x, "<u4")
             # Tokens of one set that fall together in 32 bits count as one; the rest of the set makes up for them.
             bound = _common(own, np.frombuffer(y, "<u4")) + n - len(own)
             good.append((PART + WHOLE) * bound >= PART * (n + max(least, least_common(n))))
         mask = pa.array(good)
         return {name: batch.column(name).filter(mask) for name in ("a", "group")}
 
-    queries = tokens.select(F.col("sid").alias("a"), "tokens")
+    queries = tokens.select(F.col("sid").alias("a"), "n", "tokens")
     return map_batches(candidates.join(queries, "a").join(unions, "group"), each, "a long, group long")
 
 
@@ -338,7 +347,7 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     frequent, rank = _frequent(described)
     ranges = max(1, partitions(docs) // 2)
     blocks = docs.mapInArrow(_prefix_blocks(ranges, frequent, rank), "range int, payload binary")
-    shared = settle(blocks.groupBy("range").applyInArrow(_shared_tokens, "token long, sid long"), "shared")
+    shared = settle(blocks.groupBy("range").applyInArrow(_shared_tokens, "token long, sid long, place int"), "shared")
     stars = settle(_stars(sets), "stars")
     drawn = stars.select(F.col("a").alias("sid")).union(stars.select("low")).union(stars.select("high")).distinct()
     tokens = _tokens_of(docs, sets, drawn)
@@ -358,24 +367,30 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     block = F.pmod(F.xxhash64("sid"), F.ceil(F.col("size") / GROUP))
     member = settle(member.withColumn("group", F.when(F.col("size") == 1, F.col("sid")).otherwise(F.xxhash64("cluster", block))), "members")
     # Tokens that more than one cluster has.
-    cells = shared.join(member, "sid")
+    # So many tokens of the set stand at the place of this one or later; before the first common token none is common.
+    rest = F.col("n") - F.ceil(F.col("place") * F.col("n") / 255)
+    cells = shared.join(member, "sid").withColumn("rest", rest).drop("place")
     wide = cells.groupBy("token").agg(F.min("cluster").alias("x"), F.max("cluster").alias("y")).filter("x <> y").select("token")
     cells = settle(cells.join(wide, "token"), "cells")
     spans = member.groupBy("group").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    matrix = cells.select("token", "group", F.col("cluster").alias("other"), F.col("size").alias("other_size")).distinct().join(spans, "group")
+    matrix = cells.groupBy("token", "group", F.col("cluster").alias("other"), F.col("size").alias("other_size")).agg(
+        F.max("rest").alias("other_rest")
+    ).join(spans, "group")
     # The set of the smaller cluster asks the groups of the larger one.
     asks = (F.col("size") < F.col("other_size")) | ((F.col("size") == F.col("other_size")) & (F.col("cluster") < F.col("other")))
     fits = (F.col("n") * WHOLE >= F.col("low") * PART) & (F.col("high") * WHOLE >= F.col("n") * PART)
+    fits &= F.least("rest", "other_rest") * (PART + WHOLE) >= (F.col("n") + F.col("low")) * PART
     candidates = (
-        cells.select("token", F.col("sid").alias("a"), "n", "cluster", "size").join(matrix, "token").filter(asks & fits).select("a", "group").distinct()
+        cells.select("token", F.col("sid").alias("a"), "n", "cluster", "size", "rest").join(matrix, "token").filter(asks & fits).select("a", "group").distinct()
     )
     candidates = settle(candidates, "candidates")
     asked = settle(member.join(candidates.select("group").distinct(), "group").select("sid", "group"), "asked")
     drawn = asked.select("sid").union(candidates.select("a")).distinct()
-    tokens = _tokens_of(docs, sets, drawn)
-    unions = tokens.join(asked, "sid").select("group", "tokens").groupBy("group").applyInArrow(_union, "group long, least long, union binary")
+    tokens = _tokens_of(docs, sets, drawn, short=True)
+    unions = tokens.join(asked, "sid").select("group", "n", "tokens").groupBy("group").applyInArrow(_union, "group long, least long, union binary")
     opened = _qualifying(candidates, tokens, unions)
-    pairs = opened.join(asked, "group").select("a", F.col("sid").alias("b"))
+    pairs = settle(opened.join(asked, "group").select("a", F.col("sid").alias("b")), "pairs")
+    tokens = _tokens_of(docs, sets, pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct())
     links = star_links.union(_verified(pairs, tokens))
 
     roots = settle(components(links), "components").withColumnRenamed("node", "sid")
