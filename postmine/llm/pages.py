@@ -83,7 +83,8 @@ def tokens(page: str) -> Iterator[Token]:
                 off = name in ASIDE or (name not in ("html", "body", "article", "main") and bool(role and ASIDE_ROLE.search(role[1])))
                 stack.append((name, aside or off))
                 aside = aside or off
-            yield Token(name, breaks=name not in INLINE or name == "br", aside=aside, label=label and name not in ("article", "main"))
+            # Tags of boilerplate are a kind of their own, like its words.
+            yield Token(f"aside {name}" if aside else name, breaks=name not in INLINE or name == "br", aside=aside, label=label and name not in ("article", "main"))
         elif m["text"]:
             text = html.unescape(m["text"])
             kind = next((x for x, _ in reversed(stack) if x not in INLINE or x == "a"), "body")
@@ -152,8 +153,11 @@ def main_text(page: str | None, weights: Weights) -> str:
 
 def fit_pages(pages: DataFrame, sample: int = TRAINING_PAGES) -> Weights:
     """Weights from at most ``sample`` pages that mark their main text, in hash order of page_id."""
-    marked = pages.filter(F.lower("html").rlike("<(article|main)[ >]")).select("page_id", "html")
-    return fit([r.html for r in marked.orderBy(F.xxhash64("page_id"), "page_id", F.xxhash64("html")).limit(sample).collect()])
+    marked = pages.filter(F.lower("html").rlike("<(article|main)[ >]") & F.col("page_id").isNotNull())
+    ids = marked.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(sample)
+    # A broadcast of at most ``sample`` ids; the pages themselves come to the driver once.
+    found = marked.join(F.broadcast(ids), "page_id", "left_semi").groupBy("page_id").agg(F.min("html").alias("html"))
+    return fit([r.html for r in found.orderBy("page_id").collect()])
 
 
 def extract_pages(pages: DataFrame, weights: Weights) -> DataFrame:

@@ -1,23 +1,6 @@
 import pytest
 
 
-@pytest.fixture(scope="session")
-def scratch(tmp_path_factory):
-    return str(tmp_path_factory.mktemp("shared"))
-
-
-@pytest.fixture(autouse=True)
-def shared_folder(spark, scratch):
-    """Tests set the folder that a cluster would name."""
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", scratch)
-    yield
-    if before is None:
-        spark.conf.unset("spark.checkpoint.dir")
-    else:
-        spark.conf.set("spark.checkpoint.dir", before)
-
-
 #: Rows that every operator must take: nulls, empty and blank texts, repeated rows, two texts under one id, a long text.
 ODD = [
     (1, "one two three four five six seven eight nine ten eleven"), (1, "one two three four five six seven eight nine ten eleven"),
