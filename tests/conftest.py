@@ -6,12 +6,13 @@ from postmine import build_session
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session(
         "postmine-tests",
         "local[4]",
         spark__sql__shuffle__partitions="4",
         spark__driver__memory=os.environ.get("TEST_MEMORY", "4g"),
+        spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")),
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
     )
