@@ -29,12 +29,3 @@ def fold_counts(counts: DataFrame, key: str, item: str, cnt: str = "cnt", max_en
     cut = with_part(counts, key, F.col(item), F.lit(1), max_entries)
     entries = F.collect_list(F.struct(F.col(item), F.col(cnt)))
     return cut.groupBy(key, "part").agg(F.map_from_entries(entries).alias("counts"))
-
-
-def merge_counts(a: Column, b: Column) -> Column:
-    """Two count maps added up key by key; a null map counts as empty."""
-    empty = F.create_map().cast("map<string,bigint>")
-    zero = F.lit(0).cast("long")
-    return F.map_zip_with(
-        F.coalesce(a, empty), F.coalesce(b, empty), lambda _, x, y: F.coalesce(x, zero) + F.coalesce(y, zero)
-    )

@@ -27,6 +27,7 @@ RAW_COMMENT = T.StructType([
     T.StructField("parent_is_post", T.BooleanType()),
 ])
 
+# Names and order of the columns of stored tables.
 POSTS = T.StructType([
     T.StructField("query", T.StringType()),
     T.StructField("subreddit", T.StringType()),

@@ -6,6 +6,7 @@ from suite import views as v
 
 TABLES = {name: name for name in ("documents", "pages", "labels", "conversations", "part", "benchmark")}
 
+# Which characters are tokens, and what counts as a link in either mode.
 SPACE = r"\x09-\x0d\x1c-\x20\x85\p{Z}"
 SINGLES = r"""@#$%&*\[\]{}<>"`«»“”‘’„"""
 PUNCTUATION = r""".?!,;:\-\\()_''"""

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from postmine.functions import kwic, links, text
 from postmine.functions.expr import constant, lookup
-from postmine.operators.groups import merge_counts
 from postmine.operators.normalize import utc_text
 
 
@@ -45,7 +44,7 @@ def test_links(spark, given_text, strict, domains, compat, compat_domains):
     assert one(spark, links.domains(F.col("t"), "compat"), t=given_text) == compat_domains
 
 
-# The meaning of both modes, tried at every character.
+# The meaning of both modes, tried at every character.
 PLAIN = {
     "strict": r"(?:(?:https?|ftp)://)?(?:[\w-]+\.)*([\w-]+)\.(?:de|com|net|org|nl|ca|co\.uk|co|ly|le|in|es)(?!\w)(?:[/?#]\S*)?",
     "compat": links.CLASS_PATTERN.replace(r"\p{L}\p{N}_", r"\w").replace("++)", "+)"),
@@ -166,12 +165,6 @@ def test_constant_is_folded(spark, capsys):
     assert "from_json" not in capsys.readouterr().out
 
 
-def test_merge_counts(spark):
-    df = spark.sql("SELECT map('a', 1L, 'b', 2L) AS x, map('b', 3L, 'c', 4L) AS y, CAST(NULL AS map<string,bigint>) AS z")
-    row = df.select(merge_counts(F.col("x"), F.col("y")).alias("m"), merge_counts(F.col("z"), F.col("y")).alias("n")).first()
-    assert row.m == {"a": 1, "b": 5, "c": 4} and row.n == {"b": 3, "c": 4}
-
-
 @pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
 def test_utc_text_does_not_depend_on_the_session(spark, zone):
     before = spark.conf.get("spark.sql.session.timeZone")
