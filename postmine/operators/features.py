@@ -97,6 +97,11 @@ def mentions_of(counts: DataFrame) -> DataFrame:
     return _of_kind(counts, "mention", "mention").join(admitted, "subreddit", "left_semi")
 
 
+def mentions_of_all(desc: DataFrame, mentions: DataFrame) -> DataFrame:
+    """Mentions of every community of ``desc``; one that mentions nobody has a row without a mention, counted 0."""
+    return desc.select("subreddit").distinct().join(mentions, "subreddit", "left").fillna(0, ["cnt"])
+
+
 def ngrams_of(counts: DataFrame, n_posts: DataFrame, lim: int = MIN_COUNT, min_posts: int = MIN_POSTS) -> DataFrame:
     """Frequent n-grams out of :func:`feature_counts` with kind ``ngram``.
 

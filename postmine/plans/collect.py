@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from postmine.operators.features import domain_counts
 from postmine.operators.keywords import build_queries, build_scopes, in_scopes, match_keywords, queries_table, rows_per_scope
 from postmine.operators.ranking import GROUP_LIMIT, newest_per_group, past_year, unique_posts
-from postmine.operators.relations import posts_of, rows_per_author
+from postmine.operators.relations import comments_of, posts_of, rows_per_author
 from postmine.sources.lists import scopes_table, terms_table
 from postmine.sources.stored import save_by_scope
 
@@ -20,11 +20,12 @@ MODES = ("search", "top", "new")
 
 
 class Collection(NamedTuple):
-    """Collected posts, the description of what was asked for, and its domains in long form."""
+    """Collected posts, the description of what was asked for, its domains in long form, and comments if asked for."""
 
     posts: DataFrame
     description: DataFrame
     domains: DataFrame
+    comments: DataFrame | None = None
 
 
 def _saved(posts: DataFrame, asked: DataFrame, out: str | None) -> DataFrame:
@@ -55,6 +56,7 @@ def collect_posts(
     as_of: datetime | str | None = None,
     link_mode: str = "strict",
     out: str | None = None,
+    comments: DataFrame | None = None,
 ) -> Collection:
     """Posts of every scope: those matching the keywords, the top of the past year, or the newest.
 
@@ -62,6 +64,7 @@ def collect_posts(
     ``new`` up to ``lim`` per scope, ``top`` all posts of the year up to ``as_of``. The last two
     ignore the keywords. Keywords are a string, a list, a table ``(query, term)``, or a table
     ``(pos, term)`` as a keyword file gives it. With ``out`` the posts are saved there by scope.
+    Of ``comments`` those of the collected posts are collected too, each once.
     """
     spark = posts.sparkSession
     scopes = subs if isinstance(subs, DataFrame) else build_scopes(subs)
@@ -81,7 +84,8 @@ def collect_posts(
     else:
         raise ValueError(f"mode must be one of {MODES}")
     asked = scopes.select("scope").distinct() if isinstance(scopes, DataFrame) else scopes_table(spark, scopes)
-    return _description(_saved(found, asked, out), asked, link_mode)
+    collected = _description(_saved(found, asked, out), asked, link_mode)
+    return collected if comments is None else collected._replace(comments=comments_of(collected.posts, comments))
 
 
 def collect_author_posts(

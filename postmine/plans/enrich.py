@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmine.operators.features import (
@@ -15,7 +15,9 @@ from postmine.operators.features import (
 )
 from postmine.operators.groups import MAX_ENTRIES, fold_counts
 from postmine.operators.relations import comments_per_subreddit
+from postmine.schemas import DESCRIPTION
 from postmine.session import scratch_dir
+from postmine.sources.stored import read_description, read_posts, write_csv
 
 
 class Enriched(NamedTuple):
@@ -67,6 +69,34 @@ def enrich(
     )
 
 
+def reload_and_enrich(
+    spark: SparkSession,
+    posts_path: str,
+    description_path: str,
+    columns: Sequence[str],
+    out: str,
+    stopwords: DataFrame | Sequence[str] = (),
+    lemmas: DataFrame | Mapping[str, str] | None = None,
+    comments: DataFrame | None = None,
+) -> DataFrame:
+    """A stored collection read again, its description completed and written to ``out``.
+
+    ``columns`` names what the stored description holds. Columns that it has are kept as they are; only
+    absent ones are made, and if none is absent the posts are not read.
+    """
+    desc = read_description(spark, description_path, list(columns), index_column=False)
+    absent = [c for c in DESCRIPTION.fieldNames() if c not in columns]
+    if absent:
+        posts = read_posts(spark, posts_path, index_column=False)
+        made = description_with_maps(enrich(desc, posts, stopwords, lemmas, comments))
+        # Further parts of a large community are rows of their own, and hold nothing that was stored.
+        stored = desc.withColumn("part", F.lit(0).cast("long"))
+        desc = made.select("subreddit", "part", *absent).join(stored, ["subreddit", "part"], "left")
+        desc = desc.select(*DESCRIPTION.fieldNames())
+    write_csv(desc, out)
+    return read_description(spark, out, index_column=False)
+
+
 def feature_rows(enriched: Enriched) -> DataFrame:
     """All of it as rows ``(subreddit, feature, item, cnt)``."""
     desc = enriched.description

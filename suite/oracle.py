@@ -297,6 +297,10 @@ SELECT nullif(query, '') AS query, subreddit, post_id, link, date, author, nulli
 SELECT subreddit, CASE feature WHEN 'domain' THEN 'external_links' WHEN 'mention' THEN 'sub_mentions' WHEN 'ngram' THEN 'ngrams'
   ELSE feature END AS feature, item, cnt FROM features WHERE feature <> 'n_comments'"""),
     "saved_by_scope": query("SELECT scope, query, post_id FROM matched"),
+    "mentions_of_all": query("""
+SELECT d.subreddit, m.mention, coalesce(m.cnt, 0) AS cnt FROM descr d LEFT JOIN mention_counts m ON m.subreddit = d.subreddit"""),
+    "collected_comments": query("""
+SELECT DISTINCT c.* FROM comments c WHERE post_id IN (SELECT post_id FROM newest WHERE rn <= 50)"""),
     "saved_twice": query("SELECT scope, query, post_id FROM matched WHERE scope <> 'src1'"),
     "terms_by_line": query("SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS pos, p_name AS term FROM part"),
     "terms_by_word": query("""
@@ -316,3 +320,4 @@ SELECT *, row_number() OVER (PARTITION BY subreddit ORDER BY cnt DESC, ngram DES
     "stopword_file": query("SELECT word FROM bench_words", BENCH_WORDS),
 }
 ORACLE["posts_from_dump"] = ORACLE["normalize_posts"]
+ORACLE["reload_and_enrich"] = ORACLE["description_round_trip"]

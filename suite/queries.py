@@ -318,15 +318,38 @@ def comments_round_trip(spark, folder):
 def description_round_trip(spark, folder):
     path = _scratch(spark, "description")
     write_csv(enrich.description_with_maps(_enriched(spark, folder)).drop("part"), path)
-    back = read_description(spark, path, index_column=False)
+    return _opened(read_description(spark, path, index_column=False))
+
+
+def _opened(description):
+    """A stored description as one row per count."""
     opened = [
-        back.select("subreddit", F.lit(name).alias("feature"), F.explode(name).alias("item", "cnt"))
+        description.select("subreddit", F.lit(name).alias("feature"), F.explode(name).alias("item", "cnt"))
         for name in ("external_links", "sub_mentions", "ngrams")
     ]
-    posts = back.select("subreddit", F.lit("n_posts").alias("feature"), F.lit("").alias("item"), F.col("n_posts").alias("cnt"))
+    posts = description.select("subreddit", F.lit("n_posts").alias("feature"), F.lit("").alias("item"), F.col("n_posts").alias("cnt"))
     return dedupe.append_rows(posts, *opened)
 
 
+def reload_and_enrich(spark, folder):
+    """A stored collection whose description holds names alone, read again and completed."""
+    posts, description, out = (_scratch(spark, name) for name in ("posts", "description", "enriched"))
+    write_csv(v.posts(spark, folder).select(*POST_COLUMNS), posts)
+    write_csv(v.view(spark, folder, v.DESCRIPTION), description)
+    return _opened(enrich.reload_and_enrich(spark, posts, description, ["subreddit"], out, v.STOPWORDS, v.LEMMAS))
+
+
+def mentions_of_all(spark, folder):
+    return features.mentions_of_all(v.view(spark, folder, v.DESCRIPTION), mentions(spark, folder))
+
+
+def collected_comments(spark, folder):
+    found = collect.collect_posts(
+        v.posts(spark, folder), v.SCOPES, v.KEYWORDS, lim=50, query_mode="singles", comments=v.comments(spark, folder)
+    )
+    return found.comments
+
+
 def saved_by_scope(spark, folder):
     path = _scratch(spark, "scopes")
     save_by_scope(matched(spark, folder), path)
@@ -416,6 +439,7 @@ QUERIES: dict[str, Query] = {
         description_map_entries, folded_domains, csv_round_trip, comments_round_trip, description_round_trip,
         saved_by_scope, saved_twice, stopword_file, terms_by_line, terms_by_word, scope_file, author_file,
         search_from_file, posts_from_dump, comments_from_dump, ngram_report,
+        reload_and_enrich, mentions_of_all, collected_comments,
     )
 }
 QUERIES["normalize_posts"] = QUERIES.pop("stored_posts")
