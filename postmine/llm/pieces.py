@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 #: A remembered piece is at most so long, and so many are remembered per worker; longer ones are encoded each time.
 PIECE_CHARS = 32
-PIECES = 1_600_000
+PIECES = 1_000_000
 
 #: Before a single space between two other characters a byte-level pre-tokenizer always cuts: the space goes with
 #: what follows. ``\s`` here takes in all that the tokenizer counts as white space.
