@@ -28,7 +28,6 @@ SHARD_IDS = 1_000_000
 #: In one turn, all pairs that are at least this share as frequent as the most frequent one are replaced.
 TIER = 0.005
 LEAST_COUNT = 16
-TURNS = 3
 CELLS = 1 << 18
 
 
@@ -39,14 +38,13 @@ def _cell(pair: np.ndarray) -> np.ndarray:
 def grammar(ids: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
     """Rules (n, 2) and sequence of a Re-Pair grammar of ``ids``, all below ``first``.
 
-    Turn by turn the most frequent pairs are replaced by nonterminals, from the left where occurrences overlap. Pairs
-    that occur fewer than LEAST_COUNT times stay: their rule would save next to nothing.
+    Turn by turn the most frequent pairs are replaced by nonterminals, from the left where occurrences overlap, until no
+    pair occurs LEAST_COUNT times: the rule of a rarer one would save next to nothing.
     """
     sequence = ids.astype(np.int64)
     rules = np.zeros((0, 2), np.int64)
-    for _ in range(TURNS):
-        if len(sequence) < 2 * LEAST_COUNT:
-            break
+    # Every turn replaces at least one occurrence, so the sequence gets shorter until the loop ends.
+    while len(sequence) > LEAST_COUNT:
         pair = (sequence[:-1] << 32) | sequence[1:]
         ordered = np.sort(pair)
         begin = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))

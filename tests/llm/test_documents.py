@@ -195,6 +195,19 @@ def test_random_access():
         assert (shard.ids(min(a, b), max(a, b)) == whole[min(a, b) : max(a, b)]).all()
 
 
+def test_grammar_takes_every_repeat():
+    rng = np.random.default_rng(6)
+    passage, rare = rng.integers(0, 5000, 200), rng.integers(5000, 9000, 30)
+    parts = [np.append(passage, rng.integers(9000, 40000, 5)) for _ in range(4000)]
+    parts[::200] = [np.append(x, rare) for x in parts[::200]]
+    ids = np.concatenate(parts)
+    shard = repair.Shard.of([1], [ids], 49408)
+    assert (shard.document(0) == ids).all() and shard.lengths.max() >= 200
+    pair = (shard.sequence[:-1] << 32) | shard.sequence[1:]
+    assert np.unique(pair, return_counts=True)[1].max() < repair.LEAST_COUNT
+    assert len(shard.sequence) < 7 * len(parts)
+
+
 def test_forced_bpe(spark, table):
     import hashlib
 
