@@ -9,7 +9,6 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -28,11 +27,12 @@ TOKEN = re.compile(
     r"|<(?P<end>/?)(?P<tag>[A-Za-z][A-Za-z0-9-]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
-ROLE = re.compile(r"""(?:class|id|role)\s*=\s*["']?([^"'>]*)""", re.I)
-#: Elements that never hold main text, and words that say the same of any element.
-ASIDE = frozenset("head title nav header footer aside form menu button select dialog figcaption".split())
+ROLE = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: Elements that never hold main text, and names of a class, id or role that say the same of any element.
+ASIDE = frozenset("head title nav header footer aside form menu button select dialog".split())
 ASIDE_ROLE = re.compile(
-    r"\b(?:ad|ads|advert\w*|banner|comments?|cookie\w*|footer|header|menu|nav\w*|notice|popup|promo\w*|related|share|sidebar|social|sponsor\w*|subscribe|widget)\b",
+    r"(?:ad|ads|advert(?:s|isements?|ising)?|banners?|comments?|cookies?|footer|header|menu|nav|navbar|navigation|notice|popup|promo(?:s|tions?)?|related|share"
+    r"|sidebar|social|sponsor(?:s|ed)?|subscribe|widget)",
     re.I,
 )
 INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -41,6 +41,32 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 UNCLOSED = frozenset("p li dt dd tr td th option".split())
 
 
+@dataclass(eq=False)
+class Element:
+    """An open element; ``start`` and ``end`` count the words of the page before it and to its end, boilerplate left out."""
+
+    name: str
+    aside: Boilerplate | None
+    start: int
+    end: int | None = None
+
+
+@dataclass(eq=False)
+class Boilerplate:
+    """An element of boilerplate: its parent, the words before it, and whether an article or main element is around it."""
+
+    parent: Element | None
+    words: int
+    label: bool
+
+    def enclosed(self) -> bool:
+        """Whether content is around it: an article or main element, or words on both sides in its parent."""
+        around = self.parent
+        if self.label or around is None or around.name in ("html", "body"):
+            return self.label
+        return around.start < self.words and (around.end is None or around.end > self.words)
+
+
 @dataclass
 class Token:
     """A tag or a run of words: the kind of tag, or of the element around the words; a block break; the text."""
@@ -51,47 +77,79 @@ class Token:
     breaks: bool = False
     aside: bool = False
     label: bool = False
+    free: bool = False
 
 
 @dataclass
 class Weights:
-    """By kind: what one word inside such an element scores, and what such a tag costs."""
+    """By kind: what one word inside such an element scores, and what such a tag costs; free tokens do neither."""
 
     word: dict[str, float] = field(default_factory=dict)
     tag: dict[str, float] = field(default_factory=dict)
 
     def score(self, token: Token) -> float:
-        return token.words * self.word.get(token.kind, 0.5) if token.words else -self.tag.get(token.kind, 1.0)
+        if token.free:
+            return 0.0
+        if token.words:
+            return token.words * self.word.get(token.kind, 0.5)
+        return -self.tag.get(token.kind, 0.001 if token.label else 1.0)
+
+
+def says_aside(rest: str) -> bool:
+    """Whether a class, id or role is boilerplate by its whole name, or by every part of it, as cookie-banner."""
+    names = (name for m in ROLE.finditer(rest) for name in (m[1] or m[2] or m[3] or "").split())
+    return any(all(ASIDE_ROLE.fullmatch(x) for x in re.split("[-_]+", name.strip("-_"))) for name in names)
+
+
+def tokens(page: str) -> list[Token]:
+    """Tags and runs of words in order; ``label`` is set inside an article or main element.
+
+    White space, comments, scripts and the like say nothing of where they stand, and boilerplate inside content does not
+    end it: all of these are free.
+    """
+    out: list[Token] = []
+    within: list[tuple[Token, Boilerplate]] = []
+    words = 0
+    stack: list[Element] = []
 
+    def close(at: int) -> None:
+        for x in stack[at:]:
+            x.end = words
+        del stack[at:]
 
-def tokens(page: str) -> Iterator[Token]:
-    """Tags and runs of words in order; ``label`` is set inside an article or main element."""
-    stack: list[tuple[str, bool]] = []
     for m in TOKEN.finditer(page):
         name = (m["tag"] or "").lower()
-        aside = bool(stack) and stack[-1][1]
-        label = any(x in ("article", "main") for x, _ in stack)
+        aside = stack[-1].aside if stack else None
+        label = any(x.name in ("article", "main") for x in stack)
         if name:
             if m["end"]:
-                at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
+                at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].name == name), None)
                 if at is not None:
-                    del stack[at:]
+                    close(at)
             elif name not in VOID and not m["rest"].rstrip().endswith("/"):
-                if name in UNCLOSED and any(x == name for x, _ in stack[-3:]):
-                    del stack[max(i for i, (x, _) in enumerate(stack) if x == name) :]
-                role = ROLE.search(m["rest"])
-                off = name in ASIDE or (name not in ("html", "body", "article", "main") and bool(role and ASIDE_ROLE.search(role[1])))
-                stack.append((name, aside or off))
-                aside = aside or off
+                if name in UNCLOSED and any(x.name == name for x in stack[-3:]):
+                    close(max(i for i, x in enumerate(stack) if x.name == name))
+                off = name in ASIDE or (name not in ("html", "body", "article", "main") and says_aside(m["rest"]))
+                if off and not aside:
+                    aside = Boilerplate(stack[-1] if stack else None, words, label)
+                stack.append(Element(name, aside, words))
             # Tags of boilerplate are a kind of their own, like its words.
-            yield Token(f"aside {name}" if aside else name, breaks=name not in INLINE or name == "br", aside=aside, label=label and name not in ("article", "main"))
+            kind = f"aside {name}" if aside else name
+            out.append(Token(kind, breaks=name not in INLINE or name == "br", aside=bool(aside), label=label and name not in ("article", "main")))
         elif m["text"]:
             text = html.unescape(m["text"])
-            kind = next((x for x, _ in reversed(stack) if x not in INLINE or x == "a"), "body")
-            yield Token("aside" if aside else kind, len(text.split()), text, aside=aside, label=label)
+            kind = next((x.name for x in reversed(stack) if x.name not in INLINE or x.name == "a"), "body")
+            out.append(Token("aside" if aside else kind, len(text.split()), text, aside=bool(aside), label=label, free=not text.strip()))
+            words += 0 if aside else out[-1].words
         else:
             raw = (m["raw"] or "comment").lower()
-            yield Token(raw, breaks=raw not in ("comment",), aside=True, label=label and raw == "comment")
+            out.append(Token(raw, breaks=raw not in ("comment",), aside=True, label=label and raw == "comment", free=True))
+        if aside:
+            within.append((out[-1], aside))
+    close(0)
+    for token, element in within:
+        token.free = token.free or element.enclosed()
+    return out
 
 
 def fit(pages: list[str]) -> Weights:
@@ -104,14 +162,15 @@ def fit(pages: list[str]) -> Weights:
     whole: Counter = Counter()
     longest = 1
     for page in pages:
-        found = list(tokens(page))
+        found = tokens(page)
         if not any(t.label for t in found):
             continue
         run = 0
         for t in found:
-            key = ("word" if t.words else "tag", t.kind)
-            whole[key] += max(1, t.words)
-            inside[key] += max(1, t.words) if t.label and not t.aside else 0
+            if not t.free:
+                key = ("word" if t.words else "tag", t.kind)
+                whole[key] += max(1, t.words)
+                inside[key] += max(1, t.words) if t.label and not t.aside else 0
             run = 0 if t.label else run + t.words
             longest = max(longest, run)
     weights = Weights()
@@ -138,7 +197,7 @@ def best_region(scores: list[float]) -> tuple[int, int, float]:
 
 def main_text(page: str | None, weights: Weights) -> str:
     """Blocks of the best region, white space as single spaces, joined by line feeds; empty if there is none."""
-    found = list(tokens(page or ""))
+    found = tokens(page or "")
     a, b, score = best_region([weights.score(t) for t in found])
     if score <= LEAST_SCORE:
         return ""

@@ -93,6 +93,24 @@ def test_main_text():
     assert pages.main_text("<p>unclosed <b <i>" + "<div>" * 3000 + "text here</p>", weights) is not None
 
 
+def test_nothing_inside_an_article_is_lost():
+    weights = pages.fit([PAGE.replace("Buy now", "Buy now " * 20).replace("</nav>", "</nav><!-- ad 1 -->")] * 5)
+    inner = (
+        '<div class="ad">Buy <b>this</b>.</div>', "<!-- a comment -->", "<script>f()</script>", "<style>p{}</style>", '<div class="cookie-notice">Agree</div>',
+        "<nav><ul><li>On</li></ul></nav>", "<form><p>Your name</p></form>", "\n  ",
+    )
+    for box in ("<article>{}</article>", '<div class="post">{}</div>'):
+        for x in inner:
+            page = "<html><body><nav><ul><li>Home page</li></ul></nav>" + box.format(f"<p>A short lead.</p>{x}<p>Then the rest of it.</p>") + "</body></html>"
+            assert pages.main_text(page, weights) == "A short lead.\nThen the rest of it.", (box, x)
+    page = "<article><figure><img src=x><figcaption>A caption</figcaption></figure><p>Some words of text.</p></article>"
+    assert pages.main_text(page, weights) == "A caption\nSome words of text."
+    for role in ('class="post no-sidebar"', 'id="has-comments"', 'class="navy"', 'data-role="banner"', "class='menu-item-text'"):
+        assert pages.main_text(f"<body><div {role}><p>Words of the text.</p></div></body>", weights) == "Words of the text.", role
+    for role in ('class="big ad"', "id=sidebar", "class='x' id='comments'", 'class="ad_banner"'):
+        assert pages.main_text(f"<body><div {role}><p>Words of an advert.</p></div></body>", weights) == "", role
+
+
 def test_best_region_against_all():
     import random
 
