@@ -213,7 +213,7 @@ def domains_per_author(spark, folder):
 def append_rows(spark, folder):
     posts = v.posts(spark, folder)
     searched = keywords.match_keywords(posts, keywords.build_queries(v.KEYWORDS, "singles"))
-    both = dedupe.append_rows(searched, relations.posts_of(posts, v.AUTHORS))
+    both = dedupe.append_rows(searched, relations.posts_of(posts, v.AUTHORS, lim=None))
     return both.groupBy("query").agg(F.count("*").alias("n_rows"), F.countDistinct("post_id").alias("n_posts"))
 
 

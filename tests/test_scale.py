@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postmine.operators import corpus, dedupe, features, keywords, ranking, relations, summary, windows
-from suite import views as v
+from suite import queries, views as v
 from tests.compare import plan
 
 FOLDER = "/root/testdata/sf0.001"
@@ -33,6 +33,17 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert re.search(r"ReadSchema: struct<(doc_id:bigint,)?source:string>", counted)
 
 
+def test_append_rows_takes_all_posts_of_an_author(spark, tmp_path):
+    folder = str(tmp_path)
+    docs = spark.range(1100).select((F.col("id") * 37 + 1).alias("doc_id"), F.lit("a text").alias("text"), F.lit("src1").alias("source"))
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    n = docs.filter("doc_id % 29 <> 0").count()
+    got = {r.query: (r.n_rows, r.n_posts) for r in queries.append_rows(spark, folder).collect()}
+    assert n > 1000 and got[""] == (n, n)
+
+
 def test_top_rows_are_cut_before_the_shuffle(spark):
     posts = v.posts(spark, FOLDER)
     for df in (ranking.newest_per_group(posts, ["subreddit"]), dedupe.remove_duplicates(posts)):
