@@ -15,7 +15,7 @@ from postmine.operators.features import (
 )
 from postmine.operators.groups import MAX_ENTRIES, fold_counts
 from postmine.operators.relations import comments_per_subreddit
-from postmine.schemas import DESCRIPTION
+from postmine.schemas import COUNTS, DESCRIPTION
 from postmine.session import scratch_dir
 from postmine.sources.stored import read_description, read_posts, write_csv
 
@@ -78,22 +78,32 @@ def reload_and_enrich(
     stopwords: DataFrame | Sequence[str] = (),
     lemmas: DataFrame | Mapping[str, str] | None = None,
     comments: DataFrame | None = None,
+    max_entries: int = MAX_ENTRIES,
 ) -> DataFrame:
     """A stored collection read again, its description completed and written to ``out``.
 
     ``columns`` names what the stored description holds. Columns that it has are kept as they are; only
-    absent ones are made, and if none is absent the posts are not read.
+    absent ones are made, and if none is absent the posts are not read. Further rows of a large community
+    are told apart by ``part``, as in ``description_with_maps``.
     """
     desc = read_description(spark, description_path, list(columns), index_column=False)
-    absent = [c for c in DESCRIPTION.fieldNames() if c not in columns]
+    if "part" not in desc.columns:
+        desc = desc.withColumn("part", F.lit(0).cast("long"))
+    absent = [c for c in DESCRIPTION.fieldNames() if c not in desc.columns]
     if absent:
         posts = read_posts(spark, posts_path, index_column=False)
-        made = description_with_maps(enrich(desc, posts, stopwords, lemmas, comments))
-        # Further parts of a large community are rows of their own, and hold nothing that was stored.
-        stored = desc.withColumn("part", F.lit(0).cast("long"))
-        desc = made.select("subreddit", "part", *absent).join(stored, ["subreddit", "part"], "left")
-        desc = desc.select(*DESCRIPTION.fieldNames())
-    write_csv(desc, out)
+        made = description_with_maps(enrich(desc, posts, stopwords, lemmas, comments), max_entries).alias("made")
+        stored = desc.alias("stored")
+        same = [F.col(f"made.{c}").eqNullSafe(F.col(f"stored.{c}")) for c in ("subreddit", "part")]
+        key = [F.coalesce(f"made.{c}", f"stored.{c}").alias(c) for c in ("subreddit", "part")]
+        kept = [c for c in DESCRIPTION.fieldNames() if c not in ("subreddit", "part", *absent)]
+        both = made.join(stored, same[0] & same[1], "full")
+        desc = both.select(*key, *(f"made.{c}" for c in absent), *(f"stored.{c}" for c in kept))
+        # Further parts of what was made hold nothing that was stored, and the other way round.
+        nothing = {f.name: F.create_map().cast(f.dataType) if f.dataType == COUNTS else F.lit(0).cast(f.dataType) for f in DESCRIPTION}
+        filled = {c: F.when(F.col("part") > 0, F.coalesce(c, nothing[c])).otherwise(F.col(c)) for c in (*absent, *kept)}
+        desc = desc.withColumns(filled)
+    write_csv(desc.select(*DESCRIPTION.fieldNames()), out)
     return read_description(spark, out, index_column=False)
 
 
@@ -132,5 +142,5 @@ def description_with_maps(enriched: Enriched, max_entries: int = MAX_ENTRIES) ->
     empty = F.create_map().cast("map<string,bigint>")
     filled = first.fillna(0, ["n_posts", "n_comments"])
     return filled.select(
-        "subreddit", "part", "n_posts", "n_comments", *(F.coalesce(F.col(name), empty).alias(name) for name in folded)
+        "subreddit", "n_posts", "n_comments", *(F.coalesce(F.col(name), empty).alias(name) for name in folded), "part"
     )

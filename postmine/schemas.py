@@ -60,6 +60,8 @@ DESCRIPTION = T.StructType([
     T.StructField("external_links", COUNTS),
     T.StructField("sub_mentions", COUNTS),
     T.StructField("ngrams", COUNTS),
+    # Further rows of a large community; files of other tools have none.
+    T.StructField("part", T.LongType()),
 ])
 
 POST_COLUMNS = POSTS.fieldNames()

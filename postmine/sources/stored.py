@@ -66,9 +66,13 @@ def read_posts(spark: SparkSession, path: str, index_column: bool = True) -> Dat
 
 
 def read_description(spark: SparkSession, path: str, columns: list[str] | None = None, index_column: bool = True) -> DataFrame:
-    """The stored description; ``columns`` names those the file holds, by default all of them."""
+    """The stored description; ``columns`` names those the file holds, by default all of them.
+
+    A row without ``part``, which older files do not hold, is part 0.
+    """
     fields = [f for f in DESCRIPTION if columns is None or f.name in columns]
-    return _read(spark, path, T.StructType(fields), index_column)
+    desc = _read(spark, path, T.StructType(fields), index_column)
+    return desc.fillna(0, ["part"]) if "part" in desc.columns else desc
 
 
 def read_comments(spark: SparkSession, path: str, index_column: bool = True) -> DataFrame:

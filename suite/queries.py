@@ -315,9 +315,9 @@ def comments_round_trip(spark, folder):
     return read_comments(spark, path, index_column=False)
 
 
-def description_round_trip(spark, folder):
+def description_round_trip(spark, folder, max_entries=enrich.MAX_ENTRIES):
     path = _scratch(spark, "description")
-    write_csv(enrich.description_with_maps(_enriched(spark, folder)).drop("part"), path)
+    write_csv(enrich.description_with_maps(_enriched(spark, folder), max_entries), path)
     return _opened(read_description(spark, path, index_column=False))
 
 
@@ -327,16 +327,16 @@ def _opened(description):
         description.select("subreddit", F.lit(name).alias("feature"), F.explode(name).alias("item", "cnt"))
         for name in ("external_links", "sub_mentions", "ngrams")
     ]
-    posts = description.select("subreddit", F.lit("n_posts").alias("feature"), F.lit("").alias("item"), F.col("n_posts").alias("cnt"))
+    posts = description.filter("part = 0").select("subreddit", F.lit("n_posts").alias("feature"), F.lit("").alias("item"), F.col("n_posts").alias("cnt"))
     return dedupe.append_rows(posts, *opened)
 
 
-def reload_and_enrich(spark, folder):
+def reload_and_enrich(spark, folder, max_entries=enrich.MAX_ENTRIES):
     """A stored collection whose description holds names alone, read again and completed."""
     posts, description, out = (_scratch(spark, name) for name in ("posts", "description", "enriched"))
     write_csv(v.posts(spark, folder).select(*POST_COLUMNS), posts)
     write_csv(v.view(spark, folder, v.DESCRIPTION), description)
-    return _opened(enrich.reload_and_enrich(spark, posts, description, ["subreddit"], out, v.STOPWORDS, v.LEMMAS))
+    return _opened(enrich.reload_and_enrich(spark, posts, description, ["subreddit"], out, v.STOPWORDS, v.LEMMAS, max_entries=max_entries))
 
 
 def mentions_of_all(spark, folder):

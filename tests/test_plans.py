@@ -2,7 +2,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from postmine.plans.collect import collect_author_posts, collect_posts
-from postmine.plans.enrich import description_with_maps, enrich, feature_rows
+from postmine.plans.enrich import description_with_maps, enrich, feature_rows, reload_and_enrich
+from postmine.schemas import POST_COLUMNS
+from postmine.sources.stored import read_description, write_csv
 
 
 def pairs(df, *names):
@@ -62,3 +64,17 @@ def test_enrich(spark, posts, tmp_path):
     split = description_with_maps(known, max_entries=2)
     assert split.count() > 3 and split.agg(F.sum("n_posts")).first()[0] == 4
     assert len(pairs(split.select("subreddit", F.explode("ngrams")), "subreddit", "key")) == known.ngrams.count()
+
+
+def test_reload_keeps_the_parts_of_both_sides(spark, posts, tmp_path):
+    paths = [str(tmp_path / x) for x in ("posts", "stored", "out")]
+    write_csv(posts.select(*POST_COLUMNS), paths[0])
+    stored = spark.sql(
+        "SELECT * FROM VALUES ('s', 7L, map('a', 1L), 0L), ('s', 0L, map('b', 2L), 5L), ('t', 8L, map('c', 3L), 0L) AS t(subreddit, n_posts, external_links, part)"
+    )
+    write_csv(stored, paths[1])
+    got = reload_and_enrich(spark, paths[0], paths[1], stored.columns, paths[2], max_entries=1)
+    assert pairs(got.filter("part = 0"), "subreddit", "n_posts") == [("s", 7), ("t", 8)] and got.filter("part > 0").agg(F.sum("n_posts")).first()[0] == 0
+    assert pairs(got.select("subreddit", F.explode("external_links")), "subreddit", "key", "value") == [("s", "a", 1), ("s", "b", 2), ("t", "c", 3)]
+    assert got.groupBy("subreddit", "part").count().filter("count > 1").count() == 0
+    assert read_description(spark, paths[2], index_column=False).count() == got.count()

@@ -24,6 +24,11 @@ def test_query(spark, db, name):
     assert difference(df, db, ORACLE[name]) is None
 
 
+@pytest.mark.parametrize("name", ["description_round_trip", "reload_and_enrich"])
+def test_description_in_parts(spark, db, name):
+    assert difference(QUERIES[name](spark, FOLDER, max_entries=3), db, ORACLE[name]) is None
+
+
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE)
     assert set(QUERIES) <= set(driver.queries()) and set(ORACLE) <= set(driver.oracle_sql())
