@@ -16,12 +16,16 @@ LETTERS_DIGITS = "abcdefghijklmnopqrstuvwxyz0123456789"
 CAPITALS_DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 #: Dates of two hundred years, as a rectangle of 17 by 4297 days.
 FIRST_DAY, DAY_ROWS, DAY_COLUMNS = "1900-01-01", 17, 4297
+#: The days of all other four-digit years, 0000 to 9999: those before FIRST_DAY, and a rectangle of them all.
+DAYS_BEFORE, OTHER_ROWS, OTHER_COLUMNS = 693961, 16, 223711
+#: Symbols that one hash has steps for.
+BLOCK = 64
 
 #: By kind, in order of preference where two begin at the same place. All are linear: no part can match in two ways.
 SHAPES = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
     "key": r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|(?:"
-    r"(?:password|passwd|token|secret|api_key|apikey|PASSWORD|PASSWD|TOKEN|SECRET|API_KEY|APIKEY) ?[=:] ?[\"']?[0-9A-Fa-f]{16,128}+))(?![A-Za-z0-9])",
+    r"(?:password|passwd|token|secret|api_key|apikey|PASSWORD|PASSWD|TOKEN|SECRET|API_KEY|APIKEY) ?[=:] ?[\"']?[0-9A-Fa-f]{16,}+))(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}+(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![A-Za-z0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![A-Za-z0-9]|\.[0-9])",
     "date": r"(?<![A-Za-z0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})"
@@ -42,7 +46,7 @@ def _below(seed: Column, bound: int) -> Column:
 
 
 def feistel_text(value: Column, alphabet: str, key: Column) -> Column:
-    """A keyed permutation of the texts of one length over ``alphabet``, at most 128 symbols long.
+    """A keyed permutation of the texts of one length over ``alphabet``.
 
     The halves take turns; every symbol of one is moved along the alphabet by a hash of the other. A single
     symbol is moved by a hash of the key.
@@ -50,16 +54,23 @@ def feistel_text(value: Column, alphabet: str, key: Column) -> Column:
     half = (F.length(value) / 2).cast("int")
 
     def moved(text: Column, by: Column) -> Column:
-        def shifted(steps: Column) -> Column:
+        def shifted(part: Column, steps: Column) -> Column:
             def move(c: Column, i: Column) -> Column:
                 step = F.conv(F.substr(steps, F.lit(1) + i * 2, F.lit(2)), 16, 10).cast("int")
                 return F.substr(F.lit(alphabet), F.pmod(F.instr(F.lit(alphabet), c) - 1 + step, F.lit(len(alphabet))) + 1, F.lit(1))
 
-            return F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), move), "")
+            return F.array_join(F.transform(F.filter(F.split(part, ""), lambda c: c != ""), move), "")
 
-        # An array of one gives the hash a name, so that it is made once and not for every symbol.
-        steps = F.array(F.concat(F.sha2(by, 512), F.sha2(F.concat(by, F.lit("+")), 512)))
-        return F.aggregate(steps, F.lit(""), lambda _, s: shifted(s))
+        def blocks(first: Column) -> Column:
+            def block(k: Column) -> Column:
+                steps = F.array(F.when(k == 0, first).otherwise(F.sha2(F.concat_ws("/", first, k), 512)))
+                return F.aggregate(steps, F.lit(""), lambda _, s: shifted(F.substr(text, k * BLOCK + 1, F.lit(BLOCK)), s))
+
+            last = F.greatest(F.floor((F.length(text) - 1) / BLOCK).cast("int"), F.lit(0))
+            return F.array_join(F.transform(F.sequence(F.lit(0), last), block), "")
+
+        # An array of one gives a hash a name, so that it is made once and not for every symbol.
+        return F.aggregate(F.array(F.sha2(by, 512)), F.lit(""), lambda _, first: blocks(first))
 
     def turn(pair: Column, i: Column) -> Column:
         return F.struct(pair["b"].alias("a"), moved(pair["a"], F.concat_ws("/", key, F.length(value), i, pair["b"])).alias("b"))
@@ -168,17 +179,22 @@ def _date(value: Column, key: Column) -> Column:
         month_first, F.concat_ws("-", parts[2], F.lpad(a.cast("string"), 2, "0"), F.lpad(b.cast("string"), 2, "0"))
     ).otherwise(F.concat_ws("-", parts[2], F.lpad(b.cast("string"), 2, "0"), F.lpad(a.cast("string"), 2, "0")))
     day = F.datediff(order.try_cast("date"), F.lit(FIRST_DAY).cast("date"))
-    moved = feistel_number(day, DAY_ROWS, DAY_COLUMNS, F.concat(key, F.lit("date")))
+    inner, inside = DAY_ROWS * DAY_COLUMNS, day.between(0, DAY_ROWS * DAY_COLUMNS - 1)
+    # Days of other years keep their order, without a gap for the two hundred years in between.
+    other = F.when(day < 0, day + DAYS_BEFORE).otherwise(day + DAYS_BEFORE - inner)
+    other = feistel_number(other, OTHER_ROWS, OTHER_COLUMNS, F.concat(key, F.lit("other date"))) - DAYS_BEFORE
+    other = F.aggregate(F.array(other), F.lit(0).cast("long"), lambda _, n: F.when(n < 0, n).otherwise(n + inner))
+    moved = F.when(inside, feistel_number(day, DAY_ROWS, DAY_COLUMNS, F.concat(key, F.lit("date")))).otherwise(other)
 
     def shown(n: Column) -> Column:
         to = F.date_add(F.lit(FIRST_DAY).cast("date"), n.cast("int"))
         sign = F.substr(F.regexp_replace(value, "[0-9]", ""), F.lit(1), F.lit(1))
-        month, dom, year = F.date_format(to, "MM"), F.date_format(to, "dd"), F.date_format(to, "yyyy")
+        month, dom, year = (F.substr(to.cast("string"), F.lit(at), F.lit(n)) for at, n in ((6, 2), (9, 2), (1, 4)))
         return F.when(iso, F.concat_ws("-", year, month, dom)).when(month_first, F.concat(month, sign, dom, sign, year)).otherwise(
             F.concat(dom, sign, month, sign, year)
         )
 
-    return F.when(day.between(0, DAY_ROWS * DAY_COLUMNS - 1), F.aggregate(F.array(moved), F.lit(""), lambda _, n: shown(n)))
+    return F.when(day.isNotNull(), F.aggregate(F.array(moved), F.lit(""), lambda _, n: shown(n)))
 
 
 def _ssn(value: Column, key: Column) -> Column:
@@ -221,7 +237,7 @@ def pseudonymize(docs: DataFrame, key: str, column: str = "text", count: str | N
     """``docs`` with the personal values in ``column`` replaced; all rows and other columns stay as they are.
 
     ``count`` names a further column for the number of values replaced. Numbers that fail their check (Luhn, mod 97,
-    octets, calendar, ranges) stay. A null text stays null with a count of 0; texts without a value stay the same.
+    octets, calendar, ranges of other numbers) stay. A null text stays null with a count of 0; texts without a value stay the same.
     Where two kinds overlap, the one that begins first is taken, then the one that SHAPES names first.
     """
     text = F.col(f"`{column}`")

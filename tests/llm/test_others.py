@@ -46,6 +46,22 @@ def test_feistel_is_a_permutation(spark):
     assert sorted(r.x for r in numbers.collect()) == list(range(17 * 43))
 
 
+def test_dates_of_all_years_and_long_secrets(spark):
+    days = spark.sql("SELECT explode(sequence(DATE'0000-01-01', DATE'9999-12-31', INTERVAL 200 DAY)) AS d").select(F.col("d").cast("string").alias("text"))
+    got = pseudonyms.pseudonymize(days.withColumn("old", F.col("text")), "k", count="n")
+    r = got.agg(F.min("n"), F.countDistinct("text"), F.count("*"), F.count(F.expr("try_cast(text AS date)")), F.max(F.length("text"))).first()
+    assert r[0] == 1 and r[1] == r[2] == r[3] == days.count() and r[4] == 10
+    kept = "between(text, '1900-01-01', '2099-12-31') = between(old, '1900-01-01', '2099-12-31')"
+    assert got.filter(F.expr(kept)).count() == days.count()
+    secrets = ["0123456789abcdef" * n for n in (9, 40)] + ["0123456789abcdef" * 39 + "0123456789abcdee", "f" * 128 + "1"]
+    rows = spark.createDataFrame([(i, f'token = "{x}"') for i, x in enumerate(secrets)], "doc_id long, text string")
+    new = [r.text for r in pseudonyms.pseudonymize(rows, "k").orderBy("doc_id").collect()]
+    for x, t in zip(secrets, new):
+        m = re.fullmatch('token = "([0-9a-f]+)"', t)
+        assert m and len(m[1]) == len(x) and sum(a == b for a, b in zip(m[1], x)) < len(x) / 4
+    assert len(set(new)) == len(new)
+
+
 def test_pseudonyms_are_native_and_keep_rows(spark, odd, empty):
     out = pseudonyms.pseudonymize(odd, "k")
     assert not re.search("Python|Arrow|Pandas", plan(out))
