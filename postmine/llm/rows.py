@@ -31,13 +31,19 @@ def shuffles(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], dict[str, list] | None], schema: str) -> DataFrame:
-    """``each`` turns a batch into columns of ``schema``; at most one batch is in memory at a time."""
+def map_batches(
+    df: DataFrame, each: Callable[[pa.RecordBatch], dict[str, list] | None], schema: str, at_once: int | None = None
+) -> DataFrame:
+    """``each`` turns a batch into columns of ``schema``; at most one batch is in memory at a time.
+
+    ``at_once`` hands it at most so many rows, where one row in makes many out.
+    """
     target = pa.schema(_arrow(df.sparkSession, schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and (columns := each(batch)):
+        cut = (b.slice(i, at_once or b.num_rows) for b in batches for i in range(0, b.num_rows, at_once or b.num_rows or 1))
+        for batch in cut:
+            if columns := each(batch):
                 yield pa.RecordBatch.from_arrays(
                     [x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip((columns[f.name] for f in target), target)],
                     schema=target,

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import re
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -71,3 +72,38 @@ def without_repeats(rows):
         kept = bytes(x for x, g in zip(b, gone) if not g)
         out.append((doc, len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
     return ordered(out)
+
+
+def filter_audit(docs, labels):
+    """part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, shapley; docs: (doc_id, text, source)."""
+    good = {i for i, q, _ in labels if q == 1}
+    toxic = {i for i, _, t in labels if t == 1}
+    first = {}
+    for i, text, _ in docs:
+        if i is not None:
+            first[text or ""] = min(first.get(text or "", i), i)
+    known = []
+    for i, text, source in docs:
+        text = text or ""
+        words = WORD.findall(text)
+        failed = {
+            "A": len(words) < 200, "B": 100 * len(set(words)) < 50 * len(words), "C": 100 * len(re.findall("[A-Z]", text)) > 2 * len(text),
+            "D": bool(re.search("[#$%&*|]", text)), "E": i is not None and first[text] < i,
+        }
+        known.append((source or "", {f for f in failed if failed[f]}, i is not None and i in good, i is not None and i in toxic))
+    out = []
+    for part in {k[0] for k in known}:
+        here = [k for k in known if k[0] == part]
+        rows, shapley = [], collections.Counter()
+        for order in itertools.permutations("ABCDE"):
+            left = here
+            for step, f in enumerate(order, 1):
+                gone = [k for k in left if f in k[1]]
+                left = [k for k in left if f not in k[1]]
+                redundant = sum(f in k[1] for k in here) - len(gone)
+                shapley[f] += len(gone)
+                rows.append((
+                    "".join(order), step, len(left), len(gone), redundant, sum(k[1] == {f} for k in here), sum(k[2] for k in gone), sum(k[3] for k in gone),
+                ))
+        out += [(part, *r, shapley[r[0][r[1] - 1]]) for r in rows]
+    return ordered(out)
