@@ -41,5 +41,46 @@ SELECT part, filter_order, step, coalesce(kept, 0) AS kept, coalesce(removed, 0)
   coalesce(unique_fails, 0) AS unique_fails, coalesce(good_lost, 0) AS good_lost, coalesce(toxic_lost, 0) AS toxic_lost,
   CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
 FROM a
+""",
+    "op13_prefix_trie": r"""
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(concat(length(coalesce(role, '')), ':', role, text))) AS p
+  FROM conversations WHERE conv_id IS NOT NULL
+), s AS (
+  SELECT c, max(p) AS n FROM t GROUP BY c
+), h AS (
+  SELECT c, c - c % 20 AS b, xor(list_reduce(list_transform(range(1, length(CAST(c AS VARCHAR)) + 1), lambda i: CAST(ord(CAST(c AS VARCHAR)[i]) AS BIGINT)),
+    lambda crc, byte: list_reduce(range(0, 8), lambda k, j: CASE WHEN k % 2 = 1 THEN xor(k // 2, 3988292384) ELSE k // 2 END, xor(crc, byte)),
+    CAST(4294967295 AS BIGINT)), 4294967295) % 4 AS h
+  FROM s
+), k AS (
+  SELECT h.c, h.b, h.h, least(h.h, coalesce(s.n, 0)) AS taken FROM h LEFT JOIN s ON s.c = h.b
+), rebuilt AS (
+  SELECT k.c, t.p AS d, t.r, t.x FROM k JOIN t ON t.c = k.b AND t.p <= k.taken
+  UNION ALL
+  SELECT k.c, t.p - k.h + k.taken, t.r, t.x FROM k JOIN t ON t.c = k.c AND t.p > k.h
+), lengths AS (
+  SELECT k.c, coalesce(max(d), 0) AS n FROM k LEFT JOIN rebuilt USING (c) GROUP BY k.c
+), prefixes AS (
+  SELECT c, d, list({'r': r, 'x': x}) OVER (PARTITION BY c ORDER BY d) AS path, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS words FROM rebuilt
+  UNION ALL
+  SELECT c, 0, [], 0 FROM lengths
+), nodes AS (
+  SELECT d, path, min(c) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+    string_agg(CASE WHEN n = d THEN CAST(c AS VARCHAR) END, ',' ORDER BY c) AS ends
+  FROM prefixes JOIN lengths USING (c) GROUP BY d, path
+), linked AS (
+  SELECT v.*, p.conv_id AS parent_conv_id FROM nodes v LEFT JOIN nodes p ON p.d = v.d - 1 AND p.path = v.path[1:v.d - 1]
+), children AS (
+  SELECT d - 1 AS d, path[1:d - 1] AS path, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL
+), known AS (
+  SELECT v.*, coalesce(children.n, 0) AS n_children FROM linked v LEFT JOIN children USING (d, path)
+), below AS (
+  SELECT a AS d, path[1:a] AS path, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum((n_convs - 1) * words) AS BIGINT) AS saved_tokens
+  FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM known) GROUP BY ALL
+)
+SELECT conv_id, CAST(d AS BIGINT) AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM known JOIN below USING (d, path)
 """,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from postmine.llm import filter_audit, forced_bpe, jaccard, language, order_minhash, packing, pages, pseudonyms, quality, repair, repeats
+from postmine.llm import filter_audit, forced_bpe, jaccard, language, order_minhash, packing, pages, prefix_trie, pseudonyms, quality, repair, repeats
 from postmine.llm.oracle import ORACLE
 from postmine.llm.rows import table
 
@@ -65,11 +65,15 @@ def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return filter_audit.audit_filters(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, folder, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_best_fit_packing, op3_feistel_pseudonyms, op4_ngram_jaccard_join, op5_language_evidence,
         op6_order_minhash, op7_repair_token_files, op8_main_text, op9_suffix_array_dedup, op10_forced_boundary_bpe,
-        op12_filter_audit,
+        op12_filter_audit, op13_prefix_trie,
     )
 }

@@ -3,7 +3,9 @@
 import collections
 import hashlib
 import itertools
+import math
 import re
+import zlib
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -107,3 +109,32 @@ def filter_audit(docs, labels):
                 ))
         out += [(part, *r, shapley[r[0][r[1] - 1]]) for r in rows]
     return ordered(out)
+
+
+def prefix_trie(rows):
+    """conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256; rows: (conv_id, turn, role, text)."""
+    said = collections.defaultdict(list)
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            role, text = role or "", text or ""
+            digest = hashlib.md5(f"{len(role)}:{role}{text}".encode()).hexdigest()
+            said[conv].append((turn is not None, turn or 0, digest, (role, text)))
+    said = {c: [t[-1] for t in sorted(x)] for c, x in said.items()}
+    members, ends, children = collections.defaultdict(list), collections.defaultdict(list), collections.defaultdict(set)
+    for c, own in sorted(said.items()):
+        h = zlib.crc32(str(c).encode()) % 4
+        way = tuple(said.get(c - int(math.fmod(c, 20)), [])[:h] + own[h:])
+        ends[way].append(c)
+        for d in range(len(way) + 1):
+            members[way[:d]].append(c)
+            if d:
+                children[way[: d - 1]].add(way[:d])
+    out = {}
+    for node in sorted(members, key=len, reverse=True):
+        below = [out[x] for x in children[node]]
+        saved = (len(members[node]) - 1) * (len(WORD.findall(node[-1][1])) if node else 0)
+        out[node] = (
+            members[node][0], len(node), members[node[:-1]][0] if node else None, len(members[node]), len(below),
+            sum(x[5] for x in below) or 1, saved + sum(x[6] for x in below), hashlib.sha256(",".join(map(str, ends[node])).encode()).hexdigest(),
+        )
+    return ordered(out.values())

@@ -1,9 +1,11 @@
 """Filter audit, conversation tries and benchmark passages, against plain versions and their SQL."""
 
+import random
+
 import numpy as np
 import pytest
 
-from postmine.llm import filter_audit
+from postmine.llm import filter_audit, prefix_trie
 from postmine.llm.oracle import ORACLE
 from postmine.llm.queries import QUERIES
 from tests.compare import connect, difference
@@ -49,3 +51,34 @@ def test_removal_ranks_are_a_min_plus_product():
     got = filter_audit.removal_ranks(masks, positions)
     want = [[min([int(p) for p, m in zip(q, row) if m == 0], default=filter_audit.NEVER) for q in positions] for row in masks]
     assert got.tolist() == want
+
+
+def talk(conv, n, topic=0, start=1):
+    return [(conv, start + i, "user" if i % 2 else None, f"turn {i} of {topic}\x0bwords" if i % 5 else None) for i in range(n)]
+
+
+TALKS = [
+    *talk(0, 4), *talk(1, 6), *talk(2, 6), *talk(3, 1), *talk(7, 2, 9), *talk(9, 1), *talk(20, 2, 1), *talk(21, 3, 1), *talk(22, 5, 1), *talk(23, 4, 1),
+    *talk(45, 1, 2), *talk(46, 1, 2), *talk(48, 3, 2), *talk(-3, 5, 3), *talk(-20, 3, 4), *talk(-33, 6, 5), *talk(60, 90, 6), *talk(61, 90, 6), *talk(62, 70, 6),
+    *talk(None, 5), (7, None, "system", "first of all"), (7, 2, "b", "tie"), (7, 2, "a", "tie"), (7, 2, "a", "tie"), (80, None, None, None),
+]
+
+
+@pytest.mark.parametrize("at_once", [10_000, 7])
+def test_trie_equals_a_plain_one(spark, at_once):
+    schema = "conv_id long, turn int, role string, text string, depth long, digest string"
+    rows = spark.createDataFrame([(*r, 3, "clash") for r in TALKS], schema).repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", at_once)
+    try:
+        found = prefix_trie.prefix_trie(rows).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert brute.ordered(found) == brute.prefix_trie(TALKS)
+    assert prefix_trie.prefix_trie(rows.limit(0)).count() == 0
+
+
+def test_a_third_of_all_conversations_share_their_turns(spark):
+    rng = random.Random(3)
+    rows = [r for c in range(400) for r in (talk(c, 12, 1) if c % 3 == 0 else talk(c, rng.randint(1, 9), rng.randint(2, 9)))]
+    found = prefix_trie.prefix_trie(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
+    assert brute.ordered(found.collect()) == brute.prefix_trie(rows)
