@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from postmine.llm import filter_audit, forced_bpe, jaccard, language, order_minhash, packing, pages, prefix_trie, pseudonyms, quality, repair, repeats
+from postmine.llm import decontaminate, filter_audit, forced_bpe, jaccard, language, order_minhash, packing, pages, prefix_trie, pseudonyms, quality, repair, repeats
 from postmine.llm.oracle import ORACLE
 from postmine.llm.rows import table
 
@@ -61,6 +61,10 @@ def op10_forced_boundary_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return forced_bpe.encode_and_decode(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.find_contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return filter_audit.audit_filters(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -74,6 +78,6 @@ QUERIES = {
     for f in (
         op1_quality_rules, op2_best_fit_packing, op3_feistel_pseudonyms, op4_ngram_jaccard_join, op5_language_evidence,
         op6_order_minhash, op7_repair_token_files, op8_main_text, op9_suffix_array_dedup, op10_forced_boundary_bpe,
-        op12_filter_audit, op13_prefix_trie,
+        op11_decontaminate, op12_filter_audit, op13_prefix_trie,
     )
 }

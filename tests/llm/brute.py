@@ -138,3 +138,26 @@ def prefix_trie(rows):
             sum(x[5] for x in below) or 1, saved + sum(x[6] for x in below), hashlib.sha256(",".join(map(str, ends[node])).encode()).hexdigest(),
         )
     return ordered(out.values())
+
+
+def contamination(docs, items):
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    def words(text):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+    windows = collections.defaultdict(set)
+    for item, text in items:
+        w = words(text)
+        for i in range(max(len(w) - 9, 1 if w else 0)):
+            windows[tuple(w[i : i + 10])].add(item)
+    out = []
+    for doc, text in docs:
+        w, hit, found = words(text), set(), set()
+        for m in {len(x) for x in windows}:
+            for i in range(len(w) - m + 1):
+                if tuple(w[i : i + m]) in windows:
+                    hit.update(range(i, i + m))
+                    found |= windows[tuple(w[i : i + m])] - {None}
+        names = ",".join(sorted(map(str, found)))
+        out.append((doc, len(w), len(hit), len(found), hashlib.sha256(names.encode()).hexdigest(), bool(hit)))
+    return ordered(out)

@@ -1,14 +1,15 @@
 """Filter audit, conversation tries and benchmark passages, against plain versions and their SQL."""
 
 import random
+import re
 
 import numpy as np
 import pytest
 
-from postmine.llm import filter_audit, prefix_trie
+from postmine.llm import decontaminate, filter_audit, prefix_trie
 from postmine.llm.oracle import ORACLE
 from postmine.llm.queries import QUERIES
-from tests.compare import connect, difference
+from tests.compare import connect, difference, plan
 from tests.llm import brute
 
 FOLDER = "/root/testdata/sf0.001"
@@ -82,3 +83,51 @@ def test_a_third_of_all_conversations_share_their_turns(spark):
     rows = [r for c in range(400) for r in (talk(c, 12, 1) if c % 3 == 0 else talk(c, rng.randint(1, 9), rng.randint(2, 9)))]
     found = prefix_trie.prefix_trie(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
     assert brute.ordered(found.collect()) == brute.prefix_trie(rows)
+
+
+def words(a, b):
+    return " ".join(f"w{i}" for i in range(a, b))
+
+
+ITEMS = [
+    (1, words(0, 30)), (2, words(100, 110)), (3, words(200, 207)), (4, "Stop. the"), (10, "solitary"), (11, words(0, 12)), (11, words(300, 315)),
+    (12, None), (13, ""), (14, " .!? "), (None, words(400, 415)), (None, words(100, 112)), (15, "É A é b Ç d " + words(0, 8)), (15, words(100, 110)),
+    (16, "same " * 25), (17, words(500, 505)), (18, words(600, 604)), (19, words(0, 10) + " tail"),
+]
+PASSAGES = [
+    (1, words(0, 9)), (2, words(0, 10)), (3, "x " + words(5, 25).upper() + " y"), (4, words(0, 14) + " x " + words(14, 24)), (5, "stop - THE; solitary Solitary"),
+    (6, words(200, 207) + " " + words(199, 206)), (7, words(300, 315).replace(" ", "\x00\n")), (8, words(400, 411)), (9, words(100, 115)), (9, words(100, 115)), (9, "other"),
+    (None, words(100, 115)), (None, None), (10, None), (11, ""), (12, "É A é B Ç d " + words(0, 8)), (13, "é a é b ç d " + words(0, 8)), (14, "same " * 40), (15, "same " * 9),
+    (16, words(499, 506) + " " + words(601, 604) + " " + words(600, 604)), (17, words(0, 30) * 3), (18, "漢字 " * 5000 + words(0, 11)), (19, "one"), (20, words(0, 10) + " tail"),
+]
+
+
+@pytest.mark.parametrize("way", ["plain", "copies", "full bits"])
+def test_contamination_equals_a_plain_search(spark, monkeypatch, way):
+    if way == "copies":
+        monkeypatch.setattr(decontaminate, "fits", lambda rows, size: False)
+    if way == "full bits":
+        monkeypatch.setattr(decontaminate, "MOST_BITS", 64)
+        monkeypatch.setattr(decontaminate, "LEAST_BITS", 64)
+    clash = "row string, words int, found int, length string, first string"
+    docs = spark.createDataFrame([(*r, "a", 1, 2, "b", "c") for r in PASSAGES], f"doc_id long, text string, {clash}").repartition(3)
+    items = spark.createDataFrame([(*r, "a", 1, 2, "b", "c") for r in ITEMS], f"item_id long, text string, {clash}")
+    found = decontaminate.find_contamination(docs, items)
+    assert not re.search("Python|Arrow|Pandas|Cartesian|NestedLoop", plan(found))
+    assert brute.ordered(found.collect()) == brute.contamination(PASSAGES, ITEMS)
+
+
+def test_contamination_of_and_by_nothing(spark):
+    docs = spark.createDataFrame(PASSAGES, "doc_id long, text string")
+    for items in ([], [(1, None), (2, " . ")]):
+        found = decontaminate.find_contamination(docs, spark.createDataFrame(items, "item_id long, text string"))
+        assert brute.ordered(found.collect()) == brute.contamination(PASSAGES, items)
+    assert decontaminate.find_contamination(docs.limit(0), spark.createDataFrame(ITEMS, "item_id long, text string")).count() == 0
+
+
+def test_a_passage_in_a_third_of_all_documents(spark):
+    rng = random.Random(5)
+    docs = [(i, (words(0, 20) if i % 3 == 0 else "") + " ".join(rng.choices(["a", "b", "w7", "w8"], k=60))) for i in range(900)]
+    items = [(i, words(0, 12) + f" of item {i} " + " ".join(rng.choices(["a", "b"], k=12))) for i in range(40)]
+    found = decontaminate.find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert brute.ordered(found.collect()) == brute.contamination(docs, items)
