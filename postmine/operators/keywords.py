@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from postmine.functions.expr import constant, let
 from postmine.operators.ranking import first_per_key
-from postmine.operators.terms import INLINE_TERMS, joined_hits
+from postmine.operators.terms import INLINE_TERMS, joined_hits, lowered
 
 # Fixed values.
 BUNDLE = 25
@@ -131,9 +131,10 @@ def match_keywords(
 
 def _match_list(posts: DataFrame, queries: Sequence[KeywordQuery]) -> DataFrame:
     # A query that is listed more than once has the terms of all its places.
+    low = lowered(posts.sparkSession, [term for q in queries for term in q.terms or ("",)])
     grouped: dict[str, list[str]] = {}
     for q in queries:
-        grouped.setdefault(q.text, []).extend(t.lower() for t in q.terms or ("",) if t is not None)
+        grouped.setdefault(q.text, []).extend(low[term] for term in q.terms or ("",) if term is not None)
     table = [{"text": text, "terms": list(dict.fromkeys(terms))} for text, terms in grouped.items() if terms]
     values = constant(table, "array<struct<text:string,terms:array<string>>>")
     hits = let(

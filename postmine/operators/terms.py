@@ -1,22 +1,24 @@
 """Which terms of a list occur in which texts.
 
 Short lists travel inside the plan and are tested where the text is, without a join.
-Longer ones are joined on the first characters of the term, which works for any length.
+Longer ones are joined on the first characters of the term, after a test in the row that lets few places through.
 Both ways give the same result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postmine.functions.bits import BitField, bit_field
 from postmine.functions.expr import let
-from postmine.operators.sizes import fits
+from postmine.operators.sizes import fits, spread_join
 
 INLINE_TERMS = 1000
-ANCHOR = 6
+GATE = 6
 BLOCK = 64
 
 
@@ -34,6 +36,12 @@ def as_rows(terms: DataFrame) -> DataFrame:
     return terms.select("pos", "term").filter("term IS NOT NULL").distinct()
 
 
+def lowered(spark: SparkSession, terms: Sequence[str | None]) -> dict[str, str]:
+    """Every term that is not null and its lower case as Spark has it, so that lists and tables agree on every letter."""
+    known = list(dict.fromkeys(term for term in terms if term is not None))
+    return dict(zip(known, spark.range(1).select(F.transform(F.lit(known), F.lower)).first()[0])) if known else {}
+
+
 def as_table(df: DataFrame, terms: DataFrame | Sequence[str]) -> DataFrame:
     """``terms`` as rows ``(pos, term)``."""
     if isinstance(terms, DataFrame):
@@ -62,38 +70,85 @@ def terms_in_text(
     return tagged.withColumn("terms", F.when(F.col("_text_key").isNotNull(), found)).drop("_hits", "_text_key")
 
 
+def _classes(n: Column) -> Column:
+    """How many first characters of a term of ``n`` characters stand for it: all below `GATE`, else the largest doubling of it."""
+    doubled = F.lit(GATE) * F.pow(F.lit(2), F.floor(F.log2(n / GATE)))
+    return F.when(n < GATE, n).otherwise(doubled.cast("int"))
+
+
+def _anchor(size: Column, text: Column) -> Column:
+    return F.xxhash64(size, text)
+
+
+def offered_anchors(text: Column, sizes: list[int], longest: int, field: BitField) -> Column:
+    """``array<struct<anchor, stretch>>``: the places of ``text`` where the first characters of some term stand.
+
+    ``sizes`` are the classes of the terms, ``longest`` the length of the longest term. A text is cut into blocks, as
+    finding the nth character of a text takes n steps. A place first passes the gate, its next `GATE` characters, and a second one of twice that; only then
+    its longer beginnings are tested, and what a term of their class can cover is taken along.
+    """
+    short = [n for n in sizes if n < GATE]
+    long = [n for n in sizes if n >= GATE]
+    around = 1 + -(-longest // BLOCK)
+
+    def block(blocks: Column, one: Column, j: Column) -> Column:
+        def places(near: Column) -> Column:
+            def tested(gates: Column) -> Column:
+                def may_start(at: Column) -> Column:
+                    later = [_anchor(F.lit(GATE), F.substring(near, at, F.lit(GATE)))] if GATE in sizes else []
+                    later += [F.xxhash64(F.substring(near, at, F.lit(2 * GATE)))] if max(long, default=0) > GATE else []
+                    passed = [field.has(F.get(gates, at - 1)) & reduce(Column.__or__, map(field.has, later))] if long else []
+                    passed += [field.has(_anchor(F.lit(n), F.substring(near, at, F.lit(n)))) for n in short]
+                    return reduce(Column.__or__, passed)
+
+                return F.filter(F.sequence(F.lit(1), F.length(one)), may_start)
+
+            return let(F.transform(F.sequence(F.lit(1), F.length(one)), lambda at: F.xxhash64(F.substring(near, at, F.lit(GATE)))), tested)
+
+        def tried(at: Column) -> Column:
+            def classes(stretch: Column) -> Column:
+                def stands(n: Column) -> Column:
+                    return (F.length(stretch) >= n) & field.has(_anchor(n, F.substring(stretch, F.lit(1), n)))
+
+                return F.transform(
+                    F.filter(F.array(*map(F.lit, sizes)), stands),
+                    lambda n: F.struct(F.substring(stretch, F.lit(1), n).alias("anchor"), F.substring(stretch, F.lit(1), 2 * n).alias("stretch")),
+                )
+
+            return let(F.substring(F.array_join(F.slice(blocks, j + 1, F.lit(around)), ""), at, F.lit(longest)), classes)
+
+        near = F.concat(one, F.coalesce(F.substring(F.get(blocks, j + 1), 1, 2 * GATE - 1), F.lit("")))
+        return F.flatten(F.transform(let(near, places), tried))
+
+    if not sizes:
+        return F.array().cast("array<struct<anchor:string,stretch:string>>")
+    cut = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    return let(cut, lambda blocks: F.flatten(F.transform(blocks, lambda one, j: block(blocks, one, j))))
+
+
 def joined_hits(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """Rows ``(_text_key, pos, term)`` for the terms that occur in texts ``(_text_key, _text)``.
 
-    A term is looked up by its anchor, its first ``ANCHOR`` characters or all of it. Each
-    character position of a text offers the anchors starting there, together with the
-    stretch of text that the longest term could cover, so the match is tested on the spot.
+    A term is known by its anchor, its first characters. Which anchors the list has travels in the plan as a field of
+    bits, so a text offers few places where no term starts; these are joined by anchor and the match is tested on the
+    spot. An empty term is found in every text that is not null.
     """
-    terms = terms.withColumn("_anchor", F.substring("term", 1, ANCHOR))
-    # At most ANCHOR + 1 rows, whatever the number of terms.
-    shapes = terms.groupBy(F.length("_anchor").alias("n")).agg(
-        F.max(F.length("term")).alias("longest"),
-        F.count("*").alias("rows"),
-        F.sum(F.octet_length("term")).alias("size"),
+    terms = terms.withColumn("_size", _classes(F.length("term"))).withColumn("_anchor", F.expr("left(term, _size)"))
+    # A row per class, of which there are few, whatever the number of terms.
+    found = terms.groupBy("_size").agg(
+        F.max(F.length("term")).alias("longest"), F.count("*").alias("rows"), F.sum(F.octet_length("term")).alias("size")
     ).collect()
-    if fits(sum(row["rows"] for row in shapes), sum(row["size"] for row in shapes)):
-        terms = F.broadcast(terms)
-    sizes = sorted(row.n for row in shapes) or [0]
-    longest = max((row.longest for row in shapes), default=0)
-    # Positions are counted in short overlapping blocks, since finding the nth character of
-    # a text takes n steps. An empty text has one position too, where an empty term is found.
-    chars = texts.filter(F.col("_text").isNotNull()).select("_text_key", F.split("_text", "").alias("_chars"))
-    starts = F.explode(F.sequence(F.lit(1), F.size("_chars"), F.lit(BLOCK)))
-    cut = chars.select("_text_key", "_chars", starts.alias("_from")).select(
-        "_text_key",
-        # Never null, and said so: otherwise the join would test every stretch for null first.
-        F.coalesce(F.array_join(F.slice("_chars", F.col("_from"), F.lit(BLOCK + longest)), ""), F.lit("")).alias("_block"),
-        F.least(F.lit(BLOCK), F.size("_chars") - F.col("_from") + 1).alias("_n"),
-    )
-    at = cut.select("_text_key", "_block", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_at"))
-    stretch = F.substring("_block", F.col("_at"), F.lit(longest))
-    anchors = [F.substring(stretch, 1, n) for n in sizes]
-    anchor = anchors[0] if len(anchors) == 1 else F.explode(F.array_distinct(F.array(*anchors)))
-    offered = at.select("_text_key", stretch.alias("_stretch"), anchor.alias("_anchor"))
-    match = (offered["_anchor"] == terms["_anchor"]) & F.startswith(offered["_stretch"], terms["term"])
-    return offered.join(terms, match).select("_text_key", "pos", "term").distinct()
+    sizes = sorted(row["_size"] for row in found)
+    longest = max((row["longest"] for row in found), default=0)
+    gates = [F.when(F.col("_size") >= n, F.xxhash64(F.expr(f"left(term, {n})"))) for n in (GATE, 2 * GATE)]
+    sums = F.array_compact(F.array(_anchor(F.col("_size"), F.col("_anchor")), *gates))
+    field = bit_field(terms.select(F.explode(sums).alias("checksum")).distinct())
+    known = texts.filter(F.col("_text").isNotNull())
+    nowhere = F.array(F.struct(F.lit("").alias("anchor"), F.lit("").alias("stretch"))) if 0 in sizes else None
+    places = offered_anchors(F.col("_text"), [n for n in sizes if n], longest, field)
+    offered = known.select("_text_key", F.explode(F.concat(nowhere, places) if nowhere is not None else places).alias("_at"))
+    # Copies of a text, and repeats within one, offer the same.
+    offered = offered.select("_text_key", F.col("_at.anchor").alias("_anchor"), F.col("_at.stretch").alias("_stretch"))
+    small = fits(sum(row["rows"] for row in found), sum(row["size"] for row in found))
+    hits = spread_join(offered, terms.drop("_size"), "_anchor", "_text_key", small, F.startswith("_stretch", "term"))
+    return hits.select("_text_key", "pos", "term").distinct()

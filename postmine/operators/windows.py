@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from postmine.functions.expr import let
 from postmine.functions.kwic import WIDTH, term_windows
-from postmine.operators.terms import INLINE_TERMS, terms_in_text
+from postmine.operators.terms import INLINE_TERMS, lowered, terms_in_text
 
 
 def _with_hits(posts: DataFrame, terms: DataFrame | Sequence[str], compat: bool, inline_limit: int) -> DataFrame:
@@ -19,7 +19,8 @@ def _with_hits(posts: DataFrame, terms: DataFrame | Sequence[str], compat: bool,
         if isinstance(terms, DataFrame):
             terms = terms.withColumn("term", F.lower("term"))
         else:
-            terms = [term.lower() for term in terms if term is not None]
+            low = lowered(posts.sparkSession, terms)
+            terms = [low[term] for term in terms if term is not None]
     return terms_in_text(posts, F.lower("body"), terms, inline_limit)
 
 

@@ -67,7 +67,7 @@ CTES = {
     "raw_pages": v.RAW_PAGES.format(**TABLES),
     "raw_comments": v.RAW_COMMENTS.format(**TABLES),
     "descr": v.DESCRIPTION.format(**TABLES),
-    "phrases": v.PHRASES.format(**TABLES),
+    "phrases": v.PHRASES,
     "posts": normalized("raw_posts"),
     "compat_posts": normalized("raw_posts", COMPAT),
     "copies": normalized("raw_copies"),
@@ -200,7 +200,7 @@ WHERE starts_with(mention, 'r/') GROUP BY subreddit, mention"""),
     "frequent_ngrams": query("SELECT * FROM ngram_counts"),
     "keyword_windows": query(windows_sql("keywords", "lower(k.term)")),
     "keyword_windows_compat": query(windows_sql("keywords", "k.term")),
-    "keyword_windows_with_table": query(windows_sql("phrases", "lower(k.term)")),
+    "keyword_windows_with_table": query(windows_sql("(SELECT DISTINCT query, term FROM phrases)", "lower(k.term)")),
     "add_windows": query("""
 SELECT p.post_id, CASE WHEN length(p.body) > 0 THEN coalesce(w.all_windows, '') END AS "window"
 FROM posts p LEFT JOIN (SELECT f.post_id, string_agg(f."window", chr(10) ORDER BY k.pos, f.hit) AS all_windows
@@ -245,7 +245,7 @@ GROUP BY author, domain"""),
     "append_rows": query("""
 SELECT query, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT post_id) AS BIGINT) AS n_posts
 FROM (SELECT query, post_id FROM matched WHERE scope = 'all'
-  UNION ALL SELECT '', post_id FROM by_author WHERE rn <= 1000 AND author IN (SELECT author FROM authors)) GROUP BY query"""),
+  UNION ALL SELECT '', post_id FROM by_author WHERE author IN (SELECT author FROM authors)) GROUP BY query"""),
     "remove_duplicates": query("SELECT post_id, min(query) AS query, min(date) AS date FROM matched GROUP BY post_id"),
     "remove_copies": query("""
 SELECT post_id, date FROM (SELECT *, row_number() OVER (PARTITION BY txt ORDER BY created_utc, post_id) AS rn FROM copy_texts)
@@ -313,7 +313,7 @@ FROM (SELECT p_partkey, unnest(w) AS term, generate_subscripts(w, 1) AS i
 SELECT DISTINCT 'all' AS scope, b.query, p.post_id
 FROM numbered n JOIN (SELECT pos // 25 AS no, string_agg(concat('"', term, '"'), ' OR ' ORDER BY pos) AS query FROM numbered GROUP BY no) b
   ON b.no = n.pos // 25 JOIN posts p ON contains(lower(concat_ws(' ', p.title, p.body)), lower(n.term))""", ("numbered", """
-SELECT row_number() OVER (ORDER BY CAST(query AS BIGINT)) - 1 AS pos, replace(term, chr(10), ' ') AS term FROM phrases""")),
+SELECT row_number() OVER (ORDER BY CAST(query AS BIGINT), place) - 1 AS pos, replace(term, chr(10), ' ') AS term FROM phrases""")),
     "comments_from_dump": query("SELECT * FROM comments"),
     "ngram_report": query("""
 SELECT *, row_number() OVER (PARTITION BY subreddit ORDER BY cnt DESC, ngram DESC) AS rank FROM ngram_counts"""),

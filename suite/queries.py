@@ -121,7 +121,7 @@ def keyword_windows_compat(spark, folder):
 
 
 def keyword_windows_with_table(spark, folder):
-    terms = v.view(spark, folder, v.PHRASES).select(F.col("query").cast("int").alias("pos"), "term").distinct()
+    terms = v.phrases(spark, folder).select(F.col("query").cast("int").alias("pos"), "term").distinct()
     return windows.keyword_windows(v.posts(spark, folder), terms, inline_limit=0)
 
 
@@ -160,7 +160,7 @@ def match_everything(spark, folder):
 
 
 def match_phrase_table(spark, folder):
-    found = keywords.match_keywords(v.posts(spark, folder), v.view(spark, folder, v.PHRASES), inline_limit=0)
+    found = keywords.match_keywords(v.posts(spark, folder), v.phrases(spark, folder), inline_limit=0)
     return found.select("query", "post_id")
 
 
@@ -395,8 +395,8 @@ def author_file(spark, folder):
 
 def search_from_file(spark, folder):
     """A keyword file, bundled and searched everywhere, without a limit."""
-    phrases = v.view(spark, folder, v.PHRASES).select(F.col("query").cast("long").alias("item"), F.translate("term", "\n", " ").alias("term"))
-    path = _text_file(spark, "phrases", phrases.coalesce(1).sortWithinPartitions("item").select("term"))
+    phrases = v.phrases(spark, folder).select(F.col("query").cast("long").alias("item"), "place", F.translate("term", "\n", " ").alias("term"))
+    path = _text_file(spark, "phrases", phrases.coalesce(1).sortWithinPartitions("item", "place").select("term"))
     found = collect.collect_posts(v.posts(spark, folder), "all", read_terms(spark, path), lim=None)
     return found.posts.select("scope", "query", "post_id")
 

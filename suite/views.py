@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from postmine.operators.normalize import normalize_comments, normalize_posts
 
@@ -51,11 +52,10 @@ SELECT DISTINCT source AS subreddit FROM {documents} WHERE source <> 'src3' UNIO
 
 BUNDLED_TERMS = "SELECT CAST(p_partkey AS INT) AS pos, p_name AS term FROM {part}"
 
-# One query per benchmark item: its opening words.
+# One query per benchmark item: all runs of three words of its text, or the whole text if it is shorter.
 PHRASES = """
-SELECT CAST(item_id AS STRING) AS query,
-  concat(split_part(text, ' ', 1), ' ', split_part(text, ' ', 2), ' ', split_part(text, ' ', 3)) AS term
-FROM {benchmark}
+SELECT CAST(item_id AS VARCHAR) AS query, i AS place, array_to_string(w[i:i + 2], ' ') AS term
+FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM (SELECT item_id, string_split(text, ' ') AS w FROM benchmark))
 """
 
 KEYWORDS = ["thing", "ering", "ertion", "and the", "Of The", "zzzz"]
@@ -84,7 +84,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def view(spark: SparkSession, folder: str, text: str) -> DataFrame:
     """A view of the given tables. Texts arrive in one split and are dealt out to all cores."""
-    names = [n for n in ("documents", "pages", "labels", "conversations", "part", "benchmark") if "{" + n + "}" in text]
+    names = [n for n in ("documents", "pages", "labels", "conversations", "part") if "{" + n + "}" in text]
     tables = {n: table(spark, folder, n) for n in names}
     for name, column in (("documents", ".text"), ("pages", ".html")):
         if name in tables and column in text:
@@ -92,6 +92,13 @@ def view(spark: SparkSession, folder: str, text: str) -> DataFrame:
     return spark.sql(text, **tables)
 
 
+def phrases(spark: SparkSession, folder: str) -> DataFrame:
+    """What PHRASES says in SQL: rows ``(query, place, term)``."""
+    words = table(spark, folder, "benchmark").select(F.col("item_id").cast("string").alias("query"), F.split("text", " ").alias("w"))
+    places = F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1)))
+    return words.select("query", "w", F.explode(places).alias("place")).select("query", "place", F.array_join(F.slice("w", F.col("place"), F.lit(3)), " ").alias("term"))
+
+
 def posts(spark: SparkSession, folder: str, raw: str = RAW_POSTS, link_mode: str = "strict") -> DataFrame:
     return normalize_posts(view(spark, folder, raw), link_mode)
 
