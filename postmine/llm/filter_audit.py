@@ -63,15 +63,17 @@ def document_masks(docs: DataFrame, labels: DataFrame) -> DataFrame:
         found = [(text_mask(t), hashlib.sha256(t).digest()) for t in texts]
         return {"doc_id": batch.column("doc_id"), "part": batch.column("part"), "mask": [m for m, _ in found], "digest": [d for _, d in found]}
 
-    read = map_batches(rows, each, "doc_id long, part string, mask int, digest binary")
+    schema = "doc_id long, part string, mask int, digest binary"
+    # Told apart before the texts are read, so that each is read once.
+    with_id, without = (map_batches(rows.filter(f"doc_id IS {x} NULL"), each, schema) for x in ("NOT", ""))
     flags = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(
         F.coalesce(F.max(F.col("quality") == 1), F.lit(False)).alias("good"),
         F.coalesce(F.max(F.col("toxic") == 1), F.lit(False)).alias("toxic"),
     )
     # Repeated rows are counted before anything is joined, and rows without an id need neither join.
-    counted = read.groupBy("doc_id", "digest", "part", "mask").agg(F.count("*").alias("n"))
-    named = settle(counted.filter("doc_id IS NOT NULL").join(flags, "doc_id", "left").fillna(False, ["good", "toxic"]), "filter-masks")
-    nameless = read.filter("doc_id IS NULL").groupBy("part", "mask").agg(F.count("*").alias("n"))
+    counted = with_id.groupBy("doc_id", "digest", "part", "mask").agg(F.count("*").alias("n"))
+    named = settle(counted.join(flags, "doc_id", "left").fillna(False, ["good", "toxic"]), "filter-masks")
+    nameless = without.groupBy("part", "mask").agg(F.count("*").alias("n"))
     # A text has one first id, so that id and text together are no hot key, however many copies there are.
     first = named.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).withColumn("is_first", F.lit(True))
     known = named.join(first, ["digest", "doc_id"], "left")
