@@ -29,6 +29,8 @@ LENGTHS = np.array([2, 4, 8, 16, 32, 64, 128])
 N_SHARES = 7
 N_FEATURES = 2 + N_SHARES * (len(EDGES) + 1) + len(LENGTHS) + 1
 
+#: So many texts of a batch are Python strings, and are sent back, at a time.
+TEXTS_AT_ONCE = 500
 SCHEMA = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
     "n_lines long, n_content_lines long, content_share double, base_failed boolean, kept boolean"
@@ -207,12 +209,13 @@ def quality_rules(docs: DataFrame, chain: LineChain, keep: list[str] | None = No
     columns of ``docs`` are not read, whatever their names. Ties between labels count as content.
     """
     keep = keep or ["doc_id"]
-    rows = docs.select(*keep, F.col("text").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]) + ", " + SCHEMA
+    # A text that is kept anyway is sent once.
+    rows = docs.select(*keep, *(c for c in ["text"] if c not in keep))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep) + ", " + SCHEMA
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def each(batch: pa.RecordBatch) -> dict:
-        columns = zip(*(judge(t, chain) for t in batch.column("__text").to_pylist()))
+        columns = zip(*(judge(t, chain) for t in batch.column("text").to_pylist()))
         return {name: batch.column(name) for name in keep} | {k: list(v) for k, v in zip(names, columns)}
 
-    return map_batches(rows, each, schema)
+    return map_batches(rows, each, schema, at_once=TEXTS_AT_ONCE)
