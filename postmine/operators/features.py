@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmine.functions.links import domain_of
 from postmine.functions.text import MIN_CLEAN_TOKENS, clean_text, corpus_line, ngram_words, ngrams, words
 from postmine.operators.corpus import with_clean_tokens
+from postmine.operators.numbering import total_before
 from postmine.operators.summary import subreddit_counts
 
 # Fixed values.
@@ -150,10 +151,13 @@ def frequent_ngrams(
 
 
 def ngram_report(ngrams: DataFrame) -> DataFrame:
-    """N-grams by count, then by text, both falling, within each community, with their ``rank`` from 1."""
+    """N-grams by count, then by text, both falling, within each community, with their ``rank`` from 1.
+
+    Ranks are counted by ranges, so a community with most of the n-grams is no single group.
+    """
     order = [F.desc("cnt"), F.desc("ngram")]
-    ranked = ngrams.withColumn("rank", F.row_number().over(Window.partitionBy("subreddit").orderBy(*order)).cast("long"))
-    return ranked.orderBy("subreddit", "rank")
+    before = total_before(ngrams, order, by=["subreddit"], name="rank")
+    return before.withColumn("rank", F.col("rank") + 1).orderBy("subreddit", "rank")
 
 
 def domain_counts(posts: DataFrame, by: str = "subreddit", link_mode: str = "strict") -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmine.functions.text import strip
 from postmine.operators.corpus import one_lemma
+from postmine.operators.numbering import total_before
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -20,18 +21,20 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 def read_terms(spark: SparkSession, path: str, by: str = "line") -> DataFrame:
     """A keyword file as ``(pos, term)``, counted from 0: one term per line, or with ``by="word"`` per word.
 
-    The file is read whole by one task, since its order counts. Of several files in a folder, positions
-    run on from one to the next, in order of their paths.
+    Large files are read by many tasks: a line is known by its file, the split it begins in and its place there, and
+    lines are numbered by ranges of that. Of several files in a folder, positions run on from one to the next, in order
+    of their paths. Lines end with a line feed, a carriage return, or both.
     """
     if by not in ("line", "word"):
         raise ValueError('by must be "line" or "word"')
+    place = ("_metadata.file_path", "_metadata.file_block_start")
+    rows = spark.read.text(path).select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(place)), F.monotonically_increasing_id().alias("_line"), "value")
     text = F.regexp_replace("value", "^\ufeff", "")
-    pieces = F.transform(F.split(text, "\r\n|\r|\n" if by == "line" else r"\s+"), strip)
-    rows = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
-    found = rows.select("path", F.posexplode(F.filter(pieces, lambda piece: piece != "")).alias("at", "term"))
-    # Keyword lists are short; a position over all files needs them in one order.
-    place = F.row_number().over(Window.orderBy("path", "at")) - 1
-    return found.select(place.alias("pos"), "term")
+    parts = F.array(text) if by == "line" else F.split(text, r"\s+")
+    pieces = F.filter(F.transform(parts, strip), lambda piece: piece != "")
+    found = rows.select("_0", "_1", "_line", F.posexplode(pieces).alias("_at", "term"))
+    order = [F.col(c) for c in ("_0", "_1", "_line", "_at")]
+    return total_before(found, order, name="pos").select("pos", "term")
 
 
 def read_scopes(spark: SparkSession, path: str) -> DataFrame:

@@ -370,9 +370,13 @@ def _text_file(spark, name, lines):
     return path
 
 
+def _ordered_text(spark, name, df, line, *order):
+    """The lines of ``df`` in order, over several files."""
+    return _text_file(spark, name, df.repartitionByRange(4, *order).sortWithinPartitions(*order).select(line))
+
+
 def part_names(spark, folder):
-    """Part names in order, in one file."""
-    return _text_file(spark, "names", v.table(spark, folder, "part").coalesce(1).sortWithinPartitions("p_partkey").select("p_name"))
+    return _ordered_text(spark, "names", v.table(spark, folder, "part"), "p_name", "p_partkey")
 
 
 def terms_by_line(spark, folder):
@@ -396,7 +400,7 @@ def author_file(spark, folder):
 def search_from_file(spark, folder):
     """A keyword file, bundled and searched everywhere, without a limit."""
     phrases = v.phrases(spark, folder).select(F.col("query").cast("long").alias("item"), "place", F.translate("term", "\n", " ").alias("term"))
-    path = _text_file(spark, "phrases", phrases.coalesce(1).sortWithinPartitions("item", "place").select("term"))
+    path = _ordered_text(spark, "phrases", phrases, "term", "item", "place")
     found = collect.collect_posts(v.posts(spark, folder), "all", read_terms(spark, path), lim=None)
     return found.posts.select("scope", "query", "post_id")
 
