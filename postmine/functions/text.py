@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -81,17 +82,20 @@ def ngram_words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD_PATTERN), F.lit(0))
 
 
-def ngrams(tokens: Column, low: int = 3, high: int = 5, prefix: str = "") -> Column:
-    """All n-grams of ``low`` to ``high`` tokens, as space-joined text after ``prefix``."""
+def ngrams(tokens: Column, low: int = 3, high: int = 5, prefix: str = "", starts: Column | None = None) -> Column:
+    """All n-grams of ``low`` to ``high`` tokens, as space-joined text after ``prefix``.
+
+    With ``starts``, a boolean for each run of ``low`` tokens, only those n-grams whose runs are all marked.
+    """
 
     def start(word: Column) -> Column:
         return F.concat(F.lit(prefix), word) if prefix else word
 
     def of_size(words: Column, n: int) -> Column:
-        starts = F.slice(words, F.lit(1), F.greatest(F.size(words) - F.lit(n - 1), F.lit(0)))
-        return F.transform(
-            starts,
-            lambda first, i: F.concat_ws(" ", start(first), *(F.get(words, i + k) for k in range(1, n))),
-        )
+        last = F.size(words) - n
+        places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        if starts is not None:
+            places = F.filter(places, lambda i: reduce(Column.__and__, (F.get(starts, i + k) for k in range(n - low + 1))))
+        return F.transform(places, lambda i: F.concat_ws(" ", start(F.get(words, i)), *(F.get(words, i + k) for k in range(1, n))))
 
     return let(tokens, lambda words: F.concat(*(of_size(words, n) for n in range(low, high + 1))))

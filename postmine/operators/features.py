@@ -1,7 +1,8 @@
 """Countable features of posts, per community.
 
 All features come out of one scan and one shuffle: a post becomes entries
-of some kind and these are counted per community.
+of some kind and these are counted per community. Frequent n-grams take a
+scan of the cleaned words before.
 """
 
 from __future__ import annotations
@@ -11,11 +12,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postmine.functions.bits import bit_field
 from postmine.functions.links import domain_of
 from postmine.functions.text import MIN_CLEAN_TOKENS, clean_text, corpus_line, ngram_words, ngrams, words
 from postmine.operators.corpus import with_clean_tokens
 from postmine.operators.numbering import total_before
 from postmine.operators.summary import subreddit_counts
+from postmine.session import written
 
 # Fixed values.
 MENTION = "r/"
@@ -47,9 +50,13 @@ def feature_counts(
     sizes: tuple[int, int] = NGRAM_SIZES,
     link_mode: str = "strict",
     compat: bool = False,
+    least_ngrams: int = 1,
 ) -> DataFrame:
     """Rows ``(subreddit, kind, item, cnt)``; posts without a community are left out.
 
+    N-grams that a community has less than ``least_ngrams`` times are left out; above 1, longer ones are only made where
+    all the shortest in them are frequent, see :func:`frequent_starts`.
+
     ``post`` and ``gate`` have a blank item. ``gate`` is no count of tokens: a post adds at most
     ``MIN_CLEAN_TOKENS`` to it, enough to tell whether its community has that many. Domains are those of the stored
     ``external_links``.
@@ -64,10 +71,17 @@ def feature_counts(
         "post": lambda: F.array(F.lit(KINDS["post"])),
         "gate": lambda: F.array_repeat(F.lit(KINDS["gate"]), some),
         "mention": lambda: _each("mention", F.filter("tokens", starts_mention)),
-        "ngram": lambda: ngrams(F.col("_words"), *sizes, prefix=KINDS["ngram"]),
+        "ngram": lambda: ngrams(F.col("_words"), *sizes, prefix=KINDS["ngram"], starts=F.col("_starts") if least_ngrams > 1 else None),
         "domain": lambda: _each("domain", F.transform(stored_links(), lambda x: domain_of(x, link_mode))),
     }
-    entries = F.concat(*(parts[kind]() for kind in kinds))
+    if "ngram" in kinds and least_ngrams > 1:
+        # Texts are cleaned once; counting first and making n-grams after both read the words.
+        others = F.concat(*(parts[kind]() for kind in kinds if kind != "ngram")) if len(kinds) > 1 else F.array().cast("array<string>")
+        found = written(found.select("subreddit", "_words", others.alias("_others")), "words")
+        found = found.withColumn("_starts", frequent_starts(found, sizes[0], least_ngrams))
+        entries = F.concat("_others", parts["ngram"]())
+    else:
+        entries = F.concat(*(parts[kind]() for kind in kinds))
     rows = found.select("subreddit", F.explode(entries).alias("_entry"))
     counts = [F.count("*").alias("cnt")]
     if len(kinds) > 1:
@@ -76,9 +90,32 @@ def feature_counts(
         counts.append(F.max(F.ascii("_entry")).alias("_letter"))
     letter = F.char("_letter") if len(kinds) > 1 else F.substring("_entry", 1, 1)
     names = F.create_map(*(F.lit(x) for kind in KINDS for x in (KINDS[kind], kind)))
-    return rows.groupBy("subreddit", "_entry").agg(*counts).select(
+    counted = rows.groupBy("subreddit", "_entry").agg(*counts).select(
         "subreddit", names[letter].alias("kind"), F.substr("_entry", F.lit(2)).alias("item"), "cnt"
     )
+    return counted if least_ngrams <= 1 else counted.filter((F.col("kind") != "ngram") | (F.col("cnt") >= least_ngrams))
+
+
+def _gram_sums(size: int) -> Column:
+    """A checksum for each run of ``size`` words of ``_words``, seeded by the community."""
+
+    def at(i: Column) -> Column:
+        return F.xxhash64("subreddit", *(F.get("_words", i + k) for k in range(size)))
+
+    n = F.size("_words") - (size - 1)
+    return F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), at)
+
+
+def frequent_starts(posts: DataFrame, size: int, least: int) -> Column:
+    """For each word of ``_words`` whether the ``size`` words from it on may be frequent in their community.
+
+    Runs are counted by checksum, 16 bytes instead of their text, and the frequent ones travel in the plan as a field of
+    bits. Every n-gram of ``least`` posts or more is found in it at all its places, as each run in it is at least as
+    frequent; a run that is not frequent may pass as well, so n-grams are counted again by text.
+    """
+    sums = posts.select(F.explode(_gram_sums(size)).alias("_sum")).groupBy("_sum").agg(F.count("*").alias("_n"))
+    field = bit_field(sums.filter(F.col("_n") >= least).select("_sum"))
+    return F.transform(_gram_sums(size), field.has)
 
 
 def _of_kind(counts: DataFrame, kind: str, name: str) -> DataFrame:
@@ -145,7 +182,7 @@ def frequent_ngrams(
     min_posts: int = MIN_POSTS,
 ) -> DataFrame:
     """N-grams that occur ``lim`` times or more in communities of ``min_posts`` posts or more."""
-    counts = feature_counts(posts, ("ngram",), stopwords, lemmas, sizes)
+    counts = feature_counts(posts, ("ngram",), stopwords, lemmas, sizes, least_ngrams=lim)
     # Counting posts reads one narrow column once more.
     return ngrams_of(counts, subreddit_counts(posts), lim, min_posts)
 

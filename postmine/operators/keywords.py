@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmine.functions.expr import constant, let
-from postmine.operators.ranking import first_per_key
+from postmine.operators.ranking import unique_posts
 from postmine.operators.terms import INLINE_TERMS, joined_hits, lowered
 
 # Fixed values.
@@ -126,7 +126,7 @@ def match_keywords(
         found = _match_table(scoped, posts.sparkSession.createDataFrame(rows, "query string, term string"), inline_limit)
     if not unique_ids:
         return found
-    return first_per_key(found, ["scope", "query", "post_id"], [F.desc("created_at"), F.asc("title"), F.asc("body")])
+    return unique_posts(found, ["scope", "query"])
 
 
 def _match_list(posts: DataFrame, queries: Sequence[KeywordQuery]) -> DataFrame:

@@ -7,13 +7,12 @@ as many ranges as its size asks for.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postmine.session import scratch_dir
+from postmine.session import written
 
 _EARLIER = (Window.unboundedPreceding, -1)
 
@@ -23,11 +22,8 @@ def in_ranges(df: DataFrame, order: Sequence[Column], ranges: int | None = None)
 
     ``ranges`` is their number, by default that of the session's shuffle partitions.
     """
-    spark = df.sparkSession
-    n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    path = f"{scratch_dir(spark)}/ranges-{uuid.uuid4().hex}"
-    df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
-    return spark.read.parquet(path)
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()), "ranges")
 
 
 def total_before(

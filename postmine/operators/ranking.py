@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
+
+from postmine.operators.sizes import fits
 
 # Fixed values.
 GROUP_LIMIT = 1000
 ORDERS = {"new": "created_at", "top": "score", "comments": "n_comments"}
 
 SPREAD = 256
+#: What a winner of a ranking takes when broadcast, at most: its group, id and checksum.
+WINNER_BYTES = 1000
 
 
 def _ranked(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
@@ -48,9 +54,19 @@ def post_order(order: str = "new") -> list[Column]:
     return [F.desc(ORDERS[order]), F.asc("post_id")]
 
 
-def unique_posts(posts: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per post id in every group of ``keys``, so that repeated rows do not use up a limit."""
-    return first_per_key(posts, [*keys, "post_id"], [F.desc("created_at"), F.asc("title"), F.asc("body")])
+def row_sum(posts: DataFrame, without: Sequence[str] = ()) -> Column:
+    """A checksum of all columns of a row but those named: it stands for title and body where rows are ranked."""
+    plain = [f.name for f in posts.schema if f.name not in without and not isinstance(f.dataType, MapType)]
+    return F.xxhash64(*(F.col(f"`{name}`") for name in plain))
+
+
+def unique_posts(posts: DataFrame, keys: list[str], total: Column | None = None) -> DataFrame:
+    """One row per post id in every group of ``keys``, so that repeated rows do not use up a limit.
+
+    The newest row counts, of equally new ones that with the least checksum, ``total`` or `row_sum`.
+    """
+    marked = posts.withColumn("_sum", row_sum(posts, keys) if total is None else total)
+    return first_per_key(marked, [*keys, "post_id"], [F.desc("created_at"), F.asc("_sum")]).drop("_sum")
 
 
 def newest_per_group(posts: DataFrame, keys: list[str], lim: int | None = GROUP_LIMIT, order: str = "new") -> DataFrame:
@@ -60,6 +76,33 @@ def newest_per_group(posts: DataFrame, keys: list[str], lim: int | None = GROUP_
     return top_per_group(posts, keys, post_order(order), lim, spread_by="post_id")
 
 
+def newest_unique(
+    posts: DataFrame, found_in: Callable[[DataFrame], DataFrame], keys: list[str], lim: int | None = GROUP_LIMIT, order: str = "new",
+    n_groups: int | None = None,
+) -> DataFrame:
+    """The ``lim`` newest (or top) posts of every group of ``keys``, one row per post id.
+
+    ``found_in`` gives the rows of ``posts`` with their groups, all columns kept. Rows are ranked by key, time, score and
+    checksum alone; title, body and the rest are fetched for the winners. ``n_groups``, if known, bounds the winners, which
+    are then broadcast to the posts.
+    """
+    if lim is None:
+        return unique_posts(found_in(posts), keys)
+    if order not in ORDERS:
+        raise ValueError(f"order must be one of {sorted(ORDERS)}")
+    marked = posts.withColumn("_sum", row_sum(posts, keys))
+    found = found_in(marked)
+    narrow = found.select(*keys, "post_id", "created_at", *sorted({ORDERS[order]} - {"created_at"}), "_sum")
+    unique = first_per_key(narrow, [*keys, "post_id"], [F.desc("created_at"), F.asc("_sum")])
+    winners = newest_per_group(unique, keys, lim, order).select(*keys, F.col("post_id").alias("_id"), F.col("_sum").alias("_total"))
+    if n_groups is not None and fits(n_groups * lim, n_groups * lim * WINNER_BYTES):
+        winners = F.broadcast(winners)
+    rest = marked.drop(*keys)
+    whole = rest.join(winners, rest["post_id"].eqNullSafe(F.col("_id")) & (F.col("_sum") == F.col("_total")))
+    # Rows that are equal in everything are one post.
+    return whole.dropDuplicates([*keys, "post_id"]).select(*(c for c in found.columns if c != "_sum"))
+
+
 def past_year(posts: DataFrame, as_of: datetime | str) -> DataFrame:
     """Posts of the year up to ``as_of``, which is taken as UTC if it names no zone."""
     end = datetime.fromisoformat(as_of) if isinstance(as_of, str) else as_of

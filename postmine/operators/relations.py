@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmine.operators.ranking import GROUP_LIMIT, first_per_key, newest_per_group, unique_posts
+from postmine.operators.ranking import GROUP_LIMIT, first_per_key, newest_unique
 
 INLINE_AUTHORS = 20_000
 
@@ -39,12 +39,12 @@ def posts_of(posts: DataFrame, authors: DataFrame | Sequence[str], lim: int | No
     A post that is there more than once counts once.
     """
     if not isinstance(authors, DataFrame) and len(authors) <= INLINE_AUTHORS:
-        found = posts.filter(F.col("author").isin(list(authors)))
-    else:
-        if not isinstance(authors, DataFrame):
-            authors = posts.sparkSession.createDataFrame([(a,) for a in authors], "author string")
-        found = posts.join(authors.select("author"), "author", "left_semi").select(*posts.columns)
-    return newest_per_group(unique_posts(found, ["author"]), ["author"], lim)
+        listed = list(dict.fromkeys(authors))
+        return newest_unique(posts, lambda p: p.filter(F.col("author").isin(listed)), ["author"], lim, n_groups=len(listed))
+    if not isinstance(authors, DataFrame):
+        authors = posts.sparkSession.createDataFrame([(a,) for a in authors], "author string")
+    asked = authors.select("author")
+    return newest_unique(posts, lambda p: p.join(asked, "author", "left_semi").select(*p.columns), ["author"], lim)
 
 
 def rows_per_author(found: DataFrame, authors: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from postmine.operators.features import domain_counts
 from postmine.operators.keywords import build_queries, build_scopes, in_scopes, match_keywords, queries_table, rows_per_scope
-from postmine.operators.ranking import GROUP_LIMIT, newest_per_group, past_year, unique_posts
+from postmine.operators.ranking import GROUP_LIMIT, newest_unique, past_year
 from postmine.operators.relations import comments_of, posts_of, rows_per_author
 from postmine.sources.lists import scopes_table, terms_table
 from postmine.sources.stored import save_by_scope
@@ -73,10 +73,12 @@ def collect_posts(
             queries = build_queries(keywords, query_mode)
         else:
             queries = keywords if "query" in keywords.columns else queries_table(keywords, query_mode)
-        found = match_keywords(posts, queries, scopes)
-        found = newest_per_group(found, ["scope", "query"], lim, post_order)
+        # Tables of scopes or queries are of any length; lists bound the number of groups.
+        n_groups = None if isinstance(scopes, DataFrame) or isinstance(queries, DataFrame) else len(scopes) * len(queries)
+        found = newest_unique(posts, lambda p: match_keywords(p, queries, scopes, unique_ids=False), ["scope", "query"], lim, post_order, n_groups)
     elif mode == "new":
-        found = newest_per_group(unique_posts(in_scopes(posts, scopes), ["scope"]), ["scope"], lim, "new")
+        n_groups = None if isinstance(scopes, DataFrame) else len(scopes)
+        found = newest_unique(posts, lambda p: in_scopes(p, scopes), ["scope"], lim, "new", n_groups)
     elif mode == "top":
         if as_of is None:
             raise ValueError("mode top needs as_of, the end of the year")

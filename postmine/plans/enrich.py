@@ -48,8 +48,7 @@ def enrich(
     """
     spark = posts.sparkSession
     out = out or f"{scratch_dir(spark)}/features-{uuid.uuid4().hex}"
-    counts = feature_counts(posts, stopwords=stopwords, lemmas=lemmas, sizes=sizes, link_mode=link_mode)
-    counts = counts.filter((F.col("kind") != "ngram") | (F.col("cnt") >= lim))
+    counts = feature_counts(posts, stopwords=stopwords, lemmas=lemmas, sizes=sizes, link_mode=link_mode, least_ngrams=lim)
     counts.write.mode("errorifexists").partitionBy("kind").parquet(out)
     counts = spark.read.schema(counts.schema).parquet(out)
     named = desc.select("subreddit").distinct()
