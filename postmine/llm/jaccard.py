@@ -1,11 +1,13 @@
 """Near-duplicate components by exact Jaccard similarity of word shingles, with a token-group matrix.
 
 1. Equal sets become one. Sets that agree in a band of least hashes are drawn to two pivots, the pairs are verified,
-   and what hangs together becomes a cluster; a cluster is cut into groups of about GROUP sets.
+   and what hangs together becomes a cluster; a cluster is cut into groups of about GROUP sets. Sets that hang with none
+   are grouped by the least pivot that they were drawn to, so that texts just below the threshold share unions too.
 2. The matrix says which groups hold a token. Only tokens that can decide are in it: in one order of all tokens,
    frequent ones last, two sets of the wanted similarity share one of their first fifth.
 3. A set is held against groups of other clusters that share such a token and fit in size. The size of its
-   overlap with a group's union bounds the overlap with every member; only groups that qualify are opened.
+   overlap with a group's union bounds the overlap with every member; only groups that qualify are opened. Against its
+   own group of sets without links, it is the overlap with the tokens that two members have.
 4. The links found by 1 and 3 connect all that the links of all pairs connect: pairs inside a cluster are connected
    already, and every other pair of the wanted similarity is opened by 3.
 """
@@ -309,17 +311,19 @@ def _verified(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
 
 
 def _union(found: pa.Table) -> pa.Table:
-    """One row of the matrix for a group: its tokens, cut to 32 bits, and the size of its smallest set."""
-    union = np.unique(np.concatenate([np.frombuffer(x, "<u4") for x in found.column("tokens").to_pylist()]))
-    return pa.table({"group": found.column("group")[:1], "least": [min(found.column("n").to_pylist())], "union": [union.tobytes()]})
+    """One row of the matrix for a group: its tokens, cut to 32 bits, those of two members, and the size of its smallest set."""
+    union, count = np.unique(np.concatenate([np.frombuffer(x, "<u4") for x in found.column("tokens").to_pylist()]), return_counts=True)
+    return pa.table({
+        "group": found.column("group")[:1], "least": [min(found.column("n").to_pylist())], "union": [union.tobytes()], "twice": [union[count > 1].tobytes()],
+    })
 
 
 def _qualifying(candidates: DataFrame, tokens: DataFrame, unions: DataFrame) -> DataFrame:
-    """The candidates (a, group) whose bound allows a link with a member."""
+    """The candidates (a, group, inside) whose bound allows a link with another member; ``inside`` if a is one itself."""
 
     def each(batch: pa.RecordBatch) -> dict:
         good = []
-        for x, n, y, least in zip(*(batch.column(c).to_pylist() for c in ("tokens", "n", "union", "least"))):
+        for x, n, y, least in zip(*(batch.column(c).to_pylist() for c in ("tokens", "n", "others", "least"))):
             own = np.frombuffer(x, "<u4")
             # Tokens of one set that fall together in 32 bits count as one; the rest of the set makes up for them.
             bound = _common(own, np.frombuffer(y, "<u4")) + n - len(own)
@@ -328,7 +332,9 @@ def _qualifying(candidates: DataFrame, tokens: DataFrame, unions: DataFrame) ->
         return {name: batch.column(name).filter(mask) for name in ("a", "group")}
 
     queries = tokens.select(F.col("sid").alias("a"), "n", "tokens")
-    return map_batches(candidates.join(queries, "a").join(unions, "group"), each, "a long, group long")
+    others = F.when(F.col("inside"), F.col("twice")).otherwise(F.col("union"))
+    asking = candidates.join(queries, "a").join(unions, "group").select("a", "group", "n", "tokens", "least", others.alias("others"))
+    return map_batches(asking, each, "a long, group long")
 
 
 def similarity_components(docs: DataFrame) -> DataFrame:
@@ -355,7 +361,8 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     rest = stars.filter("a <> low AND a <> high").join(low, "a", "left_anti").select("a", F.col("high").alias("b"))
     star_links = low.union(settle(_verified(rest, tokens), "star-links"))
     clusters = settle(components(star_links), "clusters")
-    # Every set that shares a token, with its cluster and group; a set without links is a cluster of its own.
+    # Every set that shares a token, with its cluster and group; a set without links is a cluster of its own, and grouped
+    # with others that were drawn to the same pivot. What a set does not ask about is its unit.
     size = F.coalesce("size", F.lit(1))
     sizes = clusters.groupBy("root").agg(F.count("*").alias("size"))
     member = (
@@ -364,8 +371,16 @@ def similarity_components(docs: DataFrame) -> DataFrame:
         .join(clusters.join(sizes, "root").withColumnRenamed("node", "sid"), "sid", "left")
         .select("sid", "n", F.coalesce("root", "sid").alias("cluster"), size.alias("size"))
     )
-    block = F.pmod(F.xxhash64("sid"), F.ceil(F.col("size") / GROUP))
-    member = settle(member.withColumn("group", F.when(F.col("size") == 1, F.col("sid")).otherwise(F.xxhash64("cluster", block))), "members")
+    member = member.join(stars.select(F.col("a").alias("sid"), F.col("low").alias("pivot")), "sid", "left")
+    alone = F.col("size") == 1
+    drawn_to = F.when(alone, F.coalesce("pivot", "sid")).otherwise(F.col("cluster"))
+    member = settle(member.withColumn("family", drawn_to).drop("pivot"), "families")
+    lone = member.filter(alone).groupBy("family").agg(F.count("*").alias("lone"))
+    member = member.join(lone, "family", "left")
+    block = F.pmod(F.xxhash64("sid"), F.ceil(F.when(alone, F.col("lone")).otherwise(F.col("size")) / GROUP))
+    group = F.when(alone & (F.col("lone") == 1), F.col("sid")).otherwise(F.xxhash64("family", "size", block))
+    member = member.withColumn("group", group).withColumn("unit", F.when(alone, F.col("group")).otherwise(F.col("cluster")))
+    member = settle(member.select("sid", "n", "cluster", "size", "lone", "group", "unit"), "members")
     # Tokens that more than one cluster has.
     # So many tokens of the set stand at the place of this one or later; before the first common token none is common.
     rest = F.col("n") - F.ceil(F.col("place") * F.col("n") / 255)
@@ -373,23 +388,26 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     wide = cells.groupBy("token").agg(F.min("cluster").alias("x"), F.max("cluster").alias("y")).filter("x <> y").select("token")
     cells = settle(cells.join(wide, "token"), "cells")
     spans = member.groupBy("group").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    matrix = cells.groupBy("token", "group", F.col("cluster").alias("other"), F.col("size").alias("other_size")).agg(
+    matrix = cells.groupBy("token", "group", F.col("unit").alias("other"), F.col("size").alias("other_size")).agg(
         F.max("rest").alias("other_rest")
     ).join(spans, "group")
-    # The set of the smaller cluster asks the groups of the larger one.
-    asks = (F.col("size") < F.col("other_size")) | ((F.col("size") == F.col("other_size")) & (F.col("cluster") < F.col("other")))
+    # The set of the smaller unit asks the groups of the larger one; of sets without links each asks its own group too.
+    inside = (F.col("size") == 1) & (F.col("unit") == F.col("other"))
+    asks = (F.col("size") < F.col("other_size")) | ((F.col("size") == F.col("other_size")) & (F.col("unit") < F.col("other"))) | (inside & (F.col("lone") > 1))
     fits = (F.col("n") * WHOLE >= F.col("low") * PART) & (F.col("high") * WHOLE >= F.col("n") * PART)
     fits &= F.least("rest", "other_rest") * (PART + WHOLE) >= (F.col("n") + F.col("low")) * PART
     candidates = (
-        cells.select("token", F.col("sid").alias("a"), "n", "cluster", "size", "rest").join(matrix, "token").filter(asks & fits).select("a", "group").distinct()
+        cells.select("token", F.col("sid").alias("a"), "n", "unit", "size", "lone", "rest").join(matrix, "token").filter(asks & fits)
+        .select("a", "group", inside.alias("inside")).distinct()
     )
     candidates = settle(candidates, "candidates")
     asked = settle(member.join(candidates.select("group").distinct(), "group").select("sid", "group"), "asked")
     drawn = asked.select("sid").union(candidates.select("a")).distinct()
     tokens = _tokens_of(docs, sets, drawn, short=True)
-    unions = tokens.join(asked, "sid").select("group", "n", "tokens").groupBy("group").applyInArrow(_union, "group long, least long, union binary")
+    unions = tokens.join(asked, "sid").select("group", "n", "tokens").groupBy("group").applyInArrow(_union, "group long, least long, union binary, twice binary")
     opened = _qualifying(candidates, tokens, unions)
-    pairs = settle(opened.join(asked, "group").select("a", F.col("sid").alias("b")), "pairs")
+    members = asked.select("group", F.col("sid").alias("b"))
+    pairs = settle(opened.join(members, "group").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     tokens = _tokens_of(docs, sets, pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct())
     links = star_links.union(_verified(pairs, tokens))
 

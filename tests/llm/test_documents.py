@@ -114,6 +114,46 @@ def test_components_of_many_copies(spark, monkeypatch):
     assert brute.ordered(jaccard.similarity_components(df).collect()) == brute.components(pairs(df))
 
 
+def near_texts(n, edits, shared=0):
+    """Copies of one text of 200 words with ``edits`` words changed; ``shared`` of them change alike in groups of three."""
+    rng = random.Random(n)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(n):
+        text = list(base)
+        for k in range(edits):
+            text[rng.randrange(200)] = f"e{i // 3 if k < shared else i}-{k}"
+        rows.append((i, " ".join(text)))
+    return rows
+
+
+@pytest.mark.parametrize("edits, shared", [(7, 0), (6, 0), (5, 2), (4, 0)])
+def test_components_about_the_threshold(spark, monkeypatch, edits, shared):
+    monkeypatch.setattr(jaccard, "GROUP", 8)
+    rows = near_texts(150, edits, shared) + [(1000 + i, t) for i, t in near_texts(40, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert brute.ordered(jaccard.similarity_components(df).collect()) == brute.components(rows)
+
+
+def test_near_texts_ask_in_proportion(spark, monkeypatch):
+    counts = {}
+    settle = jaccard.settle
+
+    def counting(df, name):
+        out = settle(df, name)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "settle", counting)
+    asked = []
+    for n in (300, 1200):
+        counts.clear()
+        df = spark.createDataFrame(near_texts(n, 7), "doc_id long, text string")
+        assert jaccard.similarity_components(df).count() == n
+        asked.append(counts["candidates"])
+    assert asked[1] < 8 * asked[0] and asked[1] < 20 * 1200
+
+
 def test_repeats(spark, table):
     got = repeats.remove_repeats(table).collect()
     assert brute.ordered(got) == brute.without_repeats(pairs(table))
