@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postmine.llm.pieces import pieces
 from postmine.llm.rows import map_batches
 
 #: Bounds of the training sample: labelled documents per class, and lines and characters of each. Scoring has no bound.
@@ -215,6 +216,8 @@ def quality_rules(docs: DataFrame, chain: LineChain, keep: list[str] | None = No
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def each(batch: pa.RecordBatch) -> dict:
+        # A worker that has encoded texts before gives back what it remembers of them.
+        pieces.cache_clear()
         columns = zip(*(judge(t, chain) for t in batch.column("text").to_pylist()))
         return {name: batch.column(name) for name in keep} | {k: list(v) for k, v in zip(names, columns)}
 
