@@ -14,7 +14,7 @@ from postmine.operators.keywords import build_queries, build_scopes, in_scopes,
 from postmine.operators.ranking import GROUP_LIMIT, newest_unique, past_year
 from postmine.operators.relations import comments_of, posts_of, rows_per_author
 from postmine.sources.lists import scopes_table, terms_table
-from postmine.sources.stored import save_by_scope
+from postmine.sources.runs import read_by_scope, save_by_scope
 
 MODES = ("search", "top", "new")
 
@@ -33,7 +33,7 @@ def _saved(posts: DataFrame, asked: DataFrame, out: str | None) -> DataFrame:
     if out is None:
         return posts
     save_by_scope(posts, out, asked=asked)
-    saved = posts.sparkSession.read.schema(posts.schema).parquet(out).select(*posts.columns)
+    saved = read_by_scope(posts.sparkSession, out, posts.schema)
     return saved.join(asked, "scope", "left_semi").select(*posts.columns)
 
 

@@ -31,6 +31,11 @@ def title_from_path(path: Column) -> Column:
     return F.split(F.element_at(F.split(path, "/"), -1), "_")[0]
 
 
+def stamp_from_path(path: Column) -> Column:
+    """The run stamp at the end of the base name, without an ending."""
+    return F.regexp_extract(F.element_at(F.split(path, "/"), -1), r"(\d{4}-\d{2}-\d{2}_\d{2}_\d{2}_\d{2})(?:\.\w+)?$", 1)
+
+
 def _nested_text(text: Column, kind: T.DataType) -> Column:
     """A list or dict in JSON or in Python notation."""
     # Python writes characters it does not print as \\xNN, JSON knows \\u00NN only.
@@ -117,36 +122,3 @@ def write_tables(
         else:
             df.write.mode("errorifexists").format(fmt).save(paths[name])
     return paths
-
-
-def _files(folder, spark: SparkSession) -> dict[str, set[str]]:
-    """The files of every partition folder below ``folder``, a Hadoop path."""
-    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not system.exists(folder):
-        return {}
-    inner = [x.getPath() for x in system.listStatus(folder) if x.isDirectory()]
-    return {p.getName(): {x.getPath().getName() for x in system.listStatus(p)} for p in inner}
-
-
-def save_by_scope(posts: DataFrame, path: str, fmt: str = "parquet", asked: DataFrame | None = None) -> None:
-    """Save collected posts by scope, replacing only the scopes that are in ``posts``.
-
-    ``asked`` (a table with ``scope``) names all scopes of the run: one that has no posts this time is
-    emptied too. A run that is repeated, or goes on with further scopes, leaves the others alone. Rows are
-    gathered by scope before the write, and scopes with very many rows are split over files.
-    """
-    gathered = posts.hint("rebalance", "scope")
-    spark = posts.sparkSession
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    before = _files(folder, spark)
-    gathered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scope").format(fmt).save(path)
-    if asked is None or not before:
-        return
-    after = _files(folder, spark)
-    untouched = [name for name, files in after.items() if name.startswith("scope=") and files == before.get(name)]
-    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = spark.createDataFrame([(n,) for n in untouched], "name string")
-    # Folder names are escaped; Spark's own reading of them is not at hand, so percent signs are undone here.
-    scope = F.url_decode(F.replace(F.substr("name", F.lit(7)), F.lit("+"), F.lit("%2B")))
-    for row in names.join(asked, scope == asked["scope"], "left_semi").collect():
-        system.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, row["name"]), True)

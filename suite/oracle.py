@@ -297,6 +297,10 @@ SELECT nullif(query, '') AS query, subreddit, post_id, link, date, author, nulli
 SELECT subreddit, CASE feature WHEN 'domain' THEN 'external_links' WHEN 'mention' THEN 'sub_mentions' WHEN 'ngram' THEN 'ngrams'
   ELSE feature END AS feature, item, cnt FROM features WHERE feature <> 'n_comments'"""),
     "saved_by_scope": query("SELECT scope, query, post_id FROM matched"),
+    "saved_and_compacted": query("SELECT scope, query, post_id FROM matched"),
+    "saved_collections": query("""
+SELECT stored, 'forum' AS title, '2025-01-20_07_05_09' AS stamp, CAST(count(*) AS BIGINT) AS n_rows
+FROM (SELECT 'posts' AS stored FROM posts UNION ALL SELECT 'description' FROM descr UNION ALL SELECT 'comments' FROM comments) GROUP BY stored"""),
     "mentions_of_all": query("""
 SELECT d.subreddit, m.mention, coalesce(m.cnt, 0) AS cnt FROM descr d LEFT JOIN mention_counts m ON m.subreddit = d.subreddit"""),
     "collected_comments": query("""

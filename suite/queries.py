@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,8 @@ from postmine.plans import collect, enrich
 from postmine.session import scratch_dir
 from postmine.sources.dumps import read_raw_comments, read_raw_posts
 from postmine.sources.lists import read_authors, read_scopes, read_stopwords, read_terms, scopes_table
-from postmine.sources.stored import read_comments, read_description, read_posts, save_by_scope, write_csv
+from postmine.sources.runs import compact, read_by_scope, save_by_scope
+from postmine.sources.stored import read_comments, read_description, read_posts, stamp_from_path, title_from_path, write_csv, write_tables
 from postmine.schemas import POST_COLUMNS
 from suite import views as v
 
@@ -353,7 +355,7 @@ def collected_comments(spark, folder):
 def saved_by_scope(spark, folder):
     path = _scratch(spark, "scopes")
     save_by_scope(matched(spark, folder), path)
-    return spark.read.schema("scope string, query string, post_id string").parquet(path).select("scope", "query", "post_id")
+    return read_by_scope(spark, path, "scope string, query string, post_id string")
 
 
 def saved_twice(spark, folder):
@@ -361,7 +363,31 @@ def saved_twice(spark, folder):
     path, asked = _scratch(spark, "scopes"), scopes_table(spark, v.SCOPES)
     save_by_scope(matched(spark, folder), path, asked=asked)
     save_by_scope(matched(spark, folder).filter("scope <> 'src1'"), path, asked=asked)
-    return spark.read.schema("scope string, query string, post_id string").parquet(path).select("scope", "query", "post_id")
+    return read_by_scope(spark, path, "scope string, query string, post_id string")
+
+
+def saved_and_compacted(spark, folder):
+    """A collection saved scope by scope, the last run again, then written as one run."""
+    path, found = _scratch(spark, "runs"), matched(spark, folder)
+    schema = found.schema
+    save_by_scope(found.filter("scope = 'all'"), path)
+    save_by_scope(found.filter("scope <> 'all'").limit(0), path, asked=scopes_table(spark, ["src1", "src3"]))
+    save_by_scope(found.filter("scope <> 'all'"), path)
+    compact(spark, path, schema)
+    return read_by_scope(spark, path, schema).select("scope", "query", "post_id")
+
+
+def saved_collections(spark, folder):
+    """What the names of saved tables tell, and how many rows they hold."""
+    path = _scratch(spark, "saved")
+    tables = {"posts": v.posts(spark, folder), "description": v.view(spark, folder, v.DESCRIPTION), "comments": v.comments(spark, folder)}
+    paths = write_tables(path, "forum", datetime(2025, 1, 20, 7, 5, 9), **tables)
+    found = [
+        spark.read.parquet(p).select(F.lit(name).alias("stored"), F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("path"))
+        for name, p in paths.items()
+    ]
+    rows = dedupe.append_rows(*found)
+    return rows.groupBy("stored", title_from_path(F.col("path")).alias("title"), stamp_from_path(F.col("path")).alias("stamp")).agg(F.count("*").alias("n_rows"))
 
 
 def _text_file(spark, name, lines):
@@ -442,7 +468,7 @@ QUERIES: dict[str, Query] = {
         collect_search_description, collect_search_domains, collect_top, collect_new, enriched_description,
         description_map_entries, folded_domains, csv_round_trip, comments_round_trip, description_round_trip,
         saved_by_scope, saved_twice, stopword_file, terms_by_line, terms_by_word, scope_file, author_file,
-        search_from_file, posts_from_dump, comments_from_dump, ngram_report,
+        search_from_file, saved_and_compacted, saved_collections, posts_from_dump, comments_from_dump, ngram_report,
         reload_and_enrich, mentions_of_all, collected_comments,
     )
 }

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from postmine.schemas import POST_COLUMNS
 from postmine.session import scratch_dir
-from postmine.sources import dumps, lists, stored
+from postmine.sources import dumps, lists, runs, stored
 from postmine.streaming.collect import append_new_posts
 
 
@@ -81,9 +81,9 @@ def test_write_tables(spark, make_posts, tmp_path):
 def test_save_by_scope_replaces_only_its_scopes(spark, make_posts, tmp_path):
     out = str(tmp_path / "posts")
     posts = make_posts([("p1", "a", "", ""), ("p2", "b", "", "")]).withColumn("scope", F.col("subreddit"))
-    stored.save_by_scope(posts, out)
-    stored.save_by_scope(posts.filter("scope = 'a'").withColumn("post_id", F.lit("p9")), out)
-    rows = spark.read.parquet(out).select("scope", "post_id").collect()
+    runs.save_by_scope(posts, out)
+    runs.save_by_scope(posts.filter("scope = 'a'").withColumn("post_id", F.lit("p9")), out)
+    rows = runs.read_by_scope(spark, out, posts.schema).select("scope", "post_id").collect()
     assert sorted(map(tuple, rows)) == [("a", "p9"), ("b", "p2")]
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from postmine.operators import corpus, dedupe, keywords, ranking, relations, windows
 from postmine.plans.collect import collect_posts
-from postmine.sources import lists, stored
+from postmine.sources import lists, runs
 from postmine.streaming.collect import append_new_posts
 
 
@@ -103,5 +103,5 @@ def test_two_streaming_jobs_side_by_side(spark, tmp_path):
 def test_stored_scopes_keep_their_names(spark, make_posts, tmp_path):
     out = str(tmp_path / "posts")
     posts = make_posts([("p1", "2024", "", "")]).withColumn("scope", F.col("subreddit"))
-    stored.save_by_scope(posts, out)
-    assert spark.read.schema("scope string, post_id string").parquet(out).first().scope == "2024"
+    runs.save_by_scope(posts, out)
+    assert runs.read_by_scope(spark, out, "scope string, post_id string").first().scope == "2024"
