@@ -15,6 +15,8 @@ SEPARATOR = ";"
 STAMP_FORMAT = "%Y-%m-%d_%H_%M_%S"
 NAMES = {"posts": "posts", "description": "subreddits", "comments": "comments"}
 
+#: A text that no cell holds: two characters of private use.
+NULL_MARK = "\ue0a5\uf8d3"
 CSV_OPTIONS = {
     "sep": SEPARATOR, "header": "true", "quote": '"', "escape": '"',
     "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
@@ -57,7 +59,8 @@ def _read(spark: SparkSession, path: str, schema: T.StructType, index_column: bo
     names = [*(["_idx"] if index_column else []), *schema.fieldNames(), *extra]
     text = T.StructType([T.StructField(name, T.StringType()) for name in names])
     # Bodies hold line breaks, so a file is one split: keep large collections in many files.
-    rows = spark.read.schema(text).options(**CSV_OPTIONS).option("multiLine", True).csv(path)
+    # A blank cell is null, an empty text in quotes stays one: reading takes this mark for null, and blanks for the mark.
+    rows = spark.read.schema(text).options(**CSV_OPTIONS).option("multiLine", True).option("nullValue", NULL_MARK).csv(path)
     return rows.select(*(_typed(f.name, f.dataType) for f in schema), *(F.col(name) for name in extra))
 
 

@@ -290,9 +290,9 @@ FROM (SELECT *, count(*) OVER (PARTITION BY post_id) AS n FROM per_post)""", ("p
 SELECT post_id, domain, CAST(count(*) AS BIGINT) AS cnt
 FROM (SELECT post_id, unnest(link_domains) AS domain FROM page_posts) GROUP BY post_id, domain""")),
     "csv_round_trip": query("""
-SELECT nullif(query, '') AS query, subreddit, post_id, link, date, author, nullif(title, '') AS title, nullif(body, '') AS body,
+SELECT query, subreddit, post_id, link, date, author, title, body,
   n_comments, up_ratio, distinguished, is_nsfw, array_to_string(external_links, ' ') AS external_links FROM posts"""),
-    "comments_round_trip": query("SELECT post_id, comment_id, author, nullif(body, '') AS body FROM comments"),
+    "comments_round_trip": query("SELECT post_id, comment_id, author, body FROM comments"),
     "description_round_trip": query("""
 SELECT subreddit, CASE feature WHEN 'domain' THEN 'external_links' WHEN 'mention' THEN 'sub_mentions' WHEN 'ngram' THEN 'ngrams'
   ELSE feature END AS feature, item, cnt FROM features WHERE feature <> 'n_comments'"""),
@@ -319,6 +319,13 @@ FROM numbered n JOIN (SELECT pos // 25 AS no, string_agg(concat('"', term, '"'),
   ON b.no = n.pos // 25 JOIN posts p ON contains(lower(concat_ws(' ', p.title, p.body)), lower(n.term))""", ("numbered", """
 SELECT row_number() OVER (ORDER BY CAST(query AS BIGINT), place) - 1 AS pos, replace(term, chr(10), ' ') AS term FROM phrases""")),
     "comments_from_dump": query("SELECT * FROM comments"),
+    "broken_dump": query("""
+SELECT id AS post_id, 'kept' AS state FROM raw_posts WHERE CAST(id AS BIGINT) % 7 > 1
+UNION ALL SELECT id, 'set aside' FROM raw_posts WHERE CAST(id AS BIGINT) % 7 <= 1"""),
+    "grown_counts": query("""
+SELECT subreddit, 'post' AS kind, '' AS item, n_posts AS cnt FROM counts
+UNION ALL SELECT subreddit, 'domain', domain, cnt FROM domain_totals
+UNION ALL SELECT subreddit, 'mention', mention, cnt FROM mention_counts"""),
     "ngram_report": query("""
 SELECT *, row_number() OVER (PARTITION BY subreddit ORDER BY cnt DESC, ngram DESC) AS rank FROM ngram_counts"""),
     "stopword_file": query("SELECT word FROM bench_words", BENCH_WORDS),

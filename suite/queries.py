@@ -14,7 +14,7 @@ from postmine.functions.text import raw_tokens
 from postmine.operators import corpus, dedupe, features, keywords, ranking, relations, summary, windows
 from postmine.operators.groups import fold_counts
 from postmine.operators.normalize import normalize_comments, normalize_posts
-from postmine.plans import collect, enrich
+from postmine.plans import collect, enrich, grow
 from postmine.session import scratch_dir
 from postmine.sources.dumps import read_raw_comments, read_raw_posts
 from postmine.sources.lists import read_authors, read_scopes, read_stopwords, read_terms, scopes_table
@@ -444,6 +444,29 @@ def comments_from_dump(spark, folder):
     return normalize_comments(read_raw_comments(spark, path))
 
 
+def broken_dump(spark, folder):
+    """A dump in which two lines of seven are broken, and what became of them."""
+    path, aside = _scratch(spark, "dump"), _scratch(spark, "aside")
+    raw = v.view(spark, folder, v.RAW_POSTS)
+    line = F.to_json(F.struct(*raw.columns))
+    kind = F.col("id").cast("long") % 7
+    # Cut short, or with a text where a number belongs; the id stands first either way.
+    broken = F.when(kind == 0, F.expr("left(line, length(line) - 1)")).when(kind == 1, F.replace("line", F.lit('"num_comments":'), F.lit('"num_comments":"x","y":')))
+    raw.select("id", line.alias("line")).select(F.coalesce(broken, "line").alias("value")).write.text(path)
+    kept = read_raw_posts(spark, path, quarantine=aside).select(F.col("id").alias("post_id"), F.lit("kept").alias("state"))
+    lost = spark.read.schema("file string, value string").json(aside)
+    return kept.union(lost.select(F.regexp_extract("value", '"id":"([0-9]+)"', 1), F.lit("set aside")))
+
+
+def grown_counts(spark, folder):
+    """Three dumps one after the other, with repeats in and across them."""
+    path, posts = _scratch(spark, "grown"), v.posts(spark, folder)
+    turn = F.col("post_id").cast("long") % 3
+    for some in (posts.filter(turn == 0).union(posts.filter(turn == 0)), posts.filter(turn <= 1), posts):
+        grow.add_dump(some, path, v.STOPWORDS, v.LEMMAS)
+    return grow.grown_features(spark, path)
+
+
 def ngram_report(spark, folder):
     return features.ngram_report(frequent_ngrams(spark, folder))
 
@@ -468,7 +491,8 @@ QUERIES: dict[str, Query] = {
         collect_search_description, collect_search_domains, collect_top, collect_new, enriched_description,
         description_map_entries, folded_domains, csv_round_trip, comments_round_trip, description_round_trip,
         saved_by_scope, saved_twice, stopword_file, terms_by_line, terms_by_word, scope_file, author_file,
-        search_from_file, saved_and_compacted, saved_collections, posts_from_dump, comments_from_dump, ngram_report,
+        search_from_file, saved_and_compacted, saved_collections, broken_dump, grown_counts,
+        posts_from_dump, comments_from_dump, ngram_report,
         reload_and_enrich, mentions_of_all, collected_comments,
     )
 }
