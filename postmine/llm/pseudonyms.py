@@ -137,7 +137,7 @@ def _email(value: Column, key: Column) -> Column:
     plain = F.lower(local)
     symbols = F.regexp_replace(plain, "[^a-z0-9]", "")
     moved = _refill(plain, "a-z0-9", feistel_text(symbols, LETTERS_DIGITS, F.concat(key, F.lit("email"))))
-    return F.concat(_case(local, moved), F.lit("@"), rest)
+    return F.when(symbols != "", F.concat(_case(local, moved), F.lit("@"), rest))
 
 
 def _key(value: Column, key: Column) -> Column:
@@ -198,8 +198,21 @@ def _date(value: Column, key: Column) -> Column:
 
 
 def _ssn(value: Column, key: Column) -> Column:
+    """Valid numbers are numbered without gaps, so a permutation of these numbers stays among them."""
     valid = ~value.rlike("^(000|666|9)|-00-|-0000$")
-    return F.when(valid, _refill(value, "0-9", feistel_text(_digits(value), DIGITS, F.concat(key, F.lit("ssn")))))
+    area, group, serial = (F.substr(_digits(value), F.lit(at), F.lit(n)).cast("long") for at, n in ((1, 3), (4, 2), (6, 4)))
+    number = ((area - F.when(area > 666, 2).otherwise(1)) * 99 + group - 1) * 9999 + serial - 1
+    moved = feistel_number(number, 898 * 99, 9999, F.concat(key, F.lit("ssn")))
+
+    def shown(n: Column) -> Column:
+        place = F.floor(n / (99 * 9999)).cast("long")
+        return F.concat(
+            F.lpad((place + F.when(place > 664, 2).otherwise(1)).cast("string"), 3, "0"),
+            F.lpad((F.pmod(F.floor(n / 9999).cast("long"), F.lit(99)) + 1).cast("string"), 2, "0"),
+            F.lpad((F.pmod(n, F.lit(9999)) + 1).cast("string"), 4, "0"),
+        )
+
+    return F.when(valid, _refill(value, "0-9", F.aggregate(F.array(moved), F.lit(""), lambda _, n: shown(n))))
 
 
 def _phone(value: Column, key: Column) -> Column:
@@ -236,24 +249,36 @@ def pseudonym(value: Column, key: str) -> Column:
 def pseudonymize(docs: DataFrame, key: str, column: str = "text", count: str | None = None) -> DataFrame:
     """``docs`` with the personal values in ``column`` replaced; all rows and other columns stay as they are.
 
-    ``count`` names a further column for the number of values replaced. Numbers that fail their check (Luhn, mod 97,
-    octets, calendar, ranges of other numbers) stay. A null text stays null with a count of 0; texts without a value stay the same.
-    Where two kinds overlap, the one that begins first is taken, then the one that SHAPES names first.
+    ``count`` names a further column, not one of ``docs``, for the number of values replaced. Numbers that fail their
+    check (Luhn, mod 97, octets, calendar, ranges of other numbers) stay. A null text stays null with a count of 0; texts
+    without a value stay the same. Where two kinds overlap, the one that begins first is taken, then the one that SHAPES
+    names first. An address in capitals and in small letters is one value; its domain stays, as does a local part without
+    a letter or digit.
     """
+    if count and count.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"the documents have a column {count}")
     text = F.col(f"`{column}`")
     hits = F.regexp_extract_all(text, F.lit(FOUND), F.lit(0))
     new = F.transform(hits, lambda v: F.struct(v.alias("old"), pseudonym(v, key).alias("new")))
     has = F.coalesce(text.rlike(HINT) & text.rlike(FOUND), F.lit(False))
     gaps = F.split(text, FOUND, -1)
     # Made in steps, each in a column of its own, so that no text is searched twice for the same thing.
-    marked = docs.withColumn("__new", F.when(has, new))
+    made, changes = (_unused(name, docs.columns) for name in ("__new", "__changed"))
+    marked = docs.withColumn(made, F.when(has, new))
     put = F.concat(
         gaps[0],
         F.array_join(
-            F.zip_with(F.col("__new"), F.slice(gaps, F.lit(2), F.size("__new")), lambda n, gap: F.concat(F.coalesce(n["new"], n["old"]), gap)), ""
+            F.zip_with(F.col(made), F.slice(gaps, F.lit(2), F.size(made)), lambda n, gap: F.concat(F.coalesce(n["new"], n["old"]), gap)), ""
         ),
     )
-    changed = F.size(F.filter("__new", lambda n: n["new"].isNotNull()))
-    out = marked.withColumn("__changed", F.when(F.col("__new").isNull(), 0).otherwise(changed).cast("long"))
-    out = out.withColumn(column, F.when(F.col("__changed") > 0, put).otherwise(text))
-    return (out.withColumn(count, F.col("__changed")) if count else out).drop("__new", "__changed")
+    changed = F.size(F.filter(made, lambda n: n["new"].isNotNull()))
+    out = marked.withColumn(changes, F.when(F.col(made).isNull(), 0).otherwise(changed).cast("long"))
+    out = out.withColumn(column, F.when(F.col(changes) > 0, put).otherwise(text))
+    return (out.withColumn(count, F.col(changes)) if count else out).drop(made, changes)
+
+
+def _unused(name: str, columns: list[str]) -> str:
+    """``name``, made longer until no column has it, in any case of letters."""
+    while name.lower() in (c.lower() for c in columns):
+        name += "_"
+    return name

@@ -62,6 +62,29 @@ def test_dates_of_all_years_and_long_secrets(spark):
     assert len(set(new)) == len(new)
 
 
+def test_social_security_numbers_stay_valid_and_distinct(spark):
+    valid = spark.range(3000).selectExpr("(id * 296317 + 7) % (898 * 99 * 9999) AS n").selectExpr("n", "n DIV (99 * 9999) AS a").selectExpr(
+        "concat(lpad(IF(a < 665, a + 1, a + 2), 3, '0'), '-', lpad(n DIV 9999 % 99 + 1, 2, '0'), '-', lpad(n % 9999 + 1, 4, '0')) AS text"
+    )
+    edges = spark.createDataFrame([(t,) for t in ("001-01-0001", "899-99-9999", "665-99-9999", "667-01-0001")], "text string")
+    rows = valid.union(edges).distinct()
+    new = [r.text for r in pseudonyms.pseudonymize(rows, "k", count="n").filter("n = 1").collect()]
+    assert len(set(new)) == len(new) == rows.count()
+    assert all(re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}", t) for t in new)
+    bad = spark.createDataFrame([(t,) for t in ("000-12-1234", "666-12-1234", "912-12-1234", "123-00-1234", "123-12-0000")], "text string")
+    assert pseudonyms.pseudonymize(bad, "k").exceptAll(bad).count() == 0
+
+
+def test_pseudonyms_leave_other_columns(spark):
+    docs = spark.createDataFrame([("+@x.de a.b@x.de", 1, "two", 3.0)], "text string, __new int, __CHANGED string, __new_ double")
+    out = pseudonyms.pseudonymize(docs, "k", count="n")
+    row = out.first()
+    assert out.columns == [*docs.columns, "n"] and tuple(row[1:]) == (1, "two", 3.0, 1)
+    assert re.fullmatch(r"\+@x\.de [a-z0-9]\.[a-z0-9]@x\.de", row.text) and row.text != docs.first().text
+    with pytest.raises(ValueError):
+        pseudonyms.pseudonymize(docs, "k", count="TEXT")
+
+
 def test_pseudonyms_are_native_and_keep_rows(spark, odd, empty):
     out = pseudonyms.pseudonymize(odd, "k")
     assert not re.search("Python|Arrow|Pandas", plan(out))
