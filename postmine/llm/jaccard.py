@@ -30,6 +30,8 @@ WORDS = 5
 #: Similarity of at least 4 / 5.
 PART, WHOLE = 4, 5
 GROUP = 64
+#: About so many sets meet a group's members in one go.
+ASKING = 1024
 BANDS, BAND_ROWS = 8, 4
 #: So many frequent tokens are told apart by their frequency in the order of tokens; this shapes cost, not results.
 FREQUENT = 300_000
@@ -337,6 +339,58 @@ def _qualifying(candidates: DataFrame, tokens: DataFrame, unions: DataFrame) ->
     return map_batches(asking, each, "a long, group long")
 
 
+def _links_inside(found: pa.Table) -> pa.Table:
+    """Links that connect what the links between asking sets and the members of their group connect.
+
+    The tokens of all members stand in one order, so a set meets all members at once.
+    """
+    ask = found.column("ask").to_numpy()
+    sid = found.column("sid").to_numpy()
+    tokens = [np.frombuffer(x, _U) for x in found.column("tokens").to_pylist()]
+    members, asking = np.flatnonzero(~ask), np.flatnonzero(ask)
+    token = np.concatenate([tokens[m] for m in members])
+    owner = np.repeat(np.arange(len(members)), [len(tokens[m]) for m in members])
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    size = np.array([len(tokens[m]) for m in members])
+    names = sid[members]
+    root = {int(x): int(x) for x in sid}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for a in asking:
+        own = tokens[a]
+        first, last = np.searchsorted(token, own, "left"), np.searchsorted(token, own, "right")
+        n = last - first
+        at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        inside = np.bincount(owner[at], minlength=len(members))
+        for m in np.flatnonzero((WHOLE * inside >= PART * (len(own) + size - inside)) & (names != sid[a])).tolist():
+            x, y = find(int(sid[a])), find(int(names[m]))
+            if x != y:
+                root[x] = y
+                out.append((int(sid[a]), int(names[m])))
+    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+
+def _open(opened: DataFrame, asked: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Links between the sets and the members of the groups (a, group) that they open; members are ``asked`` (sid, group).
+
+    A set is brought to a group once, not to each member. A group that very many sets open is laid out several times.
+    """
+    parts = F.ceil(F.col("n") / ASKING).cast("int").alias("parts")
+    counts = settle(opened.groupBy("group").agg(F.count("*").alias("n")).select("group", parts), "openings")
+    askers = opened.join(counts, "group").select("group", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("ask"), F.col("a").alias("sid"))
+    part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    members = asked.join(counts, "group").select("group", part, F.lit(False).alias("ask"), "sid")
+    rows = askers.union(members).join(tokens.select("sid", "tokens"), "sid")
+    return rows.groupBy("group", "part").applyInArrow(_links_inside, "a long, b long")
+
+
 def similarity_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id that links lead to) of every row.
 
@@ -406,10 +460,10 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     tokens = _tokens_of(docs, sets, drawn, short=True)
     unions = tokens.join(asked, "sid").select("group", "n", "tokens").groupBy("group").applyInArrow(_union, "group long, least long, union binary, twice binary")
     opened = _qualifying(candidates, tokens, unions)
-    members = asked.select("group", F.col("sid").alias("b"))
-    pairs = settle(opened.join(members, "group").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    tokens = _tokens_of(docs, sets, pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct())
-    links = star_links.union(_verified(pairs, tokens))
+    opened = settle(opened, "opened")
+    members = asked.join(opened.select("group").distinct(), "group")
+    tokens = _tokens_of(docs, sets, opened.select(F.col("a").alias("sid")).union(members.select("sid")).distinct())
+    links = star_links.union(settle(_open(opened, members, tokens), "group-links"))
 
     roots = settle(components(links), "components").withColumnRenamed("node", "sid")
     named = sets.select("sid", "doc_id").join(roots, "sid")
