@@ -12,14 +12,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postmine.llm.rows import map_batches, settle
 
-#: Labelled documents that train the text model, per language, and bytes of each. Scoring has no bound.
+#: Labelled documents that train the text model, per language. Scoring has no bound.
 TRAINING_DOCUMENTS = 300
-TRAINING_BYTES = 8_000
 #: Byte trigrams fall into so many cells.
 CELLS = 1 << 16
 #: How many rows of its own a prior needs to count as much as the one above it.
@@ -75,22 +74,20 @@ def fit_text(rows: list[tuple[str, bytes]]) -> TextModel:
 
 
 def fit_language_text(docs: DataFrame, sample: int = TRAINING_DOCUMENTS) -> TextModel | None:
-    """The text model from at most ``sample`` documents of each language of ``docs``; None where none has a language."""
-    known = docs.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "lang")
-    languages = [r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()]
-    wanted = []
-    for language in languages:
-        some = known.filter(F.col("lang") == language).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-        wanted += [(r.doc_id, language) for r in some.collect()]
+    """The text model from at most ``sample`` documents of each language of ``docs``; None where none has a language.
+
+    All languages count and texts are read whole. Of each language the documents with the least hash of their id are taken.
+    """
+    known = docs.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "lang").distinct()
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    # At most sample ids per language, cut before the shuffle.
+    wanted = known.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= sample).select("doc_id", "lang").collect()
     if not wanted:
         return None
-    # A broadcast of at most sample ids per language.
     ids = F.broadcast(docs.sparkSession.createDataFrame(wanted, "doc_id long, lang string"))
-    found = docs.select("doc_id", "lang", "text").join(ids, ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(
-        F.min(F.substring("text", 1, TRAINING_BYTES)).alias("text")
-    )
+    found = docs.select("doc_id", "lang", "text").join(ids, ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     rows = sorted((r.lang, r.doc_id, r.text) for r in found.collect())
-    return fit_text([(lang, text.encode()[:TRAINING_BYTES]) for lang, _, text in rows])
+    return fit_text([(lang, text.encode()) for lang, _, text in rows])
 
 
 EVIDENCE = ["doc_id", "page_id", "host", "suffix", "declared", "text", "markup"]
@@ -133,7 +130,7 @@ def _counts(first: str, languages: list[str]) -> Column:
     return F.array(*(F.sum(F.when(F.col(first) == i, 1.0).otherwise(0.0)) for i in range(len(languages))))
 
 
-def _smoothed(counts: str, above: Column, strength: float) -> Column:
+def _smoothed(counts: Column | str, above: Column, strength: float) -> Column:
     """Shares by counts, drawn to those above by ``strength`` rows."""
     total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x) + strength
     return F.zip_with(counts, above, lambda n, p: (n + strength * p) / total)
@@ -169,11 +166,15 @@ def identify(rows: DataFrame, model: TextModel | None) -> DataFrame:
     suffixes = hosts.filter("suffix IS NOT NULL").groupBy("suffix").agg(parts.alias("of_suffix"))
     suffixes = suffixes.select("suffix", _smoothed("of_suffix", prior, SUFFIX_STRENGTH).alias("of_suffix"))
     hosts = hosts.join(suffixes, "suffix", "left").select(
-        "host", _smoothed("counts", F.coalesce("of_suffix", prior), HOST_STRENGTH).alias("of_host"), F.col("suffix").alias("host_suffix")
+        "host", "counts", F.coalesce("of_suffix", prior).alias("above"), F.col("suffix").alias("host_suffix")
     )
     # Rows of a hot host are spread by the join itself, which splits large partitions.
     joined = scored.join(hosts, (scored.host == hosts.host) & scored.suffix.eqNullSafe(hosts.host_suffix), "left").drop(hosts.host)
     joined = joined.join(suffixes, "suffix", "left")
+    # The guess of a row itself is no vote for its host.
+    speaks = (F.array_max("scores") != F.array_min("scores")).cast("int")
+    others = F.transform("counts", lambda c, i: c - F.when(i == F.col("first"), speaks).otherwise(0))
+    joined = joined.withColumn("of_host", F.when(F.col("counts").isNotNull(), _smoothed(others, F.col("above"), HOST_STRENGTH)))
     with_prior = F.zip_with("scores", F.coalesce("of_host", "of_suffix", prior), lambda s, p: s + F.log(p))
     said = F.when(F.col("declared").isNotNull(), kinds[named])
     joined = joined.withColumn("sum", F.when(said.isNull(), with_prior).otherwise(F.zip_with(with_prior, said, lambda s, d: s + d)))

@@ -100,6 +100,19 @@ def test_languages_of_held_out_documents(spark):
     assert held.filter("lang = truth").count() >= 0.95 * held.count()
 
 
+def test_all_languages_count_and_a_row_is_no_vote_for_its_host(spark):
+    rows = [(i, f"{chr(0x4E00 + i // 2) * 30} " * 3, f"l{i // 2:03}") for i in range(420)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit_language_text(docs)
+    assert model.languages == sorted({r[2] for r in rows})
+    model = language.fit_language_text(docs.filter("doc_id < 8"))
+    evidence = [(i, None, host, suffix, None, rows[k][1], False) for i, (k, host, suffix) in enumerate([(0, "a", "x"), (0, None, "x"), (3, "b", "x"), (4, "b", "x")])]
+    schema = "doc_id long, page_id long, host string, suffix string, declared string, text string, markup boolean"
+    found = {r.doc_id: r for r in language.identify(spark.createDataFrame(evidence, schema), model).collect()}
+    assert found[0].lang == found[1].lang == "l000" and found[0].posterior == pytest.approx(found[1].posterior)
+    assert [found[i].lang for i in (2, 3)] == ["l001", "l002"]
+
+
 def test_evidence_speaks_where_text_does_not(spark, odd, empty):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     model = language.fit_language_text(docs)
