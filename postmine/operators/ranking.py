@@ -7,7 +7,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 from postmine.operators.sizes import fits
 
@@ -55,9 +55,12 @@ def post_order(order: str = "new") -> list[Column]:
 
 
 def row_sum(posts: DataFrame, without: Sequence[str] = ()) -> Column:
-    """A checksum of all columns of a row but those named: it stands for title and body where rows are ranked."""
-    plain = [f.name for f in posts.schema if f.name not in without and not isinstance(f.dataType, MapType)]
-    return F.xxhash64(*(F.col(f"`{name}`") for name in plain))
+    """A checksum of the plain columns of a row but those named: it stands for title and body where rows are ranked.
+
+    Lists and maps, such as links, are made of the others and would have to be made for every row.
+    """
+    nested = (ArrayType, MapType, StructType)
+    return F.xxhash64(*(F.col(f"`{f.name}`") for f in posts.schema if f.name not in without and not isinstance(f.dataType, nested)))
 
 
 def unique_posts(posts: DataFrame, keys: list[str], total: Column | None = None) -> DataFrame:
@@ -78,13 +81,13 @@ def newest_per_group(posts: DataFrame, keys: list[str], lim: int | None = GROUP_
 
 def newest_unique(
     posts: DataFrame, found_in: Callable[[DataFrame], DataFrame], keys: list[str], lim: int | None = GROUP_LIMIT, order: str = "new",
-    n_groups: int | None = None,
+    n_groups: int | None = None, again: bool = True,
 ) -> DataFrame:
     """The ``lim`` newest (or top) posts of every group of ``keys``, one row per post id.
 
     ``found_in`` gives the rows of ``posts`` with their groups, all columns kept. Rows are ranked by key, time, score and
-    checksum alone; title, body and the rest are fetched for the winners. ``n_groups``, if known, bounds the winners, which
-    are then broadcast to the posts.
+    checksum alone; title, body and the rest are fetched for the winners: from ``found_in``, if that costs no more than a
+    scan, or with ``again`` false from all posts. ``n_groups``, if known, bounds the winners, which are then broadcast.
     """
     if lim is None:
         return unique_posts(found_in(posts), keys)
@@ -97,8 +100,14 @@ def newest_unique(
     winners = newest_per_group(unique, keys, lim, order).select(*keys, F.col("post_id").alias("_id"), F.col("_sum").alias("_total"))
     if n_groups is not None and fits(n_groups * lim, n_groups * lim * WINNER_BYTES):
         winners = F.broadcast(winners)
-    rest = marked.drop(*keys)
-    whole = rest.join(winners, rest["post_id"].eqNullSafe(F.col("_id")) & (F.col("_sum") == F.col("_total")))
+    rest = found_in(posts) if again else posts.drop(*keys)
+    winners = winners.select(*(F.col(k).alias(f"_key_{k}") for k in keys), "_id", "_total")
+    same = rest["post_id"].eqNullSafe(F.col("_id"))
+    for k in keys if again else ():
+        same &= rest[k].eqNullSafe(F.col(f"_key_{k}"))
+    # Only rows that have the id of a winner are given a checksum.
+    whole = rest.join(winners, same & (row_sum(posts, keys).bitwiseXOR(F.col("_total")) == 0))
+    whole = whole.drop(*keys).withColumnsRenamed({f"_key_{k}": k for k in keys})
     # Rows that are equal in everything are one post.
     return whole.dropDuplicates([*keys, "post_id"]).select(*(c for c in found.columns if c != "_sum"))
 

@@ -75,7 +75,7 @@ def collect_posts(
             queries = keywords if "query" in keywords.columns else queries_table(keywords, query_mode)
         # Tables of scopes or queries are of any length; lists bound the number of groups.
         n_groups = None if isinstance(scopes, DataFrame) or isinstance(queries, DataFrame) else len(scopes) * len(queries)
-        found = newest_unique(posts, lambda p: match_keywords(p, queries, scopes, unique_ids=False), ["scope", "query"], lim, post_order, n_groups)
+        found = newest_unique(posts, lambda p: match_keywords(p, queries, scopes, unique_ids=False), ["scope", "query"], lim, post_order, n_groups, again=False)
     elif mode == "new":
         n_groups = None if isinstance(scopes, DataFrame) else len(scopes)
         found = newest_unique(posts, lambda p: in_scopes(p, scopes), ["scope"], lim, "new", n_groups)
