@@ -63,12 +63,12 @@ def row_sum(posts: DataFrame, without: Sequence[str] = ()) -> Column:
     return F.xxhash64(*(F.col(f"`{f.name}`") for f in posts.schema if f.name not in without and not isinstance(f.dataType, nested)))
 
 
-def unique_posts(posts: DataFrame, keys: list[str], total: Column | None = None) -> DataFrame:
+def unique_posts(posts: DataFrame, keys: list[str]) -> DataFrame:
     """One row per post id in every group of ``keys``, so that repeated rows do not use up a limit.
 
-    The newest row counts, of equally new ones that with the least checksum, ``total`` or `row_sum`.
+    The newest row counts, of equally new ones that with the least `row_sum`.
     """
-    marked = posts.withColumn("_sum", row_sum(posts, keys) if total is None else total)
+    marked = posts.withColumn("_sum", row_sum(posts, keys))
     return first_per_key(marked, [*keys, "post_id"], [F.desc("created_at"), F.asc("_sum")]).drop("_sum")
 
 
