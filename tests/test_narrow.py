@@ -88,3 +88,20 @@ def test_few_ngrams_are_made(spark):
     made = marked.select(F.sum(F.size(features.ngrams(F.col("_words"), starts=F.col("_starts")))), F.sum(F.size(features.ngrams(F.col("_words"))))).first()
     true = features.feature_counts(posts, ("ngram",), v.STOPWORDS, v.LEMMAS, least_ngrams=7).agg(F.sum("cnt")).first()[0]
     assert true <= made[0] < 0.3 * made[1]
+
+
+def test_matched_posts_move_once_and_not_per_query(spark):
+    text = formatted(keywords.match_keywords(v.posts(spark, FOLDER), keywords.build_queries(v.KEYWORDS, "singles"), v.SCOPES))
+    wide = [columns for columns in exchanged_by_windows(text) if "_sum" in columns and "body" in columns]
+    assert wide and not any(re.search(r"\bquery#", columns) for columns in wide)
+
+
+def test_versions_of_a_post_count_by_query(spark, make_posts):
+    bodies = ("one two", "two three", "one", "three two", "none", "one two")
+    posts = make_posts([("p1", "s", "t", body, "ann", 5 + i // 2) for i, body in enumerate(bodies)] + [(None, "s", "t", body, "bob", 9) for body in bodies] + [("p2", "u", None, "TWO", "ann", 1)])
+    posts = posts.union(posts)
+    queries = keywords.build_queries(["one", "two", "three", "four"], "singles")
+    for scopes in (["s"], ["all", "s"], spark.createDataFrame([("all",), ("u",)], "scope string")):
+        want = ranking.unique_posts(keywords.match_keywords(posts, queries, scopes, unique_ids=False), ["scope", "query"])
+        found = keywords.match_keywords(posts.repartition(3), queries, scopes)
+        assert found.columns == want.columns and rows(found, *found.columns) == rows(want, *found.columns)
