@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postmine.llm.links import components
-from postmine.llm.rows import map_batches, partitions, settle
+from postmine.llm.rows import in_slices, map_batches, partitions, settle
 
 WORDS = 5
 #: Similarity of at least 4 / 5.
@@ -32,6 +32,8 @@ PART, WHOLE = 4, 5
 GROUP = 64
 #: About so many sets meet a group's members in one go.
 ASKING = 1024
+#: A worker holds the words of so many texts, or the tokens of so many pairs of sets, at a time.
+TEXTS_AT_ONCE, PAIRS_AT_ONCE = 2500, 256
 BANDS, BAND_ROWS = 8, 4
 #: So many frequent tokens are told apart by their frequency in the order of tokens; this shapes cost, not results.
 FREQUENT = 300_000
@@ -120,7 +122,7 @@ def _bands(tokens: np.ndarray) -> list[int]:
 
 
 def _describe(docs: DataFrame) -> DataFrame:
-    """doc_id, n, sid and bands of every row, and packed counts of tokens that one batch has more than twice."""
+    """doc_id, n, sid and bands of every row, and packed counts of tokens that one batch has more than once."""
 
     def each(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {k: [] for k in ("doc_id", "n", "sid", "bands", "common")}
@@ -138,14 +140,14 @@ def _describe(docs: DataFrame) -> DataFrame:
             tokens = np.sort(np.concatenate(list(seen.values())))
             begin = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
             count = np.diff(np.append(begin, len(tokens)))
-            often = count > 2
+            often = count > 1
             common = [(int(t), int(c)) for t, c in zip(tokens[begin[often]].astype(np.int64), count[often])]
             for i in range(0, len(common), 10_000):
                 for k, v in zip(out, (None, -1, None, None, [{"t": t, "c": c} for t, c in common[i : i + 10_000]])):
                     out[k].append(v)
         return out
 
-    return map_batches(docs, each, "doc_id long, n long, sid long, bands array<long>, common array<struct<t:long, c:long>>")
+    return map_batches(docs, each, "doc_id long, n long, sid long, bands array<long>, common array<struct<t:long, c:long>>", at_once=TEXTS_AT_ONCE)
 
 
 def _frequent(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -183,7 +185,7 @@ def _prefix_blocks(ranges: int, frequent: np.ndarray, rank: np.ndarray):
         return tokens[at[np.argsort(key[at])]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches, TEXTS_AT_ONCE):
             sets: dict[int, tuple[int, np.ndarray]] = {}
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 tokens = shingles(text) if doc is not None else ()
@@ -216,23 +218,39 @@ def _prefix_blocks(ranges: int, frequent: np.ndarray, rank: np.ndarray):
 
 def _shared_tokens(found: pa.Table) -> pa.Table:
     """token, sid and place, where another set of fitting size has the token too."""
-    blocks = []
-    for payload in found.column("payload").to_pylist():
+    names, codes, tokens, owners, places = [], [], [], [], []
+    at = 0
+    for payload in (x.as_buffer() for x in found.column("payload")):
         n = int(np.frombuffer(payload, np.int64, 1)[0])
-        sid, code = np.frombuffer(payload, np.int64, n, 8), np.frombuffer(payload, "<u2", n, 8 + 8 * n)
         count = np.frombuffer(payload, "<u4", n, 8 + 10 * n)
         m = int(count.sum())
-        token, place = np.frombuffer(payload, "<u4", m, 8 + 14 * n), np.frombuffer(payload, "u1", m, 8 + 14 * n + 4 * m)
-        blocks.append((np.repeat(sid, count), np.repeat(code, count).astype(np.int64), token, place))
-    sid, code, token, place = (np.concatenate(x) for x in zip(*blocks))
-    order = np.lexsort((place, sid, code, token))
-    sid, code, token, place = sid[order], code[order], token[order], place[order]
-    new = np.append(True, (token[1:] != token[:-1]) | (sid[1:] != sid[:-1]) | (code[1:] != code[:-1]))
-    sid, code, token, place = sid[new], code[new], token[new], place[new]
-    near = (token[1:] == token[:-1]) & (code[1:] - code[:-1] <= SLACK)
+        names.append(np.frombuffer(payload, np.int64, n, 8))
+        codes.append(np.frombuffer(payload, "<u2", n, 8 + 8 * n))
+        tokens.append(np.frombuffer(payload, "<u4", m, 8 + 14 * n))
+        places.append(np.frombuffer(payload, "u1", m, 8 + 14 * n + 4 * m))
+        owners.append(np.repeat(np.arange(at, at + n, dtype="<u4"), count))
+        at += n
+    # Sets in order of size and name; a set that several batches have is one.
+    sid, code = np.concatenate(names), np.concatenate(codes)
+    order = np.lexsort((sid, code))
+    sid, code = sid[order], code[order]
+    new = np.append(True, (sid[1:] != sid[:-1]) | (code[1:] != code[:-1]))
+    rank = np.empty(at, "<u4")
+    rank[order] = np.cumsum(new) - 1
+    sid, code = sid[new], code[new].astype(np.int64)
+    cell = np.concatenate(tokens).astype(_U)
+    cell <<= _U(32)
+    cell |= rank[np.concatenate(owners)]
+    del tokens, owners
+    # A set has its tokens at the same places in every batch.
+    cell, first = np.unique(cell, return_index=True)
+    place = np.concatenate(places)[first]
+    del places, first
+    token, owner = (cell >> _U(32)).astype(np.int64), cell.astype("<u4")
+    near = (token[1:] == token[:-1]) & (code[owner[1:]] - code[owner[:-1]] <= SLACK)
     has = np.append(near, False) | np.append(False, near)
     range_ = found.column("range")[0].as_py() if len(found) else 0
-    return pa.table({"token": token[has].astype(np.int64) | (range_ << 32), "sid": sid[has], "place": place[has].astype(np.int32)})
+    return pa.table({"token": token[has] | (range_ << 32), "sid": sid[owner[has]], "place": place[has].astype(np.int32)})
 
 
 def _stars(sets: DataFrame) -> DataFrame:
@@ -267,7 +285,7 @@ def _tokens_of(docs: DataFrame, sets: DataFrame, needed: DataFrame, short: bool
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # All rows of a doc_id come to one task.
-        for batch in batches:
+        for batch in in_slices(batches, TEXTS_AT_ONCE):
             sids, sizes, tokens = [], [], []
             for text, sid in zip(batch.column("text").to_pylist(), batch.column("sid").to_pylist()):
                 if sid in seen:
@@ -309,7 +327,7 @@ def _verified(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
         mask = pa.array(good)
         return {name: batch.column(name).filter(mask) for name in ("a", "b")}
 
-    return map_batches(pairs.join(left, "a").join(right, "b"), each, "a long, b long")
+    return map_batches(pairs.join(left, "a").join(right, "b"), each, "a long, b long", at_once=PAIRS_AT_ONCE)
 
 
 def _union(found: pa.Table) -> pa.Table:
@@ -336,7 +354,7 @@ def _qualifying(candidates: DataFrame, tokens: DataFrame, unions: DataFrame) ->
     queries = tokens.select(F.col("sid").alias("a"), "n", "tokens")
     others = F.when(F.col("inside"), F.col("twice")).otherwise(F.col("union"))
     asking = candidates.join(queries, "a").join(unions, "group").select("a", "group", "n", "tokens", "least", others.alias("others"))
-    return map_batches(asking, each, "a long, group long")
+    return map_batches(asking, each, "a long, group long", at_once=PAIRS_AT_ONCE)
 
 
 def _links_inside(found: pa.Table) -> pa.Table:
@@ -405,7 +423,7 @@ def similarity_components(docs: DataFrame) -> DataFrame:
         F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("bands").alias("bands")
     )
     frequent, rank = _frequent(described)
-    ranges = max(1, partitions(docs) // 2)
+    ranges = partitions(docs)
     blocks = docs.mapInArrow(_prefix_blocks(ranges, frequent, rank), "range int, payload binary")
     shared = settle(blocks.groupBy("range").applyInArrow(_shared_tokens, "token long, sid long, place int"), "shared")
     stars = settle(_stars(sets), "stars")

@@ -207,3 +207,43 @@ def test_pipeline(spark):
     want = sorted(map(tuple, last.select("doc_id", "piece", "length", "ids_crc32").collect()))
     got = sorted(map(tuple, corpus_pipeline.run(spark, FOLDER).select("doc_id", "piece", "length", "ids_crc32").collect()))
     assert got == want
+
+
+def test_shared_tokens_of_a_range_take_little_memory():
+    """The sets of one range of tokens, which one task holds whole; a set that several batches have counts once."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from postmine.llm import jaccard
+
+    rng = np.random.default_rng(8)
+    batches = []
+    for i in range(4):
+        texts = [" ".join(map(str, rng.integers(0, 40, 400))) for _ in range(150)] + ["a text that every batch has " * 3]
+        batches.append(pa.RecordBatch.from_pydict({"doc_id": list(range(i * 200, i * 200 + len(texts))), "text": texts}))
+    none = np.zeros(0, np.uint64)
+    rows = pa.Table.from_batches(list(jaccard._prefix_blocks(1, none, none)(iter(batches + batches[:1]))))
+    owners: dict = {}
+    for batch in batches:
+        for text in batch.column("text").to_pylist():
+            tokens = jaccard.shingles(text)
+            n = len(tokens)
+            first = np.sort(tokens >> np.uint64(1))[: n - jaccard.least_common(n) + 1]
+            for place, token in enumerate(first):
+                for whole in tokens[tokens >> np.uint64(1) == token]:
+                    owners.setdefault(int(whole) & 0xFFFFFFFF, {})[jaccard.set_id(tokens)] = (place * 255 // n, int(jaccard._code(np.array([n]))[0]))
+    tracemalloc.start()
+    found = jaccard._shared_tokens(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = set()
+    for token, sets in owners.items():
+        for sid, (place, code) in sets.items():
+            if any(other != sid and abs(code - c) <= jaccard.SLACK for other, (_, c) in sets.items()):
+                want.add((token, sid, place))
+    assert {(r["token"], r["sid"], r["place"]) for r in found.to_pylist()} == want and found.num_rows == len(want)
+    tokens = sum((len(x) - 8) // 5 for x in rows.column("payload").to_pylist())
+    print("bytes a token", peak / tokens)
+    assert peak < 50 * tokens
