@@ -17,12 +17,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postmine.functions.bits import bit_field
 from postmine.llm.links import components
 from postmine.llm.rows import in_slices, map_batches, partitions, settle
 
@@ -37,8 +37,6 @@ TEXTS_AT_ONCE, PAIRS_AT_ONCE = 2500, 256
 BANDS, BAND_ROWS = 8, 4
 #: So many frequent tokens are told apart by their frequency in the order of tokens; this shapes cost, not results.
 FREQUENT = 300_000
-#: 64-bit words of the bitmap that keeps most texts from being moved in vain; a full one only costs time.
-WORDS_OF_BITS = 1 << 18
 #: Sizes travel as their logarithm, in steps of a tenth of a percent.
 STEP = np.log(1.001)
 SLACK = int(np.log(WHOLE / PART) / STEP) + 2
@@ -260,22 +258,6 @@ def _stars(sets: DataFrame) -> DataFrame:
     return bands.join(ends, "band").groupBy(F.col("sid").alias("a")).agg(F.min("low").alias("low"), F.max("high").alias("high"))
 
 
-def _likely(ids: DataFrame):
-    """A test for doc_ids that passes all of ``ids`` (one column) and few others, of at most WORDS_OF_BITS * 8 bytes."""
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(WORDS_OF_BITS * 64))
-    words = ids.select(at.alias("at")).selectExpr("at DIV 64 AS w", "shiftleft(1L, CAST(at % 64 AS INT)) AS bit")
-    found = words.groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()
-    bits = np.zeros(WORDS_OF_BITS, np.uint64)
-    bits[found.column("w").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
-
-    @F.pandas_udf("boolean")
-    def test(place):
-        at = place.fillna(0).to_numpy().astype(np.int64)
-        return pd.Series((bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1) & place.notna()
-
-    return test(F.when(F.col("doc_id").isNotNull(), at))
-
-
 def _tokens_of(docs: DataFrame, sets: DataFrame, needed: DataFrame, short: bool = False) -> DataFrame:
     """sid, n and packed tokens of the needed sets, from the texts of their documents; other texts are not moved.
 
@@ -299,7 +281,10 @@ def _tokens_of(docs: DataFrame, sets: DataFrame, needed: DataFrame, short: bool
             columns = [pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(tokens, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["sid", "n", "tokens"])
 
-    found = docs.filter(_likely(wanted.select("doc_id"))).join(wanted, "doc_id").select("text", "sid")
+    # Most texts are not moved in vain; the test is compiled, so that no further Python worker stands beside the one above.
+    key = F.xxhash64("doc_id")
+    likely = bit_field(wanted.select(key.alias("key"))).has(key)
+    found = docs.filter(F.col("doc_id").isNotNull() & likely).join(wanted, "doc_id").select("text", "sid")
     return settle(found.mapInArrow(run, "sid long, n long, tokens binary"), "tokens")
 
 

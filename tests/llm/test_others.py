@@ -247,3 +247,18 @@ def test_shared_tokens_of_a_range_take_little_memory():
     tokens = sum((len(x) - 8) // 5 for x in rows.column("payload").to_pylist())
     print("bytes a token", peak / tokens)
     assert peak < 50 * tokens
+
+
+def test_tokens_of_texts_need_one_python_worker(spark, monkeypatch):
+    """Most texts are left out by a compiled test, not by a second Python worker beside the one that reads them."""
+    from postmine.llm import jaccard
+    from tests.compare import plan
+
+    seen = []
+    write = jaccard.settle
+    monkeypatch.setattr(jaccard, "settle", lambda df, name: (seen.append((name, plan(df))), write(df, name))[1])
+    texts = [(i, " ".join(f"w{j}" for j in range(i % 3, 40))) for i in range(9)] + [(None, "a b"), (7, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    jaccard.similarity_components(docs).collect()
+    plans = [text for name, text in seen if name == "tokens"]
+    assert plans and not any("ArrowEvalPython" in text for text in plans)
