@@ -5,7 +5,8 @@
    are grouped by the least pivot that they were drawn to, so that texts just below the threshold share unions too.
 2. The matrix says which groups hold a token. Only tokens that can decide are in it: in one order of all tokens,
    frequent ones last, two sets of the wanted similarity share one of their first fifth.
-3. A set is held against groups of other clusters that share such a token and fit in size. The size of its
+3. A set is held against groups of other clusters that share so many such tokens as its bound asks for, and fit in size.
+   Of what two sets have in common, all but the last four fifths of one of them is among these tokens. The size of its
    overlap with a group's union bounds the overlap with every member; only groups that qualify are opened. Against its
    own group of sets without links, it is the overlap with the tokens that two members have.
 4. The links found by 1 and 3 connect all that the links of all pairs connect: pairs inside a cluster are connected
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmine.functions.bits import bit_field
@@ -35,6 +36,10 @@ ASKING = 1024
 #: A worker holds the words of so many texts, or the tokens of so many pairs of sets, at a time.
 TEXTS_AT_ONCE, PAIRS_AT_ONCE = 2500, 256
 BANDS, BAND_ROWS = 8, 4
+#: A set is held against a pivot that agrees in so many bands; this shapes cost, not results.
+AGREEING = 2
+#: Names of wanted texts are brought to the texts if they are at most so many, and else the texts to them.
+NAMES = 2_000_000
 #: So many frequent tokens are told apart by their frequency in the order of tokens; this shapes cost, not results.
 FREQUENT = 300_000
 #: Sizes travel as their logarithm, in steps of a tenth of a percent.
@@ -215,7 +220,7 @@ def _prefix_blocks(ranges: int, frequent: np.ndarray, rank: np.ndarray):
 
 
 def _shared_tokens(found: pa.Table) -> pa.Table:
-    """token, sid and place, where another set of fitting size has the token too."""
+    """token, sid, place and weight (tokens of the set that fall together there), where another set of fitting size has the token too."""
     names, codes, tokens, owners, places = [], [], [], [], []
     at = 0
     for payload in (x.as_buffer() for x in found.column("payload")):
@@ -235,27 +240,46 @@ def _shared_tokens(found: pa.Table) -> pa.Table:
     new = np.append(True, (sid[1:] != sid[:-1]) | (code[1:] != code[:-1]))
     rank = np.empty(at, "<u4")
     rank[order] = np.cumsum(new) - 1
+    # A set has the same tokens in every batch; those of one batch are taken.
+    taken = np.zeros(at, bool)
+    taken[order[new]] = True
     sid, code = sid[new], code[new].astype(np.int64)
-    cell = np.concatenate(tokens).astype(_U)
+    owner = np.concatenate(owners)
+    mine = taken[owner]
+    cell = np.concatenate(tokens)[mine].astype(_U)
     cell <<= _U(32)
-    cell |= rank[np.concatenate(owners)]
-    del tokens, owners
-    # A set has its tokens at the same places in every batch.
-    cell, first = np.unique(cell, return_index=True)
-    place = np.concatenate(places)[first]
-    del places, first
+    cell |= rank[owner[mine]]
+    del tokens, owners, owner
+    cell, first, weight = np.unique(cell, return_index=True, return_counts=True)
+    place = np.concatenate(places)[mine][first]
+    del places, first, mine
     token, owner = (cell >> _U(32)).astype(np.int64), cell.astype("<u4")
     near = (token[1:] == token[:-1]) & (code[owner[1:]] - code[owner[:-1]] <= SLACK)
     has = np.append(near, False) | np.append(False, near)
     range_ = found.column("range")[0].as_py() if len(found) else 0
-    return pa.table({"token": token[has] | (range_ << 32), "sid": sid[owner[has]], "place": place[has].astype(np.int32)})
+    return pa.table({"token": token[has] | (range_ << 32), "sid": sid[owner[has]], "place": place[has].astype(np.int32), "weight": weight[has].astype(np.int32)})
 
 
 def _stars(sets: DataFrame) -> DataFrame:
-    """a, low and high: each set with the least and the greatest one that it shares a band with."""
-    bands = sets.select("sid", F.explode("bands").alias("band"))
-    ends = bands.groupBy("band").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).filter("low <> high")
-    return bands.join(ends, "band").groupBy(F.col("sid").alias("a")).agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    """a, low and high: each set with the least and the greatest one that it shares a band with, and whether to hold it
+    against them: ``low_fits`` and ``high_fits``, if they may link by their sizes and agree in AGREEING bands."""
+    bands = sets.select("sid", F.col("n").cast("int").alias("n"), F.explode("bands").alias("band"))
+    named = F.struct("sid", "n")
+    ends = bands.groupBy("band").agg(F.min(named).alias("first"), F.max(named).alias("last")).filter("first.sid <> last.sid")
+    # The least set of all bands is the least one of each band that it has.
+    found = bands.join(ends, "band").groupBy(F.col("sid").alias("a")).agg(
+        F.first("n").alias("n"), F.min("first").alias("least"), F.max("last").alias("most"),
+        F.collect_list("first.sid").alias("firsts"), F.collect_list("last.sid").alias("lasts"),
+    )
+
+    def fits(end: str, ends: str) -> Column:
+        m, sid = F.col(f"{end}.n"), F.col(f"{end}.sid")
+        sizes = (F.col("n") * WHOLE >= m * PART) & (m * WHOLE >= F.col("n") * PART)
+        return (F.col("a") != sid) & sizes & (F.size(F.filter(ends, lambda x: x == sid)) >= AGREEING)
+
+    return found.select(
+        "a", F.col("least.sid").alias("low"), F.col("most.sid").alias("high"), fits("least", "firsts").alias("low_fits"), fits("most", "lasts").alias("high_fits")
+    )
 
 
 def _tokens_of(docs: DataFrame, sets: DataFrame, needed: DataFrame, short: bool = False) -> DataFrame:
@@ -266,7 +290,7 @@ def _tokens_of(docs: DataFrame, sets: DataFrame, needed: DataFrame, short: bool
     wanted = settle(sets.select("doc_id", "sid").join(needed, "sid").select("doc_id", "sid"), "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # All rows of a doc_id come to one task.
+        seen: set[int] = set()  # Repeated rows can stand in several tasks; what reads the tokens takes that.
         for batch in in_slices(batches, TEXTS_AT_ONCE):
             sids, sizes, tokens = [], [], []
             for text, sid in zip(batch.column("text").to_pylist(), batch.column("sid").to_pylist()):
@@ -284,7 +308,8 @@ def _tokens_of(docs: DataFrame, sets: DataFrame, needed: DataFrame, short: bool
     # Most texts are not moved in vain; the test is compiled, so that no further Python worker stands beside the one above.
     key = F.xxhash64("doc_id")
     likely = bit_field(wanted.select(key.alias("key"))).has(key)
-    found = docs.filter(F.col("doc_id").isNotNull() & likely).join(wanted, "doc_id").select("text", "sid")
+    few = wanted.count() <= NAMES
+    found = docs.filter(F.col("doc_id").isNotNull() & likely).join(F.broadcast(wanted) if few else wanted, "doc_id").select("text", "sid")
     return settle(found.mapInArrow(run, "sid long, n long, tokens binary"), "tokens")
 
 
@@ -323,6 +348,25 @@ def _union(found: pa.Table) -> pa.Table:
     })
 
 
+def enough(common: Column, both: Column) -> Column:
+    """Whether sets of ``both`` tokens together link by so many common ones."""
+    return common * (PART + WHOLE) >= both * PART
+
+
+def _may_link(n: Column, low: Column, high: Column, shared: Column) -> Column:
+    """Whether a set of ``n`` tokens can link to a set of ``low`` to ``high`` tokens, having at most ``shared`` first tokens in common.
+
+    The set whose first tokens end earlier in the order has all
+    further common tokens behind them. With m tokens in the other set, (PART + WHOLE) * common >= PART * (n + m) is needed. What
+    is behind in the larger set grows faster with m than the need, so the least m and the greatest decide.
+    """
+    most = F.least(high, F.floor(n * WHOLE / PART))
+    smaller = enough(shared + F.ceil(n * PART / WHOLE) - 1, n + low)
+    # Without rounding, so that no smaller m allows more.
+    larger = (most > n) & ((shared * WHOLE + most * PART - 1) * (PART + WHOLE) >= (n + most) * PART * WHOLE)
+    return smaller | larger
+
+
 def _qualifying(candidates: DataFrame, tokens: DataFrame, unions: DataFrame) -> DataFrame:
     """The candidates (a, group, inside) whose bound allows a link with another member; ``inside`` if a is one itself."""
 
@@ -350,7 +394,7 @@ def _links_inside(found: pa.Table) -> pa.Table:
     ask = found.column("ask").to_numpy()
     sid = found.column("sid").to_numpy()
     tokens = [np.frombuffer(x, _U) for x in found.column("tokens").to_pylist()]
-    members, asking = np.flatnonzero(~ask), np.flatnonzero(ask)
+    members, asking = (x[np.unique(sid[x], return_index=True)[1]] for x in (np.flatnonzero(~ask), np.flatnonzero(ask)))
     token = np.concatenate([tokens[m] for m in members])
     owner = np.repeat(np.arange(len(members)), [len(tokens[m]) for m in members])
     order = np.argsort(token, kind="stable")
@@ -410,12 +454,14 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     frequent, rank = _frequent(described)
     ranges = partitions(docs)
     blocks = docs.mapInArrow(_prefix_blocks(ranges, frequent, rank), "range int, payload binary")
-    shared = settle(blocks.groupBy("range").applyInArrow(_shared_tokens, "token long, sid long, place int"), "shared")
+    shared = settle(blocks.groupBy("range").applyInArrow(_shared_tokens, "token long, sid long, place int, weight int"), "shared")
     stars = settle(_stars(sets), "stars")
-    drawn = stars.select(F.col("a").alias("sid")).union(stars.select("low")).union(stars.select("high")).distinct()
-    tokens = _tokens_of(docs, sets, drawn)
-    low = settle(_verified(stars.filter("a <> low").select("a", F.col("low").alias("b")), tokens), "star-links")
-    rest = stars.filter("a <> low AND a <> high").join(low, "a", "left_anti").select("a", F.col("high").alias("b"))
+    to_low = stars.filter("low_fits").select("a", F.col("low").alias("b"))
+    to_high = stars.filter("a <> low AND high_fits").select("a", F.col("high").alias("b"))
+    ends = to_low.union(to_high)
+    tokens = _tokens_of(docs, sets, ends.select(F.col("a").alias("sid")).union(ends.select("b")).distinct())
+    low = settle(_verified(to_low, tokens), "star-links")
+    rest = to_high.join(low, "a", "left_anti")
     star_links = low.union(settle(_verified(rest, tokens), "star-links"))
     clusters = settle(components(star_links), "clusters")
     # Every set that shares a token, with its cluster and group; a set without links is a cluster of its own, and grouped
@@ -437,27 +483,30 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     block = F.pmod(F.xxhash64("sid"), F.ceil(F.when(alone, F.col("lone")).otherwise(F.col("size")) / GROUP))
     group = F.when(alone & (F.col("lone") == 1), F.col("sid")).otherwise(F.xxhash64("family", "size", block))
     member = member.withColumn("group", group).withColumn("unit", F.when(alone, F.col("group")).otherwise(F.col("cluster")))
-    member = settle(member.select("sid", "n", "cluster", "size", "lone", "group", "unit"), "members")
+    spans = member.groupBy("group").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    member = settle(member.join(spans, "group").select("sid", "n", "cluster", "size", "lone", "group", "unit", "low", "high"), "members")
     # Tokens that more than one cluster has.
     # So many tokens of the set stand at the place of this one or later; before the first common token none is common.
     rest = F.col("n") - F.ceil(F.col("place") * F.col("n") / 255)
     cells = shared.join(member, "sid").withColumn("rest", rest).drop("place")
     wide = cells.groupBy("token").agg(F.min("cluster").alias("x"), F.max("cluster").alias("y")).filter("x <> y").select("token")
     cells = settle(cells.join(wide, "token"), "cells")
-    spans = member.groupBy("group").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     matrix = cells.groupBy("token", "group", F.col("unit").alias("other"), F.col("size").alias("other_size")).agg(
-        F.max("rest").alias("other_rest")
-    ).join(spans, "group")
+        F.max("rest").alias("other_rest"), F.count("*").alias("holders"), F.first("low").alias("low"), F.first("high").alias("high")
+    )
     # The set of the smaller unit asks the groups of the larger one; of sets without links each asks its own group too.
     inside = (F.col("size") == 1) & (F.col("unit") == F.col("other"))
     asks = (F.col("size") < F.col("other_size")) | ((F.col("size") == F.col("other_size")) & (F.col("unit") < F.col("other"))) | (inside & (F.col("lone") > 1))
     fits = (F.col("n") * WHOLE >= F.col("low") * PART) & (F.col("high") * WHOLE >= F.col("n") * PART)
-    fits &= F.least("rest", "other_rest") * (PART + WHOLE) >= (F.col("n") + F.col("low")) * PART
-    candidates = (
-        cells.select("token", F.col("sid").alias("a"), "n", "unit", "size", "lone", "rest").join(matrix, "token").filter(asks & fits)
-        .select("a", "group", inside.alias("inside")).distinct()
+    # In its own group a set meets itself in every token; one that no other member has says nothing.
+    fits &= ~inside | (F.col("holders") > 1)
+    met = (
+        cells.select("token", F.col("sid").alias("a"), "n", "unit", "size", "lone", "rest", "weight").join(matrix, "token").filter(asks & fits)
+        .groupBy("a", "group", inside.alias("inside"), "n", "low", "high")
+        .agg(F.sum("weight").alias("shared"), F.max(F.least("rest", "other_rest")).alias("rest"))
     )
-    candidates = settle(candidates, "candidates")
+    met = settle(met.filter(enough(F.col("rest"), F.col("n") + F.col("low"))), "candidates")
+    candidates = met.filter(_may_link(*map(F.col, ("n", "low", "high", "shared")))).select("a", "group", "inside")
     asked = settle(member.join(candidates.select("group").distinct(), "group").select("sid", "group"), "asked")
     drawn = asked.select("sid").union(candidates.select("a")).distinct()
     tokens = _tokens_of(docs, sets, drawn, short=True)
