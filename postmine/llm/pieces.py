@@ -1,7 +1,8 @@
 """Token ids of whole texts, looked up piece by piece.
 
 A text is cut where the tokenizer is sure to cut as well; the ids of a piece come from the tokenizers library
-and are remembered, because the same words come again and again.
+and are remembered, because the same words come again and again. Texts are cut and put together by compiled code, many at
+a time: only pieces that differ are looked up one by one.
 """
 
 from __future__ import annotations
@@ -11,11 +12,16 @@ from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 #: A remembered piece is at most so long, and so many are remembered per worker; longer ones are encoded each time.
 PIECE_CHARS = 32
 PIECES = 1_000_000
+#: About so many bytes of text are cut at a time.
+AT_ONCE = 1 << 24
 
 #: Before a single space between two other characters a byte-level pre-tokenizer always cuts: the space goes with
 #: what follows. ``\s`` here takes in all that the tokenizer counts as white space.
@@ -25,17 +31,13 @@ BYTE_LEVEL_CUT = re.compile(r"(?<=\S) (?=\S)")
 UNUSUAL = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
-def byte_level_cut(text: str) -> list[str]:
-    plain = not (
-        "  " in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n" or UNUSUAL.search(text)
-    )
-    return text.split(" ") if plain else BYTE_LEVEL_CUT.split(text)
+def is_plain(text: str) -> bool:
+    """Whether a text that is not empty can be cut at each space."""
+    return not ("  " in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n" or UNUSUAL.search(text))
 
 
-#: Where the word tokenizer drops white space; inside a piece there is none left.
-WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-#: White space for str.split() alone.
-NO_SPACE = re.compile("[\x1c-\x1f]")
+def byte_level_cut(text: str) -> list[str]:
+    return text.split(" ") if is_plain(text) else BYTE_LEVEL_CUT.split(text)
 
 
 #: Letters that every normal form leaves alone, then signs that are neither letters, digits nor apostrophes.
@@ -71,9 +73,11 @@ class Pieces(dict):
 
     def __missing__(self, piece: str) -> bytes:
         """Most pieces are a word and punctuation: two words for the model, without the library's splitting."""
-        if found := SIMPLE.fullmatch(piece):
-            word, tail = found.groups()
-            ids = self._word(self.space + (word.lower() if self.lower else word).translate(BYTE_LEVEL))
+        found = (piece, "") if piece.isascii() and piece.isalpha() else (m := SIMPLE.fullmatch(piece)) and m.groups()
+        if found:
+            word, tail = found
+            word = word.lower() if self.lower else word
+            ids = self._word(self.space + (word if word.isascii() else word.translate(BYTE_LEVEL)))
             if tail:
                 ids += self._tail(tail)
         else:
@@ -99,20 +103,57 @@ def pieces(path: str, prefix: str = "") -> Pieces:
     return Pieces(path, prefix)
 
 
-def byte_level_ids(path: str, texts: Iterable[str | None]) -> Iterator[bytes]:
+def _slices(texts: pa.Array | Iterable[str | None]) -> Iterator[pa.Array]:
+    """The texts, null ones empty, in slices of about AT_ONCE bytes; a longer text is a slice of its own."""
+    if not isinstance(texts, pa.Array):
+        texts = pa.array(list(texts), pa.string())
+    texts = pc.fill_null(texts, "")
+    ends = np.cumsum(np.asarray(pc.binary_length(texts)).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, side="right")))
+        yield texts.slice(at, end - at)
+        at = end
+
+
+def _looked_up(known: Pieces, cut: pa.ListArray, skip: int = 0) -> Iterator[bytes]:
+    """The ids of each list of pieces, without those of the first ``skip`` pieces."""
+    found = cut.flatten().dictionary_encode()
+    # Wide offsets: a single text can have more ids than four bytes can count.
+    ids = pa.array([known[piece] for piece in found.dictionary.to_pylist()], pa.large_binary()).take(found.indices)
+    _, edges, data = ids.buffers()
+    edges = np.frombuffer(edges, np.int64, len(ids) + 1, 8 * ids.offset)
+    offsets = np.asarray(cut.offsets).astype(np.int64)
+    offsets -= offsets[0]
+    for a, b in zip(edges[offsets[:-1] + skip].tolist(), edges[offsets[1:]].tolist()):
+        yield data[a:b].to_pybytes() if b > a else b""
+
+
+def byte_level_ids(path: str, texts: pa.Array | Iterable[str | None]) -> Iterator[bytes]:
     """Ids of whole texts for a byte-level tokenizer without added space; null counts as empty."""
     first, rest = pieces(path), pieces(path, " ")
-    for text in texts:
-        if text:
-            cut = byte_level_cut(text)
-            yield first[cut[0]] + b"".join(map(rest.__getitem__, cut[1:]))
-        else:
-            yield b""
-
-
-def word_ids(path: str, texts: Iterable[str | None]) -> Iterator[bytes]:
-    """Ids of whole texts for a tokenizer that drops white space; null counts as empty."""
+    for part in _slices(texts):
+        strings = part.to_pylist()
+        plain = [bool(text) and is_plain(text) for text in strings]
+        cut = pc.split_pattern(part.filter(pa.array(plain, pa.bool_())), " ")
+        begins = cut.flatten().take(pa.array(np.asarray(cut.offsets)[:-1] - np.asarray(cut.offsets)[0])).to_pylist()
+        ready = zip(begins, _looked_up(rest, cut, skip=1)) if len(cut) else iter(())
+        for text, simple in zip(strings, plain):
+            if simple:
+                begin, ids = next(ready)
+                yield first[begin] + ids
+            elif text:
+                begin, *more = BYTE_LEVEL_CUT.split(text)
+                yield first[begin] + b"".join(map(rest.__getitem__, more))
+            else:
+                yield b""
+
+
+def word_ids(path: str, texts: pa.Array | Iterable[str | None]) -> Iterator[bytes]:
+    """Ids of whole texts for a tokenizer that drops white space; null counts as empty.
+
+    A text is cut at white space of ASCII, which the tokenizer drops; other white space stays within its piece.
+    """
     known = pieces(path)
-    for text in texts:
-        text = text or ""
-        yield b"".join(map(known.__getitem__, [p for p in WHITE.split(text) if p] if NO_SPACE.search(text) else text.split()))
+    for part in _slices(texts):
+        yield from _looked_up(known, pc.ascii_split_whitespace(part))

@@ -150,7 +150,7 @@ def token_rows(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 
     def each(batch: pa.RecordBatch) -> dict:
         end = np.array([end_id], kind).tobytes()
-        ids = [np.frombuffer(x, "<u4").astype(kind).tobytes() + end for x in word_ids(path, batch.column("text").to_pylist())]
+        ids = [np.frombuffer(x, "<u4").astype(kind).tobytes() + end for x in word_ids(path, batch.column("text"))]
         part = 1 + np.searchsorted(edges, np.asarray(batch.column("doc_id").fill_null(0)).astype(np.int64), side="left")
         part[np.asarray(batch.column("doc_id").is_null())] = 0
         return {"part": part.tolist(), "doc_id": batch.column("doc_id"), "ids": ids, "width": [int(kind[2])] * len(ids)}
