@@ -37,7 +37,7 @@ def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
     def each(batch: pa.RecordBatch) -> dict:
         end = np.array([end_id], "<u4").tobytes()
         out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
-        for doc_id, ids in zip(batch.column("doc_id").to_pylist(), byte_level_ids(path, batch.column("text").to_pylist())):
+        for doc_id, ids in zip(batch.column("doc_id").to_pylist(), byte_level_ids(path, batch.column("text"))):
             ids += end
             n = len(ids) // 4
             starts = [0, *range(n % capacity or capacity, n, capacity)]
