@@ -2,7 +2,7 @@
 
 A text is cut where the tokenizer is sure to cut as well; the ids of a piece come from the tokenizers library
 and are remembered, because the same words come again and again. Texts are cut and put together by compiled code, many at
-a time: only pieces that differ are looked up one by one.
+a time: pieces that differ are cut into word and punctuation, and only words that are not remembered are looked up one by one.
 """
 
 from __future__ import annotations
@@ -17,11 +17,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-#: A remembered piece is at most so long, and so many are remembered per worker; longer ones are encoded each time.
+#: A remembered piece or word is at most so long, and so many are remembered per worker; longer ones are encoded each time.
 PIECE_CHARS = 32
 PIECES = 1_000_000
+#: Arrow goes through all remembered words each time: not worth it for less than one in so many.
+FEW = 32
 #: About so many bytes of text are cut at a time.
-AT_ONCE = 1 << 24
+AT_ONCE = 1 << 23
 
 #: Before a single space between two other characters a byte-level pre-tokenizer always cuts: the space goes with
 #: what follows. ``\s`` here takes in all that the tokenizer counts as white space.
@@ -41,7 +43,10 @@ def byte_level_cut(text: str) -> list[str]:
 
 
 #: Letters that every normal form leaves alone, then signs that are neither letters, digits nor apostrophes.
-SIMPLE = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:;=?-@\\[-`{-~]{0,8})")
+LETTERS, SIGNS = "[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+", "[!-&(-/:;=?-@\\[-`{-~]{0,8}"
+SIMPLE = re.compile(f"({LETTERS})({SIGNS})")
+#: The same for Arrow, which wants names.
+WORD_AND_TAIL = f"^(?P<word>{LETTERS})(?P<tail>{SIGNS})$"
 
 
 def _byte_level() -> dict[int, str]:
@@ -58,7 +63,11 @@ BYTE_LEVEL = _byte_level()
 
 
 class Pieces(dict):
-    """Ids as little-endian unsigned 32-bit integers, by piece; missing ones are encoded."""
+    """Ids as little-endian unsigned 32-bit integers, by piece; missing ones are encoded.
+
+    Words that ``of_all`` meets are remembered apart in two Arrow arrays, which take a fraction of the memory of Python's strings;
+    at least three of four places are theirs.
+    """
 
     def __init__(self, path: str, prefix: str = ""):
         super().__init__()
@@ -67,6 +76,7 @@ class Pieces(dict):
         self.tokenizer.no_truncation()
         self.prefix = prefix
         self.tails: dict[str, bytes] = {}
+        self.words, self.word_ids = pa.array([], pa.string()), pa.array([], pa.large_binary())
         self.space = BYTE_LEVEL[32] if prefix else ""
         self.lower = "Lowercase" in str(self.tokenizer.normalizer)
         self.tokenize = self.tokenizer.model.tokenize
@@ -76,26 +86,64 @@ class Pieces(dict):
         found = (piece, "") if piece.isascii() and piece.isalpha() else (m := SIMPLE.fullmatch(piece)) and m.groups()
         if found:
             word, tail = found
-            word = word.lower() if self.lower else word
-            ids = self._word(self.space + (word if word.isascii() else word.translate(BYTE_LEVEL)))
+            ids = self._word(word.lower() if self.lower else word)
             if tail:
                 ids += self._tail(tail)
         else:
             ids = array("I", self.tokenizer.encode(self.prefix + piece, add_special_tokens=False).ids).tobytes()
         if len(piece) <= PIECE_CHARS:
-            if len(self) >= PIECES:
+            if len(self) >= PIECES // 4:
                 self.clear()
             self[piece] = ids
         return ids
 
+    def of_all(self, different: pa.StringArray) -> pa.LargeBinaryArray:
+        """The ids of pieces that all differ. Only words not met before and pieces of another kind are handled one by one."""
+        if len(different) * FEW < len(self.words):
+            return pa.array([self[piece] for piece in different.to_pylist()], pa.large_binary())
+        cut = pc.extract_regex(different, WORD_AND_TAIL)
+        simple = pc.and_(cut.is_valid(), pc.less_equal(pc.utf8_length(different), PIECE_CHARS))
+        words, tails = (pc.struct_field(cut, name).filter(simple) for name in ("word", "tail"))
+        words, tails = (pc.utf8_lower(words) if self.lower else words).dictionary_encode(), tails.dictionary_encode()
+        ends = pa.array([self._tail(x) if x else b"" for x in tails.dictionary.to_pylist()], pa.large_binary())
+        ids = pc.binary_join_element_wise(
+            self._words(words.dictionary).take(words.indices), ends.take(tails.indices), pa.scalar(b"", pa.large_binary())
+        )
+        other = [self[piece] for piece in different.filter(pc.invert(simple)).to_pylist()]
+        if not other:
+            return ids
+        # Row by row from one of the two.
+        simple = np.asarray(simple)
+        at = np.where(simple, np.cumsum(simple) - 1, len(ids) + np.cumsum(~simple) - 1)
+        return pa.concat_arrays([ids, pa.array(other, pa.large_binary())]).take(pa.array(at))
+
+    def _words(self, words: pa.StringArray) -> pa.LargeBinaryArray:
+        """The ids of words that all differ; from now on they are remembered."""
+        at = pc.index_in(words, value_set=self.words)
+        new = words.filter(at.is_null())
+        if len(new):
+            ids = pa.concat_arrays([self.word_ids, pa.array([self._word(x) for x in new.to_pylist()], pa.large_binary())])
+            at = np.asarray(at.fill_null(-1)).copy()
+            at[at < 0] = np.arange(len(self.words), len(ids))
+            found = ids.take(pa.array(at))
+            if len(ids) > (most := PIECES - PIECES // 4):
+                self.words, self.word_ids = words[:most], found[:most]
+            else:
+                self.words, self.word_ids = pa.concat_arrays([self.words, new]), ids
+            return found
+        return self.word_ids.take(at)
+
     def _word(self, word: str) -> bytes:
-        return array("I", [t.id for t in self.tokenize(word)]).tobytes()
+        return self._ids(self.space + (word if word.isascii() else word.translate(BYTE_LEVEL)))
 
     def _tail(self, tail: str) -> bytes:
         if tail not in self.tails:
-            self.tails[tail] = self._word(tail)
+            self.tails[tail] = self._ids(tail)
         return self.tails[tail]
 
+    def _ids(self, shown: str) -> bytes:
+        return array("I", [t.id for t in self.tokenize(shown)]).tobytes()
+
 
 @lru_cache(maxsize=4)
 def pieces(path: str, prefix: str = "") -> Pieces:
@@ -120,7 +168,7 @@ def _looked_up(known: Pieces, cut: pa.ListArray, skip: int = 0) -> Iterator[byte
     """The ids of each list of pieces, without those of the first ``skip`` pieces."""
     found = cut.flatten().dictionary_encode()
     # Wide offsets: a single text can have more ids than four bytes can count.
-    ids = pa.array([known[piece] for piece in found.dictionary.to_pylist()], pa.large_binary()).take(found.indices)
+    ids = known.of_all(found.dictionary).take(found.indices)
     _, edges, data = ids.buffers()
     edges = np.frombuffer(edges, np.int64, len(ids) + 1, 8 * ids.offset)
     offsets = np.asarray(cut.offsets).astype(np.int64)

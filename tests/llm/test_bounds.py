@@ -1,6 +1,7 @@
 """What operators look up, ask about and hold, beyond their rows."""
 
 import random
+import sys
 import tracemalloc
 
 import numpy as np
@@ -94,3 +95,31 @@ def test_equal_pieces_are_looked_up_once(monkeypatch, encode, file):
     assert got == [np.array(plain.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     # First words, which have no space before them, are asked for by text.
     assert len(asked) < 600
+
+
+def test_remembered_words_take_little_memory():
+    known = pieces.Pieces(public_tokenizers.path("word_bpe_49k.json"))
+    letters = "abcdefghijklmnopqrst"
+    words = pa.array([a + b + c + "lyness" + d for a in letters for b in letters for c in letters for d in letters[:5]])
+    tracemalloc.start()
+    before = pa.total_allocated_bytes()
+    want = known.of_all(words).to_pylist()
+    held = tracemalloc.get_traced_memory()[0] - sum(map(sys.getsizeof, want)) + pa.total_allocated_bytes() - before
+    tracemalloc.stop()
+    print("bytes a word", held / len(words))
+    assert held < 100 * len(words)
+    # Punctuation and capitals make no new words; nothing is asked of the tokenizer again.
+    known.tokenize = None
+    known.tails["."] = b"...."
+    assert known.of_all(pa.array([w.title() + "." for w in words.to_pylist()])).to_pylist() == [x + b"...." for x in want]
+
+
+def test_memory_of_words_is_bounded(monkeypatch):
+    monkeypatch.setattr(pieces, "PIECES", 40)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    known = pieces.Pieces(path, " ")
+    words = [a + b + tail for a in "abcdefgh" for b in "ijklmnop" for tail in ("", "é,", "1")] + ["x" * 50, "漢"]
+    for at in range(0, len(words), 25):
+        part = words[at : at + 25]
+        assert known.of_all(pa.array(part)).to_pylist() == [np.array(known.tokenizer.encode(" " + w, add_special_tokens=False).ids, "<u4").tobytes() for w in part]
+        assert len(known) <= 10 and len(known.words) == len(known.word_ids) <= 30
