@@ -9,7 +9,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 
-from postmine.llm import jaccard, pieces, repeats
+from postmine.llm import jaccard, pieces, repeats, rows
 
 from . import brute
 
@@ -123,3 +123,19 @@ def test_memory_of_words_is_bounded(monkeypatch):
         part = words[at : at + 25]
         assert known.of_all(pa.array(part)).to_pylist() == [np.array(known.tokenizer.encode(" " + w, add_special_tokens=False).ids, "<u4").tobytes() for w in part]
         assert len(known) <= 10 and len(known.words) == len(known.word_ids) <= 30
+
+
+def test_workers_give_memory_back():
+    # Small blocks under one that stays: the C library keeps them.
+    parts = [b"x" * (100_000 + i) for i in range(1000)]
+    last = parts.pop()
+    del parts
+
+    def resident() -> int:
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+
+    before = resident()
+    rows.give_back()
+    print("MB given back", (before - resident()) >> 20)
+    assert resident() < before - (32 << 20) and last
