@@ -250,7 +250,12 @@ def _shared_tokens(found: pa.Table) -> pa.Table:
     cell <<= _U(32)
     cell |= rank[owner[mine]]
     del tokens, owners, owner
-    cell, first, weight = np.unique(cell, return_index=True, return_counts=True)
+    first = np.argsort(cell, kind="stable")
+    cell = cell[first]
+    new = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.zeros(0, np.int64)
+    weight = np.diff(np.append(new, len(cell)))
+    cell, first = cell[new], first[new]
+    del new
     place = np.concatenate(places)[mine][first]
     del places, first, mine
     token, owner = (cell >> _U(32)).astype(np.int64), cell.astype("<u4")
